@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import entity_number, entity_numbers
 from ..operators.states import latest_state
 from ..session import materialise
-from . import density, leaks, packing, pairs, pieces, terms, weights
+from . import content, density, leaks, packing, pairs, pieces, terms, weights
 
 CAPACITY, LIMIT, OVERLAP = 4096, 2048, 128
 
@@ -56,6 +56,11 @@ def p3_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.col("cluster").alias("cluster_first"), F.col("size").alias("cluster_size"), F.col("member").alias("page_no"), "place")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every page's text that isn't part of the article."""
+    return content.other_lines(table(spark, sf_dir, "wiki_page"), "page_no", "site", "enwiki", "text", "page")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entities that are too rare (fewer than 4 occurrences) or too common (on more than a fifth of the pages)."""
     pages = materialise(listed_entities(spark, sf_dir))
@@ -104,5 +109,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.where("piece = 0").select(F.col("doc").alias("doc_id"), F.col("doc_kind").alias("cut_kind"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p3_found, p3_typical, p5_found, p5_ngrams, p6_found, p6_lift, p8_packed, p9_found, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p3_found, p3_typical, p4_found, p5_found, p5_ngrams, p6_found, p6_lift, p8_packed, p9_found, p10_found, p10_pieces)}
 ORACLES: dict[str, str] = {}
