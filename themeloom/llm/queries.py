@@ -11,6 +11,7 @@ from ..functions.ids import entity_number, entity_numbers
 from ..operators.states import latest_state
 from ..session import materialise
 from . import content, density, leaks, packing, pairs, pieces, terms, weights
+from .oracles import ORACLES
 
 CAPACITY, LIMIT, OVERLAP = 4096, 2048, 128
 
@@ -109,5 +110,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.where("piece = 0").select(F.col("doc").alias("doc_id"), F.col("doc_kind").alias("cut_kind"))
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p3_found, p3_typical, p4_found, p5_found, p5_ngrams, p6_found, p6_lift, p8_packed, p9_found, p10_found, p10_pieces)}
-ORACLES: dict[str, str] = {}
+
