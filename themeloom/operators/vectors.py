@@ -36,3 +36,14 @@ def bimodal(first: DataFrame, second: DataFrame, alpha: float) -> DataFrame:
 def missing(entities: DataFrame, vectors: DataFrame) -> DataFrame:
     """``(num)`` of the entities without a vector."""
     return entities.select("num").join(vectors.select("num"), "num", "left_anti")
+
+
+def gram(rows: DataFrame, num: str, vector: str, max_rows: int = 4096) -> DataFrame:
+    """``(a, b, cosine)`` of all rows with all: a matrix, for sets that are small by nature (classes, centroids). More than `max_rows` rows are refused; similar pairs of large sets
+    are what blocked neighbour joins are for."""
+    n = rows.limit(max_rows + 1).count()
+    if n > max_rows:
+        raise ValueError(f"a Gram matrix of more than {max_rows} rows is refused")
+    one = rows.select(F.col(num).alias("a"), F.col(vector).alias("va"), F.lit(1).alias("one"))
+    two = F.broadcast(one.select(F.col("a").alias("b"), F.col("va").alias("vb"), "one"))
+    return one.join(two, "one").select("a", "b", S.cosine(F.col("va"), F.col("vb")).alias("cosine"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalog, kb_queries, knowledge, sql  # noqa: F401  importing the query modules registers their queries
+from .plans import catalog, kb_queries, knowledge, sql, text_queries, topic_queries  # noqa: F401  importing the query modules registers their queries
 
 QUERIES = {**knowledge.QUERIES, **catalog.QUERIES}
 ORACLES: dict[str, str] = {"p1_found": sql.P1, "p7_found": sql.P7, **catalog.ORACLES}
