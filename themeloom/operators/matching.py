@@ -4,7 +4,7 @@ A text falls into segments: maximal runs of letters and digits, and every other
 begins or ends within a word, except that the last word may carry a plural s when the text goes on behind it. Of the matches, those within another are
 dropped, and of two neighbours that overlap or touch the shorter one, or the later if both are equally long.
 
-The lexicon is a dictionary from first segments to forms that every task holds, if its size is proven small; a larger one is worked through in blocks by first segment, and
+The lexicon is a trie over segments that every task holds, if its size is proven small; a larger one is worked through in blocks by first segment, and
 overlaps are resolved over the union. Texts aren't shuffled for it.
 """
 
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 MATCHES = "doc_id bigint, start int, stop int, key string"
 _SEGMENT = re.compile(r"[^\W_]+|[\W_]", re.S)
 
@@ -25,34 +27,39 @@ def segments(text: str) -> list[str]:
     return _SEGMENT.findall(text)
 
 
-def find(text: str, forms: dict[str, list[tuple[list[str], str]]]) -> Iterator[tuple[int, int, str]]:
-    """``(start, stop, key)`` of every match, by the forms of each first segment."""
+def trie_of(keys: list[str]) -> dict:
+    """Nested dictionaries by segment; the key itself stands under the empty segment."""
+    root: dict = {}
+    for key in keys:
+        node = root
+        for seg in segments(key):
+            node = node.setdefault(seg, {})
+        node[""] = key
+    return root
+
+
+def find(text: str, trie: dict) -> Iterator[tuple[int, int, str]]:
+    """``(start, stop, key)`` of every match: from each segment down the trie, as far as the text goes along."""
     segs = segments(text)
     starts, at = [], 0
     for s in segs:
         starts.append(at)
         at += len(s)
-    word = [s.isalnum() for s in segs]
     n = len(segs)
-    for i, seg in enumerate(segs):
-        heads = [seg] if not (word[i] and len(seg) > 1 and seg[-1] in "sS") else [seg, seg[:-1]]
-        for head in heads:
-            for parts, key in forms.get(head, ()):
-                end = i + len(parts)
-                if end > n:
-                    continue
-                last, plural = segs[end - 1], False
-                if len(parts) == 1:
-                    plural = head != seg
-                else:
-                    if head != seg or segs[i + 1 : end - 1] != parts[1:-1]:
-                        continue
-                    plural = last != parts[-1]
-                    if plural and not (word[end - 1] and len(last) > 1 and last[-1] in "sS" and last[:-1] == parts[-1]):
-                        continue
-                if plural and end >= n:
-                    continue
-                yield starts[i], starts[end - 1] + len(last) - plural, key
+    for i in range(n):
+        node, j = trie, i
+        while j < n:
+            seg = segs[j]
+            if j + 1 < n and len(seg) > 1 and seg[-1] in "sS" and seg.isalnum():
+                singular = node.get(seg[:-1])
+                if singular and "" in singular:  # a plural ends the match
+                    yield starts[i], starts[j] + len(seg) - 1, singular[""]
+            node = node.get(seg)
+            if node is None:
+                break
+            j += 1
+            if "" in node:
+                yield starts[i], starts[j - 1] + len(seg), node[""]
 
 
 def resolved(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
@@ -92,17 +99,17 @@ def mentions(docs: DataFrame, doc_id: str, text: str, lang: str, lexicon: DataFr
     n = keys.count()
     blocks = max(1, -(-n // block_keys))
     code = F.regexp_replace(F.lower(F.trim(F.coalesce(F.col(lang), F.lit("")))), "[-_].*$", "")
-    picked = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), code.alias("lang"), F.translate(F.col(text), "\n", " ").alias("text")).where("length(text) > 0")
+    picked = spread(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), code.alias("lang"), F.translate(F.col(text), "\n", " ").alias("text")).where("length(text) > 0")
     sc = docs.sparkSession.sparkContext
     known = {r.lang for r in keys.select("lang").distinct().collect()}
     out = None
     for block in range(blocks):
         first = F.regexp_extract("key", r"^([\p{L}\p{N}]+|[^\p{L}\p{N}])", 1)
         rows = (keys if blocks == 1 else keys.where(F.pmod(F.xxhash64(first), F.lit(blocks)) == block)).collect()  # about block_keys
-        forms: dict[str, dict[str, list[tuple[list[str], str]]]] = {}
+        by_lang: dict[str, list[str]] = {}
         for r in rows:
-            parts = segments(r.key)
-            forms.setdefault(r.lang, {}).setdefault(parts[0], []).append((parts, r.key))
+            by_lang.setdefault(r.lang, []).append(r.key)
+        forms = {code: trie_of(of) for code, of in by_lang.items()}
         shared = sc.broadcast(forms)
         final = blocks == 1 and not overlaps
 

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 NODES = "rec bigint, field string, label array<int>, keys array<string>, schema_path string, kind string, text string"
 _ARROW = pa.schema([("rec", pa.int64()), ("field", pa.string()), ("label", pa.list_(pa.int32())), ("keys", pa.list_(pa.string())), ("schema_path", pa.string()), ("kind", pa.string()), ("text", pa.string())])
 
@@ -73,7 +75,7 @@ def shred(records: DataFrame, rec: str, fields: list[str], leaves_only: bool = F
     A field that is null, empty, damaged or not one whole JSON object has no nodes. Repeated rows keep their own nodes under their own
     `rec`; rows with a null `rec` are kept with a null link. Of repeated keys within one object the last counts. Other columns don't matter.
     """
-    picked = records.select(F.col(rec).cast("bigint").alias("rec"), *[F.col(f).cast("string").alias(f"field_{i}") for i, f in enumerate(fields)])
+    picked = spread(records).select(F.col(rec).cast("bigint").alias("rec"), *[F.col(f).cast("string").alias(f"field_{i}") for i, f in enumerate(fields)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -16,6 +16,7 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | conf
     spark = SparkSession.builder.config(map=settings).getOrCreate()
@@ -40,3 +41,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint: written once to the shared folder, so a lost executor costs no recomputation."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, small: int = 256 << 20) -> DataFrame:
+    """A small input that lies in fewer files than there are cores, dealt out to all of them; any other as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > small:
+        return df
+    files = len(df.inputFiles())
+    return df.repartition(cores) if 0 < files < cores else df
