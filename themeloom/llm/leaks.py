@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 SIZES = (24, 16, 8)
 _TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?")
@@ -225,7 +227,7 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
     given = items.select(F.col(item).cast("bigint").alias("number"), F.col(item_text).cast("string").alias("t")).where("number is not null and length(t) > 0")
     size = given.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    picked = docs.select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("t")).where(F.length("t") > 0)
+    picked = spread(docs).select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("t")).where(F.length("t") > 0)
     sc = docs.sparkSession.sparkContext
     out = None
     for block in range(blocks):

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 PIECES = "doc bigint, n bigint, doc_kind string, piece int, start bigint, stop bigint, cut string"
 _ARROW = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("doc_kind", pa.string()), ("piece", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("cut", pa.string())])
 KINDS = np.array(["line", "space", "hard", "end"], dtype=object)
@@ -121,7 +123,7 @@ def split_texts(docs: DataFrame, doc: str, text: str, limit: int, overlap: int)
     """
     if not 0 <= 2 * overlap < limit - 16:
         raise ValueError("the overlap must be less than half of the limit")
-    long = docs.select(F.col(doc).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") > limit)
+    long = spread(docs).select(F.col(doc).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text")).where(F.octet_length("text") > limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
