@@ -91,6 +91,7 @@ def test_forest_equals_brute_force_in_both_ways(spark):
     for bound in (200_000, 5):
         got = H.hierarchy(df, "child", "up", task_nodes=bound)
         assert forest_of(got) == want
+        assert {n: w[:3] for n, w in forest_of(H.hierarchy(df, "child", "up", task_nodes=bound, paths=False)).items()} == {n: w[:3] for n, w in want.items()}
         below = {}
         for n, (_, _, _, path) in want.items():
             for a in (path or [])[:-1]:

@@ -9,12 +9,13 @@ from ..functions.ids import entity_number
 from ..operators import hierarchy as H
 from ..operators import nested as N
 from ..operators.states import latest_state
-from ..session import materialise
+from ..session import materialise, ship
 
 LINKS = ("subclass_of", "located_in")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -29,7 +30,7 @@ def p1_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.schema_paths(N.shred(table(spark, sf_dir, "wikidata_summary"), "rec_no", ["labels", "aliases", "properties"]))
 
 
-def _forests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _forests(spark: SparkSession, sf_dir: str, paths: bool) -> DataFrame:
     """Both hierarchies at once: a node of link i is numbered ``number * len(LINKS) + i`` while they are resolved."""
     current = materialise(latest_state(table(spark, sf_dir, "wikidata_summary"), entity_number("id"), "seen_at", "rec_no", {"rec_no": F.col("rec_no"), "properties": F.col("properties")}))
     found = N.items(N.shred(current, "key", ["properties"], leaves_only=True)).where(F.col("item_key").isin(*LINKS))
@@ -37,19 +38,19 @@ def _forests(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = found.select((F.col("rec") * len(LINKS) + kind).alias("node"), (entity_number("item") * len(LINKS) + kind).alias("parent")).where("parent is not null")
     known = current.select(F.explode(F.array(*[F.col("key") * len(LINKS) + i for i in range(len(LINKS))])).alias("known"))
     number = lambda c: F.floor(c / len(LINKS)).cast("bigint")
-    return H.hierarchy(links, "node", "parent", known).select(
+    return H.hierarchy(links, "node", "parent", known, paths=paths).select(
         F.element_at(F.array(*[F.lit(x) for x in LINKS]), (F.col("node") % len(LINKS) + 1).cast("int")).alias("link"), number(F.col("node")).alias("node"), "kind", number(F.col("root")).alias("root"), "depth", F.transform("path", number).alias("path"), "n_descendants", "back_edge"
     )
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind, root and depth of every node of the two hierarchies."""
-    return _forests(spark, sf_dir).select("link", F.col("node").alias("node_no"), "kind", F.col("root").alias("root_no"), "depth")
+    return _forests(spark, sf_dir, False).select("link", F.col("node").alias("node_no"), "kind", F.col("root").alias("root_no"), "depth")
 
 
 def p7_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Path from the root and number of descendants of every node of a tree; the path as text, ids joined by ``/``."""
-    trees = _forests(spark, sf_dir).where("kind = 'tree'")
+    trees = _forests(spark, sf_dir, True).where("kind = 'tree'")
     return trees.select("link", F.col("node").alias("node_no"), F.concat_ws("/", F.transform("path", lambda x: x.cast("string"))).alias("path"), "n_descendants")
 
 

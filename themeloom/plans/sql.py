@@ -44,3 +44,5 @@ ends as (select link, node, max_by(up, d) as up, max(d) as d from walk group by
 cyc as (select distinct w.link, w.node from walk w join nodes n on n.link = w.link and n.node = w.up where n.parent = w.node)"""
 P7 = f"""{_P7} select e.link, e.node as node_no, case when n.parent is null then 'tree' when c.node is not null then 'on_cycle' else 'below_cycle' end as kind, case when n.parent is null then e.up else 0 end as root_no, case when n.parent is null then e.d else -1 end::bigint as depth
 from ends e join nodes n on n.link = e.link and n.node = e.up left join cyc c on c.link = e.link and c.node = e.node"""
+P7_PATHS = f"""{_P7}, trees as (select e.link, e.node from ends e join nodes n on n.link = e.link and n.node = e.up where n.parent is null)
+select t.link, t.node as node_no, string_agg(w.up, '/' order by w.d desc) as path, (select count(*) from walk x where x.link = t.link and x.up = t.node and x.d > 0) as n_descendants from trees t join walk w on w.link = t.link and w.node = t.node group by t.link, t.node"""

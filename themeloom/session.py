@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,6 +27,21 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package, once per session; where it is installed on them this changes nothing."""
+    sc = spark.sparkContext
+    if getattr(sc, "_themeloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    if package.is_dir():
+        archive = os.path.join(tempfile.mkdtemp(prefix="themeloom-code-"), "themeloom.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(package.rglob("*.py")):
+                z.write(file, f"{package.name}/{file.relative_to(package)}")
+        sc.addPyFile(archive)
+    sc._themeloom_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder all executors share. It is read from the session; a local master without one gets a temporary folder, a cluster without one is an error."""
     sc = spark.sparkContext
@@ -39,12 +57,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint: written once to the shared folder, so a lost executor costs no recomputation."""
+    ship(df.sparkSession)
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def spread(df: DataFrame, small: int = 256 << 20) -> DataFrame:
     """A small input that lies in fewer files than there are cores, dealt out to all of them; any other as it is, without a shuffle."""
+    ship(df.sparkSession)
     cores = df.sparkSession.sparkContext.defaultParallelism
     if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > small:
         return df
