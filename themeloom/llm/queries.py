@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import entity_number, entity_numbers
 from ..operators.states import latest_state
-from ..session import materialise
+from ..session import materialise, ship
 from . import content, density, leaks, packing, pairs, pieces, terms, weights
 from .oracles import ORACLES
 
@@ -17,6 +17,7 @@ CAPACITY, LIMIT, OVERLAP = 4096, 2048, 128
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
