@@ -65,6 +65,8 @@ def materialise(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, small: int = 256 << 20) -> DataFrame:
     """A small input that lies in fewer files than there are cores, dealt out to all of them; any other as it is, without a shuffle."""
     ship(df.sparkSession)
+    if df.isStreaming:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > small:
         return df
