@@ -6,7 +6,7 @@ centroid leave a task.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,30 +59,38 @@ def start_vectors(vectors: DataFrame, k: int) -> np.ndarray:
     return np.array([r.vec for r in vectors.orderBy("num").limit(k).collect()], float)
 
 
-def distances(vectors: DataFrame, num: str, centroids: np.ndarray) -> DataFrame:
-    """``(num, topic, d2)``: squared distances of every row to every centroid."""
+def _per_batch(vectors: DataFrame, num: str, centroids: np.ndarray, schema: str, work: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> DataFrame:
+    """`work(numbers, squared distances to all centroids)` over slices of Arrow batches; a row's distances are together, so nothing about a single row needs a shuffle."""
     shared = vectors.sparkSession.sparkContext.broadcast(centroids)
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 part = batch.slice(at, 8192)
-                d2 = squared_distances(_matrix(part.column(1)), c)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), len(c))), pa.array(np.tile(np.arange(len(c), dtype=np.int32), len(d2))), pa.array(d2.ravel())], names=["num", "topic", "d2"])
+                columns = work(part.column(0).to_numpy(), squared_distances(_matrix(part.column(1)), shared.value))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
-    return vectors.select(F.col(num).cast("bigint").alias("num"), "vec").mapInArrow(run, "num bigint, topic int, d2 double")
+    return vectors.select(F.col(num).cast("bigint").alias("num"), "vec").mapInArrow(run, schema)
 
 
 def nearest(vectors: DataFrame, num: str, centroids: np.ndarray) -> DataFrame:
     """``(num, topic, d2)``: each row's nearest centroid, ties by the lower topic."""
-    d = distances(vectors, num, centroids)
-    return d.groupBy("num").agg(F.min(F.struct("d2", "topic")).alias("b")).select("num", F.col("b.topic").alias("topic"), F.col("b.d2").alias("d2"))
+    return _per_batch(vectors, num, centroids, "num bigint, topic int, d2 double", lambda n, d2: [n, d2.argmin(axis=1).astype(np.int32), d2.min(axis=1)])
 
 
 def topic_words(vectors: DataFrame, centroids: np.ndarray, n: int) -> DataFrame:
-    """``(topic, place, num, score)``: the `n` entities nearest to each centroid; scores are proportional to 1 / (d2 + 1e-6) and add up to 1. Fewer entities give fewer words."""
-    d = distances(vectors, "num", centroids)
+    """``(topic, place, num, score)``: the `n` entities nearest to each centroid; scores are proportional to 1 / (d2 + 1e-6) and add up to 1. Fewer entities give fewer words.
+
+    Every batch sends on its own `n` nearest only.
+    """
+
+    def work(numbers: np.ndarray, d2: np.ndarray) -> list[np.ndarray]:
+        best = np.stack([np.lexsort((numbers, column))[:n] for column in d2.T])
+        topic = np.repeat(np.arange(len(best), dtype=np.int32), best.shape[1])
+        return [numbers[best.ravel()], topic, d2[best.ravel(), topic]]
+
+    d = _per_batch(vectors, "num", centroids, "num bigint, topic int, d2 double", work)
     top = d.withColumn("place", F.row_number().over(Window.partitionBy("topic").orderBy("d2", "num"))).where(F.col("place") <= n)
     w = 1 / (F.col("d2") + EPS)
     return top.select("topic", "place", "num", (w / F.sum(w).over(Window.partitionBy("topic"))).alias("score"))
@@ -93,11 +101,17 @@ def document_topics(doc_vectors: DataFrame, centroids: np.ndarray, exponent: int
 
     A document at a topic's very place has probability 1, shared among such topics.
     """
-    d = distances(doc_vectors, "doc_id", centroids).withColumnRenamed("num", "doc_id")
-    per = Window.partitionBy("doc_id")
-    w = F.when(F.min("d2").over(per) == 0, (F.col("d2") == 0).cast("double")).otherwise(F.try_divide(F.lit(1.0), F.pow(F.col("d2"), F.lit(exponent))))
-    place = F.row_number().over(per.orderBy("d2", "topic"))
-    return d.withColumn("w", w).select("doc_id", "topic", "d2", (F.col("w") / F.sum("w").over(per)).alias("prob"), place.alias("place"))
+
+    def work(numbers: np.ndarray, d2: np.ndarray) -> list[np.ndarray]:
+        exact = d2 == 0
+        with np.errstate(divide="ignore"):
+            w = np.where(exact.any(axis=1, keepdims=True), exact.astype(float), 1 / d2**exponent)
+        place = np.empty(d2.shape, np.int32)
+        np.put_along_axis(place, d2.argsort(axis=1, kind="stable"), np.arange(1, d2.shape[1] + 1, dtype=np.int32)[None, :], axis=1)
+        k = d2.shape[1]
+        return [np.repeat(numbers, k), np.tile(np.arange(k, dtype=np.int32), len(numbers)), d2.ravel(), (w / w.sum(axis=1, keepdims=True)).ravel(), place.ravel()]
+
+    return _per_batch(doc_vectors, "doc_id", centroids, "doc_id bigint, topic int, d2 double, prob double, place int", work)
 
 
 def top_topics(doc_topics: DataFrame, n: int) -> DataFrame:
