@@ -89,3 +89,20 @@ def tail(bags: DataFrame, n: int) -> DataFrame:
 def filtered(bags: DataFrame, keys: Callable[[Column], Column] | None = None, values: Callable[[Column], Column] | None = None) -> DataFrame:
     """The part of each bag whose keys and values satisfy the predicates."""
     return bags.where((keys(F.col("key")) if keys else F.lit(True)) & (values(F.col("value")) if values else F.lit(True)))
+
+
+def in_vocabulary(tokens: DataFrame, token: str, vocabulary: DataFrame) -> DataFrame:
+    """The rows whose token is in the only column of `vocabulary`, as often as they stand there."""
+    v = vocabulary.select(F.col(vocabulary.columns[0]).alias("_v")).distinct()
+    return tokens.join(v, F.col(token) == F.col("_v"), "left_semi")
+
+
+def density(bags: DataFrame) -> DataFrame:
+    """``(density)``: the share of positive cells of the matrix of owners and keys."""
+    cells = bags.agg(F.count_distinct("owner").alias("o"), F.count_distinct("key").alias("k"), F.count_if(F.col("value") > 0).alias("p"))
+    return cells.select(F.try_divide(F.col("p").cast("double"), F.col("o") * F.col("k")).alias("density"))
+
+
+def normalised_rows(weights: DataFrame, n: int) -> DataFrame:
+    """``(owner, key, value, place)``: each row of a weight matrix divided by its sum, its n largest entries."""
+    return head(frequencies(weights), n)

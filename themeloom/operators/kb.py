@@ -136,3 +136,25 @@ def page_titles(kb: KnowledgeBase) -> DataFrame:
     t = kb.titles.where("enwiki is not null and enwiki <> ''")
     keyed = t.select(title.alias("title"), "num", F.lit(0).alias("prio")).union(t.select(T.title_case(title), "num", F.lit(1))).union(t.select(F.lower(title), "num", F.lit(2))).union(kb.labels.where("lang = 'en'").select("label", "num", F.lit(3)))
     return keyed.groupBy("title").agg(F.min_by("num", F.struct("prio", "num")).alias("num"))
+
+
+def by_ids(kb: KnowledgeBase, ids: DataFrame, at_most: int | None = None) -> KnowledgeBase:
+    """The part of the knowledge base about `ids(num)`; with `at_most` only about the lowest so many."""
+    nums = kb.entities.join(ids.select("num").distinct(), "num", "left_semi")
+    return restricted(kb, nums if at_most is None else nums.orderBy("num").limit(at_most))
+
+
+def usable_translations(pairs: DataFrame, removed: DataFrame) -> DataFrame:
+    """`pairs(lang, label, translation)` without English labels that are removed for English and translations that are removed for their language; `removed(lang, label)`, ``all`` counting for each."""
+    english = removed.where("lang in ('en', 'all')").select("label").distinct()
+    own = removed.where("lang <> 'all'").select("lang", F.col("label").alias("translation"))
+    every = removed.where("lang = 'all'").select(F.col("label").alias("translation")).distinct()
+    return pairs.join(english, "label", "left_anti").join(own, ["lang", "translation"], "left_anti").join(every, "translation", "left_anti").select("lang", "label", "translation")
+
+
+def embedding_texts(kb: KnowledgeBase, pages: DataFrame, words: int = 300, lang: str = "en") -> DataFrame:
+    """``(num, text)`` for an encoder: the first words of an entity's page, `pages(num, text)`, or its label and description where it has no page with a text."""
+    paged = pages.where("num is not null and trim(text) <> ''").select("num", T.first_words(F.col("text"), words).alias("text"))
+    of = lambda df: df.where(F.col("lang") == lang).drop("lang")
+    described = of(kb.labels).join(of(kb.descriptions), "num", "left").join(paged.select("num"), "num", "left_anti")
+    return paged.unionByName(described.select("num", T.description_of(F.col("label"), F.col("description")).alias("text")))

@@ -58,3 +58,11 @@ def patched(lexicon: DataFrame, patches: DataFrame, kb: KnowledgeBase, langs: li
     best = keyed.select(F.explode("langs").alias("lang"), "general", "key", "num").where(F.col("lang").isin(*langs)).groupBy("lang", "key").agg(F.min(F.struct("general", "num")).alias("best"))
     best = best.select("lang", "key", F.array("best.num").alias("ids"))
     return lexicon.join(best, ["lang", "key"], "left_anti").unionByName(best)
+
+
+def dictionary(lexicon: DataFrame, lang: str) -> DataFrame:
+    """``(key, key_id)``: the keys of a language, numbered from 0 in their order by digest, without sorting them in one task."""
+    from .corpus import ranked
+
+    keys = lexicon.where(F.col("lang") == lang).select("key").distinct().withColumn("pos", F.col("key"))
+    return ranked(keys, F.md5("key")).select("key", F.col("rank").alias("key_id"))

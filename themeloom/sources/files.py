@@ -136,3 +136,20 @@ def read_topics_sheet(spark: SparkSession, path: str, min_score: float = 1e-4, m
     rows = kept.select(F.col("Topic No").cast("int").alias("topic"), F.col("Topic Label").alias("label"), F.explode(F.array(*[word(i) for i in places])).alias("w")).select("topic", "label", "w.*").where(F.col("id").isNotNull() & (F.col("score") > min_score))
     enough = rows.groupBy("topic").count().where(F.col("count") >= min_words).select("topic")
     return rows.join(enough, "topic", "left_semi")
+
+
+def read_ranked(spark: SparkSession, path: str, column: str, n: int | None = None) -> DataFrame:
+    """``(value, rank)`` of a column of a CSV file with a header whose order is the rank, from 0; the first n with `n`. Rows are numbered per partition, not in one task."""
+    rows = spark.read.option("header", True).csv(path).select(F.col(column).alias("value"))
+    ranked = rows.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("value string, rank bigint")
+    return ranked if n is None else ranked.where(F.col("rank") < n)
+
+
+def row_json(df: DataFrame, name: str = "json") -> DataFrame:
+    """Each row as a JSON object with its keys in order, nulls left out."""
+    return df.select(F.to_json(F.struct(*sorted(df.columns))).alias(name))
+
+
+def write_sheet(df: DataFrame, path: str) -> None:
+    """A small report as one CSV file with a header, for a spreadsheet."""
+    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
