@@ -12,7 +12,8 @@ os.environ.setdefault("TZ", "UTC")
 def spark():
     from themeloom.session import local_session
 
-    return local_session(4, 4)
+    # tiny inputs: compiling plans would take longer than running them
+    return local_session(4, 2, **{"spark.sql.codegen.wholeStage": "false", "spark.sql.codegen.factoryMode": "NO_CODEGEN"})
 
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
