@@ -115,6 +115,8 @@ def test_packing_is_whole_and_tight(spark):
     assert max(fill.values()) <= 4096 and all(r.used == fill[r.container] for r in rows if r.container is not None)
     assert sum(fill.values()) / (4096 * len(fill)) > 0.97
     assert packing.pack(df.limit(0), "doc", "size", 4096).count() == 0
+    odd = packing.pack(spark.createDataFrame([(None, 10), (None, 10), (1, 30), (1, 30), (2, -5), (3, 250)], "doc bigint, size int"), "doc", "size", 100).collect()
+    assert Counter((r.item, r.n) for r in odd) == {(None, 10): 2, (1, 30): 2, (2, 0): 1, (3, 100): 2, (3, 50): 1} and len({r.container for r in odd if r.n not in (0, 100)}) == 2
 
 
 def test_sum_of_squares_takes_the_best_place():

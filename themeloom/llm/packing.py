@@ -65,29 +65,30 @@ def _pass(items: DataFrame, capacity: int, shards: int, level: int) -> DataFrame
 
 
 def pack(items: DataFrame, item: str, size: str, capacity: int, shard_items: int = 50_000, full: float = 0.97) -> DataFrame:
-    """``(item, piece, start, n, container, used)``: the container of every piece of every item; `item` must be a unique bigint, `size` a count.
+    """``(item, piece, start, n, container, used)``: the container of every piece of every row; `item` is a bigint that names the row, `size` a count.
 
-    An item above `capacity` gives as many full pieces as it holds and one with the rest; no other item is divided. Full pieces fill a container of their own
-    and meet no shuffle but the result's. Items of size 0, or null, take no room: they have one piece with container null. `used` is the
-    container's fill. Containers filled less than `full` are packed again with those of the other shards; a shard never has more than about `shard_items`.
+    A row above `capacity` gives as many full pieces as it holds and one with the rest; no other row is divided. Full pieces fill a container of their own and
+    meet no shuffle but the result's. Rows of size 0 or less, or null, take no room: they have one piece with container null. `used` is the container's fill.
+    Containers filled less than `full` are packed again with those of the other shards; a shard never has more than about `shard_items`. Rows are told apart by themselves, so
+    repeated and null items are packed like any other.
     """
-    base = items.select(F.col(item).cast("bigint").alias("item"), F.coalesce(F.col(size).cast("bigint"), F.lit(0)).alias("size"))
+    base = items.select(F.col(item).cast("bigint").alias("item"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("size"))
     whole = F.floor(F.col("size") / capacity).cast("bigint")
-    rest = materialise(base.select("item", "size", (F.col("size") - whole * capacity).alias("rest")))
-    small = rest.where("rest > 0").select("item", F.col("rest").alias("size"))
+    rest = materialise(base.select(F.monotonically_increasing_id().alias("row"), "item", "size", (F.col("size") - whole * capacity).alias("rest")))
+    small = rest.where("rest > 0").select(F.col("row").alias("item"), F.col("rest").alias("size"))
     n = small.count()
     first = materialise(_pass(small, capacity, max(1, -(-n // shard_items)), 1))
     fill = materialise(first.groupBy("container").agg(F.sum("size").alias("fill")))
     loose = fill.where(F.col("fill") < F.lit(full * capacity)).select(F.col("container").alias("item"), F.col("fill").alias("size"))
     again = _pass(loose, capacity, max(1, -(-loose.count() // shard_items)), 2).select(F.col("item").alias("container"), F.col("container").alias("joined"))
-    # second-pass containers are odd, the others even, full pieces come from the item's own number: no two kinds share a name
+    # first-pass containers are a, second-pass ones b, those of full pieces f with the row's number: no two kinds share a name
     moved = first.join(again, "container", "left").select("item", "size", F.when(F.col("joined").isNotNull(), F.concat(F.lit("b"), "joined")).otherwise(F.concat(F.lit("a"), "container")).alias("container"))
     used = moved.groupBy("container").agg(F.sum("size").alias("used"))
-    packed = moved.join(used, "container")
-    tails = rest.where("rest > 0").join(packed.select(F.col("item").alias("i"), "container", "used"), F.col("item") == F.col("i")).select(
-        "item", whole.alias("piece"), (whole * capacity).alias("start"), F.col("rest").alias("n"), "container", F.col("used").cast("bigint").alias("used")
-    )
-    pieces = rest.where(F.col("size") >= capacity).select("item", F.explode(F.sequence(F.lit(0).cast("bigint"), whole - 1)).alias("piece"))
-    full_ = pieces.select("item", "piece", (F.col("piece") * capacity).alias("start"), F.lit(capacity).cast("bigint").alias("n"), F.concat(F.lit("f"), "item", F.lit("."), "piece").alias("container"), F.lit(capacity).cast("bigint").alias("used"))
-    empty = rest.where("size = 0").select("item", F.lit(0).cast("bigint").alias("piece"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("string").alias("container"), F.lit(None).cast("bigint").alias("used"))
+    packed = moved.join(used, "container").select(F.col("item").alias("r"), "container", "used")
+    tails = rest.where("rest > 0").join(packed, F.col("row") == F.col("r")).select("item", whole.alias("piece"), (whole * capacity).alias("start"), F.col("rest").alias("n"), "container", F.col("used").cast("bigint").alias("used"))
+    pieces = rest.where(F.col("size") >= capacity).select("row", "item", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(whole - 1, F.lit(0)))).alias("piece"))
+    room = F.lit(capacity).cast("bigint")
+    full_ = pieces.select("item", "piece", (F.col("piece") * capacity).alias("start"), room.alias("n"), F.concat(F.lit("f"), "row", F.lit("."), "piece").alias("container"), room.alias("used"))
+    nothing = F.lit(0).cast("bigint")
+    empty = rest.where("size = 0").select("item", nothing.alias("piece"), nothing.alias("start"), nothing.alias("n"), F.lit(None).cast("string").alias("container"), F.lit(None).cast("bigint").alias("used"))
     return full_.unionByName(tails).unionByName(empty)
