@@ -175,11 +175,11 @@ def same_before(a: bytes, i: int, b: bytes, j: int) -> int:
     return done
 
 
-def holds(data: bytes, p: int, item: Item, q: int, words: int, longest_word: int = 64) -> tuple[bool, int]:
+def holds(data: bytes, p: int, item: Item, q: int, words: int, longest_word: int = 40, least_context: int = 8) -> tuple[bool, int]:
     """Whether `data` holds `words` consecutive words of the item around the equal places p and q, one of them replaced at most; and where the run ends.
 
-    A replaced word may have any length up to `longest_word` bytes, and must have unchanged words on both sides: at the end of a passage it
-    can't be told from a shorter passage.
+    A replaced word may have up to `longest_word` bytes and must have unchanged words on both sides: at the end of a passage it can't be told from a
+    shorter passage. Beyond it the words that are lacking must stand, and at least `least_context` bytes, so that no single short word passes for the passage going on.
     """
     at = item.at
     left, right = same_before(data, p, item.data, q), same_after(data, p, item.data, q)
@@ -188,20 +188,21 @@ def holds(data: bytes, p: int, item: Item, q: int, words: int, longest_word: int
     end = p + right
     if got >= words:
         return True, end
-    need = words - got - 1
-    if got <= 0 or need < 1:
+    if got <= 0:
         return False, end
+    need = max(1, words - got - 1)
     shift = p - q
     total = len(at) - 1
-    if last + 1 + need <= total:  # the word `last` replaced
-        needle, where = item.data[at[last + 1] : at[last + 1 + need]], at[last] + shift
+    after = max(last + 1 + need, bisect_left(at, at[min(last + 1, total)] + least_context))
+    if after <= total:  # the word `last` replaced
+        needle, where = item.data[at[last + 1] : at[after]], at[last] + shift
         if data.find(needle, where, where + longest_word + len(needle)) >= 0:
             return True, end
-    if first - 1 - need >= 0:  # the word before `first` replaced
-        needle, where = item.data[at[first - 1 - need] : at[first - 1]], at[first] + shift
+    before = min(first - 1 - need, bisect_right(at, at[max(first - 1, 0)] - least_context) - 1)
+    if before >= 0:  # the word before `first` replaced
+        needle, where = item.data[at[before] : at[first - 1]], at[first] + shift
         if data.find(needle, max(0, where - longest_word - len(needle)), where) >= 0:
             return True, end
-    # words on both sides of the run don't help: with one replaced, the passage is this run and one neighbour
     return False, end
 
 
