@@ -183,6 +183,23 @@ def test_mentions_in_blocks_and_mask(spark):
     assert matching.mentions(docs.limit(0), "doc_id", "text", "lang", lex).count() == 0 and matching.mentions(docs, "doc_id", "text", "lang", lex.limit(0)).count() == 0
 
 
+def test_languages_that_do_not_part_words(spark):
+    docs = spark.createDataFrame([(1, "กขคกข", "th"), (2, "กขค", "en")], "doc_id bigint, text string, lang string")
+    lex = spark.createDataFrame([("th", "ขค", [1]), ("th", "ข", [2]), ("en", "ขค", [1])], "lang string, key string, ids array<bigint>")
+    assert sorted(map(tuple, matching.mentions(docs, "doc_id", "text", "lang", lex).collect())) == [(1, 1, 3, "ขค"), (1, 4, 5, "ข")]
+    text = "abab b"
+    assert set(matching.automaton_of(["ab", "b"])(text)) == {(0, 2, "ab"), (2, 4, "ab"), (1, 2, "b"), (3, 4, "b"), (5, 6, "b")} and not list(matching.automaton_of([])(text))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(1, 9)), max_size=12))
+def test_resolved_intervals_follow_the_rule(spots):
+    found = sorted({(a, a + n, "k") for a, n in spots})
+    outer = [x for x in found if not any(y != x and y[0] <= x[0] and x[1] <= y[1] for y in found)]
+    gone = {(b if b[1] - b[0] <= a[1] - a[0] else a) for a, b in zip(outer, outer[1:], strict=False) if a[1] >= b[0]}
+    assert matching.resolved(found) == [x for x in outer if x not in gone]
+
+
 # --- knowledge base, lexicon, disambiguation
 
 
@@ -227,6 +244,10 @@ def test_lexicon(spark, small_kb):
     gone = lexicon.removed(forms, spark.createDataFrame([("all", "paris"), ("en", "LYON")], "lang string, label string"), ["en", "fr"])
     left = {(r.lang, r.key) for r in gone.collect()}
     assert ("en", "Paris") not in left and ("fr", "Paris") not in left and ("en", "Lyon") not in left and ("fr", "Lyonne") in left
+    lower = lexicon.surface_forms(small_kb, ["en"], [1], prepare=lambda key, lang: F.lower(key))
+    assert {r.key for r in lower.collect()} == {"paris", "city of light", "paris h", "lyon"}
+    bare = lexicon.removed(lower, spark.createDataFrame([("en", "LYON")], "lang string, label string"), ["en"], prepare=lambda key, lang: F.lower(key))
+    assert {r.key for r in bare.collect()} == {"paris", "city of light", "paris h"}
     fixed = lexicon.patched(lexicon.posting_lists(gone), spark.createDataFrame([("all", "paris", 9), ("fr", "paris", 10), ("en", "x", 999), ("en", None, 9), ("en", "", 9)], "lang string, alias string, num bigint"), small_kb, ["en", "fr"])
     got = {(r.lang, r.key): r.ids for r in fixed.collect()}
     assert got["en", "PARIS"] == [9] and got["fr", "Paris"] == [10] and ("en", "X") not in got

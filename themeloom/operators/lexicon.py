@@ -2,20 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .kb import KnowledgeBase
 
 FALLBACK = "en"
+#: A preprocessor of keys: key and language to key, see `functions.lemmatizers.preprocess`.
+Prepare = Callable[[Column, Column], Column]
+
+
+def _prepared(prepare: Prepare | None, key: Column, lang: Column) -> Column:
+    return key if prepare is None else prepare(key, lang)
+
+
+def _variants(prepare: Prepare | None, label: Column, lang: Column) -> Column:
+    """Case variants of a label, and each of them preprocessed."""
+    plain = T.case_variants(label)
+    return plain if prepare is None else F.array_distinct(F.concat(plain, F.array(*[prepare(F.get(plain, F.lit(i)), lang) for i in range(4)])))
 
 
-def surface_forms(kb: KnowledgeBase, langs: list[str], spaced_classes: list[int], translations: DataFrame | None = None, min_length: int = 4) -> DataFrame:
+def surface_forms(kb: KnowledgeBase, langs: list[str], spaced_classes: list[int], translations: DataFrame | None = None, min_length: int = 4, prepare: Prepare | None = None) -> DataFrame:
     """``(lang, key, num, ord)``: labels and aliases of every entity in every language that are usable keys.
 
     An entity without a label in a language lends its English label and aliases, each also in its translation, if `translations(lang, label, translation)` has
-    one. `ord` puts an entity's label before its aliases.
+    one. `ord` puts an entity's label before its aliases. `prepare` rewrites keys, as the texts are rewritten that they are looked for in.
     """
     wanted = F.explode(F.array(*[F.lit(x) for x in langs])).alias("lang")
     english = kb.labels.where(F.col("lang") == FALLBACK).select("num", F.col("label").alias("en"))
@@ -32,14 +46,15 @@ def surface_forms(kb: KnowledgeBase, langs: list[str], spaced_classes: list[int]
         lent_aliases = both
     spaced = kb.properties.where((F.col("property") == "instance_of") & F.col("value").isin(*spaced_classes)).select("num").distinct().withColumn("spaced", F.lit(True))
     every = own.unionByName(own_aliases).unionByName(lent_labels).unionByName(lent_aliases).join(spaced, "num", "left")
+    every = every.withColumn("key", _prepared(prepare, F.col("key"), F.col("lang")))
     kept = every.where(T.valid_key(F.col("key"), F.col("pos") < 0, F.coalesce("spaced", F.lit(False)), min_length))
     return kept.select("lang", "key", "num", F.col("pos").alias("ord"))
 
 
-def removed(forms: DataFrame, labels: DataFrame, langs: list[str]) -> DataFrame:
+def removed(forms: DataFrame, labels: DataFrame, langs: list[str], prepare: Prepare | None = None) -> DataFrame:
     """`forms` without every case variant of `labels(lang, label)`, lang ``all`` counting for each language."""
-    variants = labels.where("label <> ''").select("lang", F.explode(T.case_variants(F.col("label"))).alias("key"))
-    each = variants.where("lang <> 'all'").union(variants.where("lang = 'all'").select(F.explode(F.array(*[F.lit(x) for x in langs])).alias("lang"), "key")).distinct()
+    code = F.when(F.col("lang") == "all", F.array(*[F.lit(x) for x in langs])).otherwise(F.array("lang"))
+    each = labels.where("label <> ''").select(F.explode(code).alias("lang"), "label").select("lang", F.explode(_variants(prepare, F.col("label"), F.col("lang"))).alias("key")).distinct()
     return forms.join(each, ["lang", "key"], "left_anti")
 
 
@@ -48,14 +63,15 @@ def posting_lists(forms: DataFrame) -> DataFrame:
     return forms.groupBy("lang", "key").agg(F.transform(F.array_sort(F.collect_list(F.struct("num", "ord"))), lambda x: x["num"]).alias("ids"))
 
 
-def patched(lexicon: DataFrame, patches: DataFrame, kb: KnowledgeBase, langs: list[str]) -> DataFrame:
+def patched(lexicon: DataFrame, patches: DataFrame, kb: KnowledgeBase, langs: list[str], prepare: Prepare | None = None) -> DataFrame:
     """`lexicon` with the case variants of `patches(lang, alias, num)` standing for the patch's entity alone, if the knowledge base has it.
 
     A patch for a language goes before one for ``all``; among several for the same key the lowest entity wins. Patches also bring back removed keys.
     """
     there = patches.where("alias <> '' and num is not null").join(kb.entities, "num", "left_semi")
-    keyed = there.select(F.when(F.col("lang") == "all", F.array(*[F.lit(x) for x in langs])).otherwise(F.array("lang")).alias("langs"), (F.col("lang") == "all").alias("general"), F.explode(T.case_variants(F.col("alias"))).alias("key"), "num")
-    best = keyed.select(F.explode("langs").alias("lang"), "general", "key", "num").where(F.col("lang").isin(*langs)).groupBy("lang", "key").agg(F.min(F.struct("general", "num")).alias("best"))
+    code = F.when(F.col("lang") == "all", F.array(*[F.lit(x) for x in langs])).otherwise(F.array("lang"))
+    keyed = there.select(F.explode(code).alias("lang"), (F.col("lang") == "all").alias("general"), "alias", "num").where(F.col("lang").isin(*langs))
+    best = keyed.select("lang", "general", "num", F.explode(_variants(prepare, F.col("alias"), F.col("lang"))).alias("key")).groupBy("lang", "key").agg(F.min(F.struct("general", "num")).alias("best"))
     best = best.select("lang", "key", F.array("best.num").alias("ids"))
     return lexicon.join(best, ["lang", "key"], "left_anti").unionByName(best)
 

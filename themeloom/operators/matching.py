@@ -11,7 +11,7 @@ overlaps are resolved over the union. Texts aren't shuffled for it.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -62,6 +62,29 @@ def find(text: str, trie: dict) -> Iterator[tuple[int, int, str]]:
                 yield starts[i], starts[j - 1] + len(seg), node[""]
 
 
+def automaton_of(keys: list[str]) -> Callable[[str], Iterator[tuple[int, int, str]]]:
+    """Finds every occurrence of every key anywhere, for languages that don't part words; by the Aho-Corasick automaton where its library is there."""
+    try:
+        import ahocorasick
+    except ImportError:
+        ahocorasick = None
+    if ahocorasick is None or not keys:
+
+        def search(text: str) -> Iterator[tuple[int, int, str]]:
+            for key in keys:
+                i = text.find(key)
+                while i >= 0:
+                    yield i, i + len(key), key
+                    i = text.find(key, i + 1)
+
+        return search
+    made = ahocorasick.Automaton()
+    for key in keys:
+        made.add_word(key, key)
+    made.make_automaton()
+    return lambda text: ((end + 1 - len(key), end + 1, key) for end, key in made.iter(text))
+
+
 def resolved(found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Matches without those within others, then without the shorter of neighbours that overlap or touch."""
     kept: list[tuple[int, int, str]] = []
@@ -90,10 +113,11 @@ def resolve_overlaps(intervals: DataFrame) -> DataFrame:
     return marked.where("not gone").select("doc_id", "start", "stop", "key")
 
 
-def mentions(docs: DataFrame, doc_id: str, text: str, lang: str, lexicon: DataFrame, fallback: str = "en", overlaps: bool = False, block_keys: int = 1_000_000) -> DataFrame:
+def mentions(docs: DataFrame, doc_id: str, text: str, lang: str, lexicon: DataFrame, fallback: str = "en", overlaps: bool = False, block_keys: int = 1_000_000, unparted: tuple[str, ...] = ("th",)) -> DataFrame:
     """`MATCHES` of the keys of `lexicon(lang, key, ...)` in the texts, in each text's own language, or `fallback` where the lexicon hasn't that language.
 
-    A language code counts in lower case and up to a hyphen. Line feeds count as spaces. With `overlaps` all matches are given. Null and empty texts have none.
+    A language code counts in lower case and up to a hyphen. Line feeds count as spaces. With `overlaps` all matches are given. In the languages `unparted` keys may stand within words. Null
+    and empty texts have none.
     """
     keys = lexicon.where("key <> ''").select("lang", "key").distinct()
     n = keys.count()
@@ -113,11 +137,15 @@ def mentions(docs: DataFrame, doc_id: str, text: str, lang: str, lexicon: DataFr
         shared = sc.broadcast(forms)
         final = blocks == 1 and not overlaps
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, final=final) -> Iterator[pa.RecordBatch]:
+        free = {code: of for code, of in by_lang.items() if code in unparted}
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, final=final, free=free) -> Iterator[pa.RecordBatch]:
+            anywhere = {code: automaton_of(of) for code, of in free.items()}
             for batch in batches:
                 out: list[tuple] = []
                 for number, code, value in zip(*batch.to_pydict().values(), strict=True):
-                    found = list(find(value, shared.value.get(code if code in known else fallback, {})))
+                    code = code if code in known else fallback
+                    found = list(anywhere[code](value) if code in anywhere else find(value, shared.value.get(code, {})))
                     out += [(number, *m) for m in (resolved(found) if final else found)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["doc_id", "start", "stop", "key"])
 
