@@ -32,7 +32,7 @@ def test_query_without_oracle_runs(spark, sf, name):
 
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
-    assert df.columns == ["link", "node_no", "kind", "root_no", "depth"] and df.count() > 0
+    assert df.columns == ["doc_id", "topic", "prob", "place", "words"] and df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and set(QUERIES) <= set(__spark_entry__.queries())
 
 
