@@ -41,3 +41,12 @@ def test_core_never_imports_the_subpackage():
         if "llm" not in file.relative_to(ROOT).parts:
             assert not re.search(r"^\s*(from|import)\s[^\n]*\bllm\b", file.read_text(), re.M), file
     assert "localCheckpoint" not in "".join(f.read_text() for f in (ROOT / "themeloom").rglob("*.py"))
+
+
+def test_every_query_takes_empty_tables(spark, sf, tmp_path):
+    import pyarrow.parquet as pq
+
+    for file in Path(sf).glob("*.parquet"):
+        pq.write_table(pq.read_table(file).slice(0, 0), tmp_path / file.name)
+    for name in ("lexicon_patch_remove", "entity_mentions", "disambiguate_extend", "kmeans_lloyd", "kmeans_ml", "lda_baseline", "topics_wide", "model_statistics", "corpus_report", "corpus_split", "corpus_filter_concat", "page_text_entities", "p1_found", "p7_paths"):
+        assert QUERIES[name](spark, str(tmp_path)).count() <= 1, name

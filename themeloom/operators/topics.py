@@ -45,6 +45,8 @@ def _sums(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
 def lloyd(vectors: DataFrame, start: np.ndarray, iterations: int) -> np.ndarray:
     """Centroids after the given number of Lloyd iterations from `start`; a centroid without rows stays. `vectors` should be materialised."""
     centroids = np.array(start, float)
+    if not len(centroids):
+        return centroids
     dims = centroids.shape[1]
     for _ in range(iterations):
         part = _sums(vectors, centroids).groupBy("topic").agg(F.sum("n").alias("n"), *[F.sum(F.col("total")[i]).alias(f"s{i}") for i in range(dims)])
@@ -55,8 +57,9 @@ def lloyd(vectors: DataFrame, start: np.ndarray, iterations: int) -> np.ndarray:
 
 
 def start_vectors(vectors: DataFrame, k: int) -> np.ndarray:
-    """The vectors of the k lowest entities, a fixed start."""
-    return np.array([r.vec for r in vectors.orderBy("num").limit(k).collect()], float)
+    """The vectors of the k lowest entities, a fixed start; fewer where there are fewer, an empty matrix where there are none."""
+    rows = [r.vec for r in vectors.orderBy("num").limit(k).collect()]
+    return np.array(rows, float) if rows else np.empty((0, 0))
 
 
 def _per_batch(vectors: DataFrame, num: str, centroids: np.ndarray, schema: str, work: Callable[[np.ndarray, np.ndarray], list[np.ndarray]]) -> DataFrame:

@@ -212,6 +212,8 @@ def kmeans_ml(spark, sf_dir):
     from pyspark.ml.functions import array_to_vector
 
     vectors, c = _model(spark, sf_dir)
+    if len(c) < TOPICS:
+        return spark.createDataFrame([], "kind string, mean_d2 double")
     fitted = KMeans(k=TOPICS, seed=1, maxIter=20).fit(vectors.select(array_to_vector("vec").alias("features")))
     own = T.nearest(vectors, "num", c).agg(F.avg("d2").alias("d2")).first().d2
     return spark.createDataFrame([("library", fitted.summary.trainingCost / max(vectors.count(), 1)), ("fixed start", own)], "kind string, mean_d2 double")
@@ -367,6 +369,8 @@ def lda_baseline(spark, sf_dir):
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
+    if not _tokens(spark, sf_dir).limit(1).count():
+        return spark.createDataFrame([], "topic int, place int, word string, score double")
     bags = _tokens(spark, sf_dir).groupBy("doc").agg(F.collect_list(F.col("tok").cast("string")).alias("tokens"))  # a page's own list
     counts = CountVectorizer(inputCol="tokens", outputCol="features", minDF=2.0).fit(bags)
     rows = materialise(counts.transform(bags).select("doc", "features"))
