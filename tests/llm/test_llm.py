@@ -237,6 +237,22 @@ def test_clusters_equal_brute_force_even_with_full_cells(spark):
     assert density.density_peaks(df.where("rec > 9000"), "rec", "v", 16).count() == 0
 
 
+def test_densities_are_exact_counts(spark):
+    """A group of a third of all rows, with cells and blocks far smaller than it, and copies."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 16))
+    of = np.where(np.arange(900) < 300, 0, rng.integers(1, 40, 900))
+    x = centres[of] + rng.normal(size=(900, 16)) * 0.5
+    x[880:890] = x[:10]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(t) for t in v]) for i, v in enumerate(x)], "rec long, v array<double>")
+    for cell_rows, block_rows in ((40, 50), (2048, 8192)):
+        got = density.density_peaks(df, "rec", "v", 16, cell_rows=cell_rows, block_rows=block_rows).collect()
+        cluster = np.array([r.cluster for r in sorted(got)])
+        near = (x @ x.T >= 0.8) & (cluster[:, None] == cluster)
+        assert len(got) == 900 and {r.rec: r.density for r in got} == dict(enumerate(near.sum(axis=1)))
+
+
 def test_cell_pointers_lead_to_the_nearest_denser():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(50, 4)).astype(np.float32)

@@ -1,6 +1,6 @@
 """Grouping records into similarity clusters: density peaks over blocked neighbour joins.
 
-Records are unit vectors; neighbours have a cosine of at least `threshold`. A record's density is the weight of its neighbours, its pointer leads to the nearest denser
+Records are unit vectors; neighbours have a cosine of at least `threshold`. In a pass, a record's density is the weight of the neighbours it meets, its pointer leads to the nearest denser
 neighbour, a record without one is a peak, and following the pointers gives every record the peak of its cluster (Rodriguez and Laio).
 
 No pass compares all pairs. Records are blocked by their nearest pivots, a bounded sample of the records themselves: each goes to the cells of its `probes` nearest
@@ -8,6 +8,8 @@ pivots, and neighbours meet in a cell unless they share none. Within a cell, sim
 other pivots over the peaks alone, each standing for the weight it has gathered; peaks that are neighbours join there, so what one blocking parts the next puts together. A cell
 is never larger than `cell_rows`: larger ones are parted at random, and the peaks of the parts meet in the next pass. Records with equal vectors are one
 record with a weight from the start, so copies cost nothing. Passes end when one after the second joins nothing.
+
+The densities that come out are counted afterwards and are exact: all pairs within each cluster are compared, a large cluster as blocks against blocks whose sums are added up.
 """
 
 from __future__ import annotations
@@ -81,6 +83,55 @@ def cell_pointers(ids: np.ndarray, x: np.ndarray, rho: np.ndarray, threshold: fl
     return ids[has], ids[best[has]], cosine[has].astype(np.float64)
 
 
+def block_density(x: np.ndarray, v: np.ndarray, y: np.ndarray, w: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weight of the neighbours of each row of `x` among the rows of `y`, and the other way round; `v` and `w` are the rows' weights. Cosines close to the threshold are taken again in doubles."""
+    of_x, of_y = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
+    many_v, many_w = np.nonzero(v > 1)[0], np.nonzero(w > 1)[0]
+    for start in range(0, len(x), 512):
+        part, k = slice(start, start + 512), many_v[(many_v >= start) & (many_v < start + 512)]
+        near = x[part] @ y.T
+        hit = near >= threshold
+        i, j = np.nonzero(np.abs(near - np.float32(threshold)) < 1e-5)
+        if len(i):
+            hit[i, j] = np.einsum("ij,ij->i", x[part][i].astype(np.float64), y[j].astype(np.float64)) >= threshold
+        of_x[part] = np.count_nonzero(hit, axis=1) + hit[:, many_w] @ (w[many_w] - 1)
+        of_y += np.count_nonzero(hit, axis=0) + (v[k] - 1) @ hit[k - start]
+    return of_x, of_y
+
+
+def cluster_density(points: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """``(id, rho)`` of ``(id, peak, vec, weight)``: the weight of all neighbours that each point has in its own cluster, itself included.
+
+    A cluster above `block_rows` is dealt out to blocks, and every pair of its blocks is a group; smaller ones share groups, and are compared one by one there.
+    """
+    sizes = materialise(points.groupBy("peak").agg(F.count(F.lit(1)).alias("n")))
+    large = {r.peak: -(-r.n // block_rows) for r in sizes.where(F.col("n") > block_rows).collect()}  # at most a row per block
+    groups = max(1, -(-(sizes.where(F.col("n") <= block_rows).agg(F.sum("n")).first()[0] or 0) // block_rows))
+    blocks = F.lit(None).cast("int")
+    if large:
+        blocks = F.element_at(F.create_map(*[F.lit(v) for kv in large.items() for v in kv]), F.col("peak")).cast("int")
+    dealt = points.withColumn("blocks", blocks).withColumn("block", F.coalesce(F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")), F.lit(0)).cast("int"))
+    dealt = dealt.withColumn("shared", F.when(F.col("blocks").isNull(), F.pmod(F.xxhash64("peak"), F.lit(groups))).otherwise(-1)).withColumn("whole", F.when(F.col("blocks").isNotNull(), F.col("peak")))
+    pairs = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+    pairs = pairs.select("shared", "whole", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "peak", "weight", "vec")
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, x, w = t.column("id").to_numpy(), _matrix(t.column("vec")), t.column("weight").to_numpy()
+        rho = np.zeros(len(ids), np.int64)
+        if t.column("low")[0].as_py() != t.column("high")[0].as_py():
+            first = t.column("block").to_numpy() == t.column("low")[0].as_py()
+            rho[first], rho[~first] = block_density(x[first], w[first], x[~first], w[~first], threshold)
+        else:
+            peak = t.column("peak").to_numpy()
+            order = np.argsort(peak, kind="stable")
+            for own in np.split(order, np.nonzero(np.diff(peak[order]))[0] + 1):
+                rho[own] = block_density(x[own], w[own], x[own], w[own], threshold)[0]
+        return pa.table({"id": t.column("id"), "rho": pa.array(rho)})
+
+    parts = pairs.groupBy("shared", "whole", "low", "high").applyInArrow(run, "id bigint, rho bigint")
+    return parts.groupBy("id").agg(F.sum("rho").cast("double").alias("rho"))
+
+
 def follow(pointers: DataFrame) -> DataFrame:
     """``(id, peak)`` from ``(id, to)``, `to` null for peaks, by pointer doubling; resolved rows leave the joins."""
     done = materialise(pointers.where("to is null").select("id", F.col("id").alias("peak")))
@@ -94,8 +145,8 @@ def follow(pointers: DataFrame) -> DataFrame:
     return done
 
 
-def _pass(points: DataFrame, n: int, threshold: float, probes: int, cell_rows: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """One pass over ``(id, vec, weight)``: ``(id, peak)`` of all, and ``(id, rho)``."""
+def _pass(points: DataFrame, n: int, threshold: float, probes: int, cell_rows: int, seed: int) -> DataFrame:
+    """One pass over ``(id, vec, weight)``: ``(id, peak)`` of all."""
     want = int(min(_MAX_PIVOTS, max(1, -(-2 * probes * n // cell_rows))))
     sample = points.orderBy(F.xxhash64("id", F.lit(seed))).limit(want).select("vec").collect()
     pivots = np.array([r.vec for r in sample], np.float32)
@@ -120,22 +171,21 @@ def _pass(points: DataFrame, n: int, threshold: float, probes: int, cell_rows: i
     cells = _assigned(dense, pivots, probes, {"rho": "double", "vec": "array<float>"}).withColumn("part", part)
     best = cells.groupBy("cell", "part").applyInArrow(pointers, "id bigint, to bigint, cosine double").groupBy("id").agg(F.max(F.struct("cosine", (-F.col("to")).alias("to"))).alias("best"))
     links = points.select("id").join(best.select(F.col("id").alias("i"), (-F.col("best.to")).alias("to")), F.col("id") == F.col("i"), "left").select("id", "to")
-    return follow(materialise(links)), rho
+    return follow(materialise(links))
 
 
-def density_peaks(records: DataFrame, rec: str, vector: str, dims: int, threshold: float = 0.8, probes: int = 3, cell_rows: int = 2048, passes: int = 6) -> DataFrame:
+def density_peaks(records: DataFrame, rec: str, vector: str, dims: int, threshold: float = 0.8, probes: int = 3, cell_rows: int = 2048, passes: int = 6, densities: bool = True, block_rows: int = 8192) -> DataFrame:
     """``(rec, cluster, density, size)`` of every record with a usable vector (see `unit_vectors`).
 
-    cluster is the lowest `rec` of the cluster, size its number of records, density the weight of the record's neighbours (itself included) in the fullest
-    of its cells of the first pass. Repeated `rec` values count as records each; without any usable vector there are no rows.
+    cluster is the lowest `rec` of the cluster, size its number of records, density the number of the record's neighbours in its cluster
+    (itself included), null without `densities`. Repeated `rec` values count as records each; without any usable vector there are no rows.
     """
     given = materialise(unit_vectors(records, rec, vector, dims))
     copies = materialise(given.groupBy("vec").agg(F.min("rec").alias("id"), F.count(F.lit(1)).alias("weight")).select("id", "vec", "weight"))
-    points, labels, first_rho = copies, None, None
+    points, labels = copies, None
     n = points.count()
     for k in range(passes if n else 0):
-        peaks, rho = _pass(points, n, threshold, probes, cell_rows, 1000 * (k + 1))
-        first_rho = rho if first_rho is None else first_rho
+        peaks = _pass(points, n, threshold, probes, cell_rows, 1000 * (k + 1))
         labels = peaks.select("id", F.col("peak")) if labels is None else materialise(labels.join(peaks.select(F.col("id").alias("p"), F.col("peak").alias("up")), F.col("peak") == F.col("p")).select("id", F.col("up").alias("peak")))
         gathered = points.select("id", "weight").join(peaks, "id").groupBy("peak").agg(F.sum("weight").alias("weight"))
         points = materialise(points.select("id", "vec").join(gathered, F.col("id") == F.col("peak")).select("id", "vec", "weight"))
@@ -144,7 +194,12 @@ def density_peaks(records: DataFrame, rec: str, vector: str, dims: int, threshol
             break
     if labels is None:
         return given.select("rec", F.col("rec").alias("cluster"), F.lit(0.0).alias("density"), F.lit(0).cast("bigint").alias("size"))
-    of = labels.join(first_rho, "id").join(copies.select("id", "vec"), "id")
+    of = labels.join(copies, "id").select("id", "peak", "vec", "weight")
+    if densities:
+        of = materialise(of)
+        of = of.join(cluster_density(of, threshold, block_rows), "id")
+    else:
+        of = of.withColumn("rho", F.lit(None).cast("double"))
     rows = materialise(given.join(of, "vec").select("rec", "peak", "rho"))
     named = rows.groupBy("peak").agg(F.min("rec").alias("cluster"), F.count(F.lit(1)).alias("size"))
     return rows.join(named, "peak").select("rec", "cluster", F.col("rho").alias("density"), "size")

@@ -42,19 +42,19 @@ def p2_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("rec").alias("page_no"), F.col("term").alias("entity_no"), "n", "m", F.round("weight", 6).alias("weight"))
 
 
-def _page_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _page_clusters(spark: SparkSession, sf_dir: str, densities: bool) -> DataFrame:
     now = latest_state(table(spark, sf_dir, "wiki_page"), entity_number("id"), "scraped_at", "page_no", {"page_no": F.col("page_no"), "embedding": F.col("embedding")})
-    return density.density_peaks(now, "page_no", "embedding", 64)
+    return density.density_peaks(now, "page_no", "embedding", 64, densities=densities)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages of each group of two or more similar current pages."""
-    return _page_clusters(spark, sf_dir).where("size >= 2").select(F.col("cluster").alias("cluster_first"), F.col("rec").alias("page_no"))
+    return _page_clusters(spark, sf_dir, False).where("size >= 2").select(F.col("cluster").alias("cluster_first"), F.col("rec").alias("page_no"))
 
 
 def p3_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size and three most typical pages of each group."""
-    top = density.typical(_page_clusters(spark, sf_dir).where("size >= 2"))
+    top = density.typical(_page_clusters(spark, sf_dir, True).where("size >= 2"))
     return top.select(F.col("cluster").alias("cluster_first"), F.col("size").alias("cluster_size"), F.col("member").alias("page_no"), "place")
 
 
