@@ -2,6 +2,7 @@
 
 import sys
 from collections import Counter
+from itertools import combinations
 from pathlib import Path
 
 import pandas as pd
@@ -10,7 +11,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 from oracle import connection, oracle_rows, rows_of
 
-from themeloom.llm.queries import ORACLES, QUERIES
+from themeloom.llm.queries import ORACLES, QUERIES, listed_entities
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +24,13 @@ def test_query_equals_its_oracle(spark, sf, con, name):
     assert rows_of(QUERIES[name](spark, sf)) == oracle_rows(con, ORACLES[name])
 
 
+def test_every_pair_comes_out(spark, sf):
+    pages = [sorted(set(r.items)) for r in listed_entities(spark, sf).select("items").collect()]
+    want = Counter(p for items in pages for p in combinations(items, 2))
+    assert {(r.entity_a, r.entity_b): r.shared for r in QUERIES["p6_pairs"](spark, sf).collect()} == dict(want)
+    assert min(want.values()) == 1
+
+
 def test_packing_query(spark, sf):
     rows = QUERIES["p8_packed"](spark, sf).collect()
     docs = pd.read_parquet(f"{sf}/documents.parquet")

@@ -88,6 +88,13 @@ def p6_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("a").alias("entity_a"), F.col("b").alias("entity_b"), "shared", F.round("lift", 6).alias("lift"), F.round(npmi, 6).alias("npmi"))
 
 
+def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every pair of entities that share a page, however rare or frequent; a pair on all pages has no npmi."""
+    found = pairs.pair_counts(listed_entities(spark, sf_dir), "items")
+    npmi = F.ln("lift") / F.nullif(-F.ln(F.col("shared") / F.col("n_records")), F.lit(0.0))
+    return found.select(F.col("a").alias("entity_a"), F.col("b").alias("entity_b"), "shared", F.round("lift", 6).alias("lift"), F.round(npmi, 6).alias("npmi"))
+
+
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every piece of every document, sizes in bytes of UTF-8."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("size"))
@@ -113,5 +120,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["ORACLES", "QUERIES"]
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p3_found, p3_typical, p4_found, p5_found, p5_ngrams, p6_found, p6_lift, p8_packed, p9_found, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p3_found, p3_typical, p4_found, p5_found, p5_ngrams, p6_found, p6_lift, p6_pairs, p8_packed, p9_found, p10_found, p10_pieces)}
 
