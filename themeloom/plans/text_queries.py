@@ -113,6 +113,12 @@ def acronym(spark, sf_dir):
     return d.select("doc_id", F.md5(F.encode(T.acronyms(F.col("text")), "UTF-8")).alias("digest"))
 
 
+@query()
+def acronym_all(spark, sf_dir):
+    """The same of every text, without SQL."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(T.acronyms(F.col("text")), "UTF-8")).alias("digest"))
+
+
 @query("select doc_id, md5(regexp_replace(text, '([''’])', ' \\1', 'g')) as digest, md5(replace(regexp_replace(text, '([!-/:-@\\[-`{-~])', ' \\1', 'g'), '’', ' ’')) as digest_all from documents")
 def apostrophe_space(spark, sf_dir):
     t = F.col("text")
@@ -134,6 +140,13 @@ def title_case_restore(spark, sf_dir):
     return w.select("word", T.restore_case(F.lower(F.substring("word", 1, 3)), F.col("word")).alias("lemma"))
 
 
+@query()
+def title_case_restore_all(spark, sf_dir):
+    """The same of every word, without SQL: upper case of a sharp s differs there."""
+    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+)"), F.lit(1))).alias("word")).distinct()
+    return w.select("word", T.restore_case(F.lower(F.substring("word", 1, 3)), F.col("word")).alias("lemma"))
+
+
 # --- bags: how often each user did what; even events against odd ones, errors of odd users left out on the right
 
 _BAGS = """l as (select user_id as owner, event_type as key, count(*)::double as a from events where event_id % 2 = 0 group by all), r as (select user_id as owner, event_type as key, count(*)::double as b from events where event_id % 2 = 1 and not (event_type = 'error' and user_id % 2 = 1) group by all),
@@ -196,6 +209,73 @@ def bag_tail(spark, sf_dir):
     return B.tail(_bags(spark, sf_dir)[0], 2)
 
 
+# --- bags of whole tables: how often each user did what; events of users against orders of the customers with the same number, by weekday
+
+_USES = "l as (select user_id as owner, event_type as key, count(*)::double as a from events where user_id is not null and event_type is not null group by all)"
+_DAYS = """l as (select user_id as owner, dayofweek(ts) + 1 as key, count(*)::double as a from events where user_id is not null and ts is not null group by all), r as (select o_custkey as owner, dayofweek(o_orderdate) + 1 as key, count(*)::double as b from orders where o_custkey is not null and o_orderdate is not null group by all),
+f as (select coalesce(l.owner, r.owner) as owner, coalesce(l.key, r.key) as key, coalesce(a, 0) as a, coalesce(b, 0) as b from l full join r on l.owner = r.owner and l.key = r.key)"""
+
+
+def _uses(spark, sf_dir):
+    return B.bag(table(spark, sf_dir, "events"), "user_id", "event_type")
+
+
+def _days(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", F.dayofweek("ts").alias("day"))
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.dayofweek("o_orderdate").alias("day"))
+    return B.bag(e, "user_id", "day"), B.bag(o, "o_custkey", "day")
+
+
+def _days_query(operation: str, formula: str, intersection: bool = False):
+    def run(spark, sf_dir):
+        left, right = _days(spark, sf_dir)
+        return B.combine(left, right, operation, intersection).select("owner", "key", F.round("value", 6).alias("value"))
+
+    run.__name__ = f"bag_{operation}" + ("_common" if intersection else "") + "_all"
+    query(f"with {_DAYS} select owner, key, round({formula}, 6) as value from " + ("(select l.owner, l.key, a, b from l join r on l.owner = r.owner and l.key = r.key)" if intersection else "f"))(run)
+
+
+for _name, _formula in (("add", "a + b"), ("sub", "a - b"), ("mul", "a * b"), ("div", "a / nullif(b, 0)"), ("floordiv", "floor(a / nullif(b, 0))"), ("mod", "a - b * floor(a / nullif(b, 0))"), ("pow", "pow(a, b)")):
+    _days_query(_name, _formula)
+_days_query("mul", "a * b", True)
+
+
+@query(f"with {_DAYS} select owner, sum(a * b) as value from l join r using (owner, key) group by owner")
+def bag_inner_all(spark, sf_dir):
+    return B.inner(*_days(spark, sf_dir))
+
+
+@query(f"with {_USES} select owner, key, -(7 % a) as value from l")
+def bag_scalar_all(spark, sf_dir):
+    return B.negate(B.scalar(_uses(spark, sf_dir), "mod", 7, reflected=True))
+
+
+@query(f"with {_USES} select owner, key, a as value, 'ge' as kind from l where a >= 20 union all select owner, key, a, 'ne' from l where a <> 20")
+def bag_compare_all(spark, sf_dir):
+    uses = _uses(spark, sf_dir)
+    return B.compare(uses, "ge", 20).withColumn("kind", F.lit("ge")).union(B.compare(uses, "ne", 20).withColumn("kind", F.lit("ne")))
+
+
+@query(f"with {_USES} select owner, bool_or(a > 24) as holds from l group by owner")
+def bag_holds_all(spark, sf_dir):
+    return B.holds_any(_uses(spark, sf_dir), "gt", 24)
+
+
+@query(f"with {_USES} select owner, key, round(a / sum(a) over (partition by owner), 6) as value from l")
+def bag_freq_all(spark, sf_dir):
+    return B.frequencies(_uses(spark, sf_dir)).select("owner", "key", F.round("value", 6).alias("value"))
+
+
+@query(f"with {_USES} select owner, key, a as value, place from (select *, row_number() over (partition by owner order by a desc, key)::integer as place from l) where place <= 2")
+def bag_head_all(spark, sf_dir):
+    return B.head(_uses(spark, sf_dir), 2)
+
+
+@query(f"with {_USES} select owner, key, a as value, place from (select *, row_number() over (partition by owner order by a, key desc)::integer as place from l) where place <= 2")
+def bag_tail_all(spark, sf_dir):
+    return B.tail(_uses(spark, sf_dir), 2)
+
+
 # --- ordered corpora: the documents in the order of their numbers
 
 _POS = "c as (select row_number() over (order by doc_id) - 1 as pos, doc_id, title, text, source from documents)"
