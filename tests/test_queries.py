@@ -49,6 +49,21 @@ def test_no_event_text_or_word_is_left_out(spark, sf, con, tmp_path):
     assert {r.word: r.lemma for r in QUERIES["title_case_restore_all"](spark, str(tmp_path)).collect()} == restored
 
 
+def test_every_document_gives_its_grams(spark, sf, con):
+    import collections
+
+    texts = [t or "" for (t,) in con.execute("select text from documents").fetchall()]
+    lists = [[w for w in re.split("[ \t\r\n\f\v]+", t) if w] for t in texts]
+    want = {
+        "ngrams_documents": collections.Counter(" ".join(w[i : i + 2]) for w in lists for i in range(len(w) - 1)),
+        "allngrams_documents": collections.Counter(" ".join(w[i : i + k]) for w in lists for k in (1, 2, 3) for i in range(len(w) - k + 1)),
+        "kshingles_documents": collections.Counter(t[i : i + 5] for t in texts for i in range(len(t) - 4)),
+    }
+    for name, counts in want.items():
+        assert {r[0]: r.n for r in QUERIES[name](spark, sf).collect()} == dict(counts), name
+    assert QUERIES["sliding_windows_documents"](spark, sf).count() == sum(max(1, len(w) - 9) for w in lists)
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["doc_id", "topic", "prob", "place", "words"] and df.count() > 0

@@ -26,9 +26,10 @@ def all_ngrams(tokens: Column, longest: int) -> Column:
 
 
 def shingles(text: Column, k: int) -> Column:
-    """Substrings of `k` characters."""
+    """Substrings of `k` characters. They are joined from the text's characters, as looking for a place in a long text starts at its head each time."""
     last = F.length(text) - (k - 1)
-    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+    of = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(c, i, F.lit(k)), ""))
+    return F.when(last >= 1, F.element_at(F.transform(F.array(F.split(text, "")), of), 1)).otherwise(F.array().cast("array<string>"))
 
 
 def sliding_windows(tokens: Column, size: int) -> Column:

@@ -95,6 +95,35 @@ def sliding_windows(spark, sf_dir):
     return _words(spark, sf_dir).select("item_id", F.posexplode(T.sliding_windows(F.col("t"), 10)).alias("window_no", "w")).select("item_id", F.col("window_no").cast("bigint").alias("window_no"), F.array_join("w", " ").alias("words"))
 
 
+# --- the same four over the documents
+
+_DOCWORDS = "w as (select doc_id, list_filter(regexp_split_to_array(text, '[ \\t\\r\\n\\f\\v]+'), lambda x: x <> '') as t from documents)"
+
+
+def _doc_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("t"))
+
+
+@query(f"with {_DOCWORDS} select gram, count(*) as n from (select array_to_string(t[i : i + 1], ' ') as gram from (select t, unnest(range(1, len(t))) as i from w)) group by gram")
+def ngrams_documents(spark, sf_dir):
+    return _doc_words(spark, sf_dir).select(F.explode(T.ngrams(F.col("t"), 2)).alias("g")).groupBy(F.array_join("g", " ").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {_DOCWORDS} select gram, count(*) as n from (select array_to_string(t[i : i + k - 1], ' ') as gram from (select t, unnest(range(1, len(t) + 1)) as i from w), (select unnest([1, 2, 3]) as k) where i + k - 1 <= len(t)) group by gram")
+def allngrams_documents(spark, sf_dir):
+    return _doc_words(spark, sf_dir).select(F.explode(T.all_ngrams(F.col("t"), 3)).alias("g")).groupBy(F.array_join("g", " ").alias("gram")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select shingle, count(*) as n from (select text[i : i + 4] as shingle from (select text, unnest(range(1, length(text) - 3)) as i from documents)) group by shingle")
+def kshingles_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.explode(T.shingles(F.col("text"), 5)).alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {_DOCWORDS} select doc_id, i - 1 as window_no, array_to_string(t[i : i + 9], ' ') as words from (select doc_id, t, unnest(range(1, greatest(len(t) - 9, 1) + 1)) as i from w)")
+def sliding_windows_documents(spark, sf_dir):
+    return _doc_words(spark, sf_dir).select("doc_id", F.posexplode(T.sliding_windows(F.col("t"), 10)).alias("window_no", "w")).select("doc_id", F.col("window_no").cast("bigint").alias("window_no"), F.array_join("w", " ").alias("words"))
+
+
 @query("select doc_id, md5(regexp_replace(text, '[!-/:-@\\[-`{-~]', '', 'g')) as digest from documents")
 def remove_punct(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(T.remove_punctuation(F.col("text")), "UTF-8")).alias("digest"))
