@@ -64,6 +64,33 @@ def test_every_document_gives_its_grams(spark, sf, con):
     assert QUERIES["sliding_windows_documents"](spark, sf).count() == sum(max(1, len(w) - 9) for w in lists)
 
 
+def test_topics_are_trained_to_the_end(spark, sf):
+    import numpy as np
+
+    from themeloom.operators import topics
+    from themeloom.plans import topic_queries
+
+    vectors = topic_queries._entity_vectors(spark, sf).collect()
+    x = np.array([r.vec for r in vectors], float)
+    c = np.array([r.vec for r in QUERIES["kmeans_lloyd_full"](spark, sf).orderBy("topic").collect()])
+    assert len(c) == min(100, len(x))
+    label = topics.squared_distances(x, c).argmin(axis=1)
+    assert all(np.allclose(c[k], x[label == k].mean(axis=0), atol=1e-9) for k in set(label.tolist()))  # one more round moves nothing
+
+
+def test_lda_knows_every_entity(spark, sf, monkeypatch):
+    from pyspark.ml.feature import CountVectorizer
+
+    from themeloom.plans import topic_queries
+
+    seen = []
+    fit = CountVectorizer.fit
+    monkeypatch.setattr(CountVectorizer, "fit", lambda self, df: seen.append(fit(self, df)) or seen[0])
+    monkeypatch.setattr(topic_queries, "REFERENCE_SWEEPS", 1)
+    QUERIES["lda_baseline"](spark, sf)
+    assert set(seen[0].vocabulary) == {str(r.tok) for r in topic_queries._tokens(spark, sf).select("tok").distinct().collect()}
+
+
 def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.columns == ["doc_id", "topic", "prob", "place", "words"] and df.count() > 0

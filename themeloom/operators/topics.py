@@ -43,16 +43,19 @@ def _sums(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def lloyd(vectors: DataFrame, start: np.ndarray, iterations: int) -> np.ndarray:
-    """Centroids after the given number of Lloyd iterations from `start`; a centroid without rows stays. `vectors` should be materialised."""
+    """Centroids after the given number of Lloyd iterations from `start`, or when none moves any more; a centroid without rows stays. `vectors` should be materialised."""
     centroids = np.array(start, float)
     if not len(centroids):
         return centroids
     dims = centroids.shape[1]
     for _ in range(iterations):
         part = _sums(vectors, centroids).groupBy("topic").agg(F.sum("n").alias("n"), *[F.sum(F.col("total")[i]).alias(f"s{i}") for i in range(dims)])
+        before = centroids.copy()
         for r in part.collect():  # k rows
             if r.n:
                 centroids[r.topic] = [r[f"s{i}"] / r.n for i in range(dims)]
+        if np.allclose(centroids, before, rtol=0, atol=1e-12):  # sums differ by their order
+            break
     return centroids
 
 

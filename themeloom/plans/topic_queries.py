@@ -20,6 +20,7 @@ from .catalog import query, table
 from .kb_queries import LANGS, LEXICON_SQL, good_knowledge, knowledge, lexicon_of
 
 DIMS, TOPICS, ROUNDS, WORDS, THRESHOLD = 64, 8, 3, 50, 0.5
+REFERENCE_TOPICS, REFERENCE_ROUNDS, REFERENCE_WORDS, REFERENCE_SWEEPS = 100, 300, 500, 1000  # what the reference trains with; sweeps are LDA's
 
 # --- mentions
 
@@ -205,6 +206,25 @@ def kmeans_lloyd(spark, sf_dir):
     return spark.createDataFrame(rows, "topic int, dim int, value double").withColumn("value", F.round("value", 6))
 
 
+def _full_model(spark, sf_dir):
+    vectors = materialise(_entity_vectors(spark, sf_dir))
+    return vectors, T.lloyd(vectors, T.start_vectors(vectors, REFERENCE_TOPICS), REFERENCE_ROUNDS)
+
+
+@query()
+def kmeans_lloyd_full(spark, sf_dir):
+    """Centroids of the reference's number of topics, after Lloyd rounds until nothing moves or the reference's number of rounds is done; without SQL."""
+    c = _full_model(spark, sf_dir)[1]
+    return spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(c)], "topic int, vec array<double>")
+
+
+@query()
+def topic_top_entities_full(spark, sf_dir):
+    """The reference's number of words of each of those topics; without SQL."""
+    vectors, c = _full_model(spark, sf_dir)
+    return T.topic_words(vectors, c, REFERENCE_WORDS).select("topic", "place", "num", F.round("score", 6).alias("score"))
+
+
 @query()
 def kmeans_ml(spark, sf_dir):
     """The library's k-means with its own start, and the mean squared distance that it and the fixed start end with."""
@@ -372,9 +392,10 @@ def lda_baseline(spark, sf_dir):
     if not _tokens(spark, sf_dir).limit(1).count():
         return spark.createDataFrame([], "topic int, place int, word string, score double")
     bags = _tokens(spark, sf_dir).groupBy("doc").agg(F.collect_list(F.col("tok").cast("string")).alias("tokens"))  # a page's own list
-    counts = CountVectorizer(inputCol="tokens", outputCol="features", minDF=2.0).fit(bags)
+    distinct = _tokens(spark, sf_dir).agg(F.count_distinct("tok")).first()[0]
+    counts = CountVectorizer(inputCol="tokens", outputCol="features", minDF=1.0, vocabSize=distinct).fit(bags)  # every id
     rows = materialise(counts.transform(bags).select("doc", "features"))
-    fitted = LDA(k=TOPICS, maxIter=5, seed=1, featuresCol="features").fit(rows)
+    fitted = LDA(k=REFERENCE_TOPICS, maxIter=REFERENCE_SWEEPS, seed=1, featuresCol="features").fit(rows)
     vocabulary = spark.createDataFrame(list(enumerate(counts.vocabulary)), "i int, word string")
     top = fitted.describeTopics(25).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("place", "t"))
     return top.select("topic", (F.col("place") + 1).alias("place"), F.col("t.termIndices").alias("i"), F.col("t.termWeights").alias("score")).join(vocabulary, "i").select("topic", "place", "word", "score")
