@@ -106,6 +106,14 @@ def test_forest_known_parents_only_and_empty(spark):
     assert H.hierarchy(df.limit(0), "c", "p").count() == 0
 
 
+def test_descendants_are_listed_as_often_as_counted(spark):
+    sf = "/root/testdata/sf0.001"
+    got = [tuple(r) for r in K.p7_descendants(spark, sf).collect()]
+    paths = [(r.link, [int(x) for x in r.path.split("/")], r.n_descendants) for r in K.p7_paths(spark, sf).collect()]
+    want = {(link, a, path[-1], len(path) - 1 - i) for link, path, _ in paths for i, a in enumerate(path[:-1])}
+    assert len(got) == len(want) == sum(n for *_, n in paths) > 0 and set(got) == want
+
+
 def test_p7_equals_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     d = pd.read_parquet(f"{sf}/wikidata_summary.parquet")

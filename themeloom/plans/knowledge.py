@@ -54,4 +54,11 @@ def p7_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trees.select("link", F.col("node").alias("node_no"), F.concat_ws("/", F.transform("path", lambda x: x.cast("string"))).alias("path"), "n_descendants")
 
 
-QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p7_found": p7_found, "p7_paths": p7_paths}
+def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every descendant of every node of a tree, and how many steps it is below it."""
+    forest = materialise(_forests(spark, sf_dir, True).where("kind = 'tree'"))
+    below = [H.descendants(forest.where(F.col("link") == link)).withColumn("link", F.lit(link)) for link in LINKS]
+    return below[0].unionByName(below[1]).select("link", F.col("node").alias("node_no"), F.col("descendant").alias("descendant_no"), "distance")
+
+
+QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p7_found": p7_found, "p7_paths": p7_paths, "p7_descendants": p7_descendants}

@@ -46,3 +46,5 @@ P7 = f"""{_P7} select e.link, e.node as node_no, case when n.parent is null then
 from ends e join nodes n on n.link = e.link and n.node = e.up left join cyc c on c.link = e.link and c.node = e.node"""
 P7_PATHS = f"""{_P7}, trees as (select e.link, e.node from ends e join nodes n on n.link = e.link and n.node = e.up where n.parent is null)
 select t.link, t.node as node_no, string_agg(w.up, '/' order by w.d desc) as path, (select count(*) from walk x where x.link = t.link and x.up = t.node and x.d > 0) as n_descendants from trees t join walk w on w.link = t.link and w.node = t.node group by t.link, t.node"""
+P7_DESCENDANTS = f"""{_P7}, trees as (select e.link, e.node from ends e join nodes n on n.link = e.link and n.node = e.up where n.parent is null)
+select t.link, w.up as node_no, t.node as descendant_no, w.d::bigint as distance from trees t join walk w on w.link = t.link and w.node = t.node where w.d > 0"""

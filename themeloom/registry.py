@@ -5,4 +5,4 @@ from __future__ import annotations
 from .plans import catalog, kb_queries, knowledge, page_queries, sql, text_queries, topic_queries  # noqa: F401  importing the query modules registers their queries
 
 QUERIES = {**knowledge.QUERIES, **catalog.QUERIES}
-ORACLES: dict[str, str] = {"p1_found": sql.P1, "p7_found": sql.P7, "p7_paths": sql.P7_PATHS, **catalog.ORACLES}
+ORACLES: dict[str, str] = {"p1_found": sql.P1, "p7_found": sql.P7, "p7_paths": sql.P7_PATHS, "p7_descendants": sql.P7_DESCENDANTS, **catalog.ORACLES}
