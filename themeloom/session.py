@@ -56,10 +56,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint: written once to the shared folder, so a lost executor costs no recomputation."""
-    ship(df.sparkSession)
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage by a reliable checkpoint: written once to the shared folder, so a lost executor costs no recomputation.
+
+    A checkpoint inherits the planner's guess of its size, and a join multiplies the guesses of its sides: in loops of joins the guess would soon have thousands of digits,
+    each round taking twice as long over it as the last. A guess beyond any real size is dropped.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    checkpoint_dir(spark)
+    cut = df.checkpoint(eager=True)
+    plan = cut._jdf.queryExecution()
+    if plan.optimizedPlan().stats().sizeInBytes().bit_length() <= 62:
+        return cut
+    rows = spark._jsparkSession.internalCreateDataFrame(plan.toRdd(), cut._jdf.schema(), False)
+    return DataFrame(rows, spark)
 
 
 def spread(df: DataFrame, small: int = 256 << 20) -> DataFrame:
