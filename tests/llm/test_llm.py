@@ -85,6 +85,32 @@ def test_pairs_equal_brute_force(baskets, shared, lift):
     assert got == want
 
 
+@pytest.mark.parametrize("long", [1, 3, 50])
+def test_pairs_of_long_records_are_parted(baskets, long):
+    rows, df = baskets
+    c = Counter(p for r in clean(rows).values() for p in combinations(sorted(set(r)), 2))
+    assert {(r.a, r.b): r.shared for r in pairs.pair_counts(df, "items", long=long).collect()} == dict(c)
+
+
+@pytest.mark.parametrize("share", [0.5, 0.001])
+def test_ngrams_with_hot_prefixes_of_any_length(spark, share):
+    rng = random.Random(11)
+    rows = [[1, 1, rng.choice([1, 2, 3]), rng.randint(1, 50)] for _ in range(300)] + [[4, 5], [1]]
+    occurrences = Counter(tuple(r[i : i + k]) for r in rows for k in range(1, 5) for i in range(len(r) - k + 1))
+    got = {tuple(r.ngram): r.occurrences for r in terms.ngram_counts(spark.createDataFrame([(r,) for r in rows], "t array<bigint>"), "t", 4, hot_share=share).collect()}
+    assert got == dict(occurrences)
+
+
+def test_a_line_on_many_small_sites_is_a_template(spark):
+    """Each of the sites has one page only."""
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("bdklmnprst") + rng.choice("aeiou") for _ in range(4))
+    rows = [(k, f"s{k}.example", f"T {word()}", "We value your privacy and use cookies.\n" + " ".join(word() for _ in range(30)) + ".", None) for k in range(200)]
+    df = spark.createDataFrame(rows, "page_no bigint, site string, enwiki string, text string, page string")
+    for keys in (2_000_000, 0):
+        assert {tuple(r) for r in content.other_lines(df, "page_no", "site", "enwiki", "text", "page", broadcast_keys=keys).collect()} == {(k, 0) for k in range(200)}
+
+
 def test_gram_block_in_slices():
     rng = np.random.default_rng(1)
     x = rng.random((40, 25)) < 0.3
@@ -307,3 +333,19 @@ def test_content_keeps_the_article(spark):
 def test_blocks_survive_broken_markup():
     got = content.Blocks().read("<nav><p>menu</nav><h2>A <i>b</i></h2><p><b>Head</b><p><b>c</b> d<br>e&amp;f</div><script>x<y</script>")
     assert [(t, k) for t, _, k in got] == [("menu", content.ASIDE), ("A b", content.HEADING), ("Head", content.HEADING), ("c d", content.PLAIN), ("e&f", content.PLAIN), ("x<y", content.ASIDE)]
+
+
+def test_clusters_are_whole_when_cells_are_many_times_too_full(spark, monkeypatch):
+    """2,000 close pairs and a group of a third of all rows, with four pivots: cells sixty times their bound."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(2000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    hot = rng.normal(size=32)
+    x = np.concatenate([np.repeat(base, 2, axis=0), np.tile(hot / np.linalg.norm(hot), (2000, 1))])
+    x = x + rng.normal(size=x.shape) * 0.03
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x.astype(np.float32))], "rec bigint, v array<float>")
+    monkeypatch.setattr(density, "_MAX_PIVOTS", 4)
+    for exact in (False, True):
+        got = {r.rec: r.cluster for r in density.density_peaks(df, "rec", "v", 32, cell_rows=50, densities=False, exact=exact, block_rows=3000).collect()}
+        whole = sum(got[i] == got[i + 1] == i for i in range(0, 4000, 2))
+        assert (whole == 2000 if exact else whole >= 1990) and {got[i] for i in range(4000, 6000)} == {4000}, whole

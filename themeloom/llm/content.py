@@ -9,7 +9,7 @@ each line also has keys - its text, its shape (digits and capitalised words mask
 vote: a key that stands on a considerable part of a site's pages, or of all pages, is the site's. Shares are lower confidence bounds, so small sites need more
 than chance repetition. A line is part of the article when it is the title or a heading, or in a content region and without a key of its site.
 
-The vote is one shuffle of hashed keys, combined before it; pages are never moved. Only the shares' thresholds bound the sets of template keys: a site has at most
+The vote is one shuffle of hashed keys, combined before it. Pages themselves are never moved; their features, flags and hashed keys, are only where the template keys are too many to be broadcast. Only the shares' thresholds bound the sets of template keys: a site has at most
 (keys of a page) / share of them.
 """
 
@@ -242,14 +242,14 @@ def template_keys(found: DataFrame, site_share: float = 0.05, all_share: float =
     one = one.groupBy("site", "title").agg(F.min_by("keys", "page_no").alias("keys"))
     one = materialise(one)
     pages = one.groupBy("site").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    counts = materialise(one.select("site", F.explode("keys").alias("key")).groupBy("site", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-    of_site = counts.join(pages, "site").where(_share(F.col("c"), F.col("n")) >= site_share).select("site", "key")
-    total = float(one.count() or 1)
-    of_all = counts.groupBy("key").agg(F.sum("c").alias("c")).where(_share(F.col("c"), F.lit(total)) >= all_share).select(F.lit(None).cast("string").alias("site"), "key")
+    counts = materialise(one.select("site", F.explode("keys").alias("key")).groupBy("site", "key").agg(F.count(F.lit(1)).alias("c")))
+    of_site = counts.where("c > 1").join(pages, "site").where(_share(F.col("c"), F.col("n")) >= site_share).select("site", "key")
+    total = float(one.count() or 1)  # a key of all sites may stand once on each
+    of_all = counts.groupBy("key").agg(F.sum("c").alias("c")).where((F.col("c") > 1) & (_share(F.col("c"), F.lit(total)) >= all_share)).select(F.lit(None).cast("string").alias("site"), "key")
     return of_site.unionByName(of_all)
 
 
-def other_lines(pages: DataFrame, page_no: str, site: str, title: str, text: str, page: str, broadcast_keys: int = 2_000_000) -> DataFrame:
+def other_lines(pages: DataFrame, page_no: str, site: str, title: str, text: str, page: str, broadcast_keys: int = 2_000_000, hot_share: float = 0.005) -> DataFrame:
     """``(page_no, line_no)`` of every line of `text` (0-based, split at line feeds) that isn't part of the article.
 
     Null and empty texts have no lines. A line without any character but spaces is no part of an article. A null or empty `page` leaves the text to
@@ -257,14 +257,15 @@ def other_lines(pages: DataFrame, page_no: str, site: str, title: str, text: str
     """
     found = materialise(features(pages, page_no, site, title, text, page))
     keys = materialise(template_keys(found))
-    per_site = keys.where("site is not null").groupBy("site").agg(F.collect_set("key").alias("own"))
+    per_site = keys.where("site is not null").groupBy("site").agg(F.collect_set("key").alias("own"))  # at most (keys of a page) / site_share each
     everywhere = [r.key for r in keys.where("site is null").select("key").collect()]  # at most (keys of a page) / all_share
     if keys.count() <= broadcast_keys:
         joined = found.join(F.broadcast(per_site), "site", "left")
-    else:  # salted: one site may have a third of all pages
-        salts = 32
-        spread = per_site.select("site", "own", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-        joined = found.withColumn("salt", F.pmod(F.xxhash64("page_no"), F.lit(salts)).cast("int")).join(spread, ["site", "salt"], "left")
+    else:  # sites with a considerable part of the pages are few and meet their keys by broadcast, so no site is hot in the other join
+        sites = found.groupBy("site").agg(F.count(F.lit(1)).alias("n"))
+        hot = materialise(sites.join(sites.agg(F.sum("n").alias("all")).where("all > 0"), F.col("n") >= F.col("all") * hot_share).select("site"))
+        far, near = per_site.join(F.broadcast(hot), "site", "left_anti"), per_site.join(F.broadcast(hot), "site")
+        joined = found.join(F.broadcast(hot), "site", "left_anti").join(far, "site", "left").unionByName(found.join(F.broadcast(hot), "site", "left_semi").join(F.broadcast(near), "site", "left"))
     mine = F.array_intersect(F.array_distinct(F.flatten("keys")), F.coalesce("own", F.array().cast("array<bigint>")))
     shared = found.sparkSession.sparkContext.broadcast(frozenset(everywhere))
 

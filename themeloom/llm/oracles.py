@@ -11,16 +11,18 @@ listed as (select page_no, key, entity_no, len, count(*) as n from (select page_
 known as (select entity_no, count(*) as m, sum(n)::bigint as occurrences from listed group by 1)
 """
 
-_CLUSTERS = f"""with recursive w as (select {_ID.format("id")} as key, page_no, scraped_at, embedding from wiki_page),
+_NEAR = f"""w as (select {_ID.format("id")} as key, page_no, scraped_at, embedding from wiki_page),
 cur as (select * from (select *, row_number() over (partition by key order by scraped_at desc nulls last, page_no) as r from w where key is not null) where r = 1),
 v as (select page_no, list_transform(embedding, lambda x: x::double / norm) as vec from (select page_no, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as norm from cur
 where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0) where norm > 0),
-near as (select a.page_no as a, b.page_no as b from v a join v b on a.page_no <> b.page_no where list_inner_product(a.vec, b.vec) >= 0.8),
-reach as (select a, b from near union select r.a, n.b from reach r join near n on n.a = r.b)
-select cluster_first, page_no from (select a as page_no, least(a, min(b)) as cluster_first from reach group by a)"""
+near as (select a.page_no as a, b.page_no as b from v a join v b on a.page_no <> b.page_no where list_inner_product(a.vec, b.vec) >= 0.8)"""
+_CLUSTERS = f"""with recursive {_NEAR}, reach as (select a, b from near union select r.a, n.b from reach r join near n on n.a = r.b)
+grouped as (select a as page_no, least(a, min(b)) as cluster_first from reach group by a)"""
 
 ORACLES = {
-    "p3_found": _CLUSTERS,
+    "p3_found": f"{_CLUSTERS} select cluster_first, page_no from grouped",
+    "p3_typical": f"""{_CLUSTERS}, rho as (select a as page_no, count(*) + 1 as n from near group by a), placed as (select cluster_first, count(*) over (partition by cluster_first) as cluster_size, page_no, row_number() over (partition by cluster_first order by n desc, page_no)::integer as place from grouped join rho using (page_no))
+select * from placed where place <= 3""",
     "p2_found": f"""with {_PAGES}, scored as (select page_no, l.entity_no, round(n * ln(pages_n::double / m), 6) as score from listed l join known using (entity_no), total where m > 1 and l.entity_no <> key)
 select page_no, entity_no from (select *, row_number() over (partition by page_no order by score desc, entity_no) as r from scored) where r = 1""",
     "p2_weights": f"""with {_PAGES} select page_no, l.entity_no, n, m, round(n * 2.2 / (n + 1.2 * (0.25 + 0.75 * len / mean_length)) * ln(1 + (pages_n - m + 0.5) / (m + 0.5)), 6) as weight from listed l join known using (entity_no), total""",

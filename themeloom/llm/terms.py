@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 
 def _suffixes(given: DataFrame, longest: int) -> DataFrame:
     """``(suffix, seen, n)``, equal rows combined."""
@@ -67,22 +69,19 @@ def ngram_counts(records: DataFrame, terms: str, longest: int = 1, term_type: st
     """``(ngram, length, occurrences, records)`` of every run of 1 to `longest` terms in the array column `terms`.
 
     `occurrences` counts every place, `records` every row once. Null terms are left out before runs are formed, null or empty arrays count for nothing, equal
-    rows are different records. A first term that begins more than `hot_share` of the distinct suffixes (there are at most 1 / hot_share such terms) is
-    routed by its second term as well; the parts of its count are added up at the end.
+    rows are different records. A prefix that begins more than `hot_share` of the distinct suffixes (there are at most 1 / hot_share of each length) is
+    routed by its next term as well, whatever its length; the parts of its count are added up at the end.
     """
     given = records.select(F.filter(F.col(terms).cast(f"array<{term_type}>"), lambda x: x.isNotNull()).alias("terms")).where("size(terms) > 0")
-    counted = _suffixes(given, longest)
-    if longest == 1:
-        hot = None
-    else:
-        counted = counted.withColumn("first", F.col("suffix")[0])
-        heads = counted.groupBy("first").agg(F.count(F.lit(1)).alias("rows"))
-        hot = heads.join(heads.agg((F.sum("rows") * hot_share).alias("bound")), F.col("rows") > F.col("bound")).select(F.col("first").alias("h"))
-    if hot is None:
-        routed = counted.withColumn("route", F.xxhash64(F.col("suffix")[0]))
-    else:
-        second = F.when(F.col("h").isNotNull(), F.get("suffix", F.lit(1)))
-        routed = counted.join(F.broadcast(hot), F.col("first") == F.col("h"), "left").select("suffix", "seen", "n", F.xxhash64("first", second).alias("route"))
+    routed = _suffixes(given, longest).withColumn("depth", F.lit(1))
+    if longest > 1:
+        routed = materialise(routed)
+        bound = F.lit((routed.count() or 1) * hot_share)
+        for depth in range(1, longest):  # prefixes too frequent at this length are parted by the next term
+            prefix = F.slice("suffix", F.lit(1), F.lit(depth))
+            hot = routed.where((F.col("depth") == depth) & (F.size("suffix") > depth)).groupBy(prefix.alias("hot")).agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > bound).select("hot")
+            routed = routed.join(F.broadcast(hot), prefix == F.col("hot"), "left").select("suffix", "seen", "n", F.when(F.col("hot").isNotNull(), depth + 1).otherwise(F.col("depth")).alias("depth"))
+    routed = routed.select("suffix", "seen", "n", F.xxhash64(F.slice("suffix", F.lit(1), F.col("depth"))).alias("route"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows() -> Iterator[tuple[tuple, int, int]]:
@@ -99,7 +98,7 @@ def ngram_counts(records: DataFrame, terms: str, longest: int = 1, term_type: st
         yield pd.DataFrame(out, columns=["ngram", "length", "occurrences", "records"])
 
     partial = routed.repartition("route").sortWithinPartitions(F.col("suffix").desc()).select("suffix", "seen", "n").mapInPandas(run, f"ngram array<{term_type}>, length int, occurrences bigint, records bigint")
-    if hot is None:
+    if longest == 1:
         return partial
     return partial.groupBy("ngram", "length").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
