@@ -16,7 +16,7 @@ cur as (select * from (select *, row_number() over (partition by key order by sc
 v as (select page_no, list_transform(embedding, lambda x: x::double / norm) as vec from (select page_no, embedding, sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))) as norm from cur
 where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0) where norm > 0),
 near as (select a.page_no as a, b.page_no as b from v a join v b on a.page_no <> b.page_no where list_inner_product(a.vec, b.vec) >= 0.8)"""
-_CLUSTERS = f"""with recursive {_NEAR}, reach as (select a, b from near union select r.a, n.b from reach r join near n on n.a = r.b)
+_CLUSTERS = f"""with recursive {_NEAR}, reach as (select a, b from near union select r.a, n.b from reach r join near n on n.a = r.b),
 grouped as (select a as page_no, least(a, min(b)) as cluster_first from reach group by a)"""
 
 ORACLES = {
