@@ -214,13 +214,15 @@ def test_leaks_are_found_whatever_was_done_to_them(spark):
     texts = {
         1: plain(part), 2: plain(part).upper(), 3: "> " + "\r\n> ".join([*filler(9), *part, *filler(9)]), 4: plain(["<b>" + w + "</b>," for w in part]), 5: plain([w[:2] + "­-\n" + w[2:] for w in part]),
         6: plain(replaced), 7: "".join(part), 8: plain([*part[:3], "zzz", *part[4:]]), 9: plain(["«" + w.replace("é", "é").replace("ž", "z") + "»&nbsp;" for w in part]), 10: " ".join(filler(40_000) + part), 11: plain([*item[6:10], "zzz", *item[11:25]]), 12: plain([*item[10:24], "zzz", *item[25:29]]),
-        21: plain(part[:14]), 22: plain(item[:12]), 27: plain([*part[:14], 'zzz']), 23: plain([*part[:5], "zzz", *part[6:9], "yyy", *part[10:]]), 24: None, 25: "", 26: plain([]),
+        31: plain([*part[:7], "z" * 41, *part[8:]]), 32: plain([*part[:7], "z" * 5000, *part[8:]]), 33: plain(["zzz", *part[1:]]), 34: plain([*part[:14], "zzz"]), 35: plain(part[:14]), 36: plain([*part[:7], part[7] + "zzz", *part[8:]]), 37: plain([*part[:7], "zzz" + part[7], *part[8:]]),
+        38: plain([*part[:7], "zz-\n", "zz", *part[8:]]), 39: "<p>" + "</p><p>".join([*filler(9), *part[:7], "zzz", *part[8:]]) + "</p>",
+        21: plain(part[:13]), 22: plain(item[:12]), 27: plain([*part[:7], *part[8:]]), 28: plain([*part[:7], "z", "zz", "zzz", "zzzz", *part[8:]]), 29: " ".join(part[:14]), 23: plain([*part[:5], "zzz", *part[6:9], "yyy", *part[10:]]), 24: None, 25: "", 26: plain([]),
     }
     docs = spark.createDataFrame([(k, v, 0) for k, v in texts.items()], "doc_id bigint, text string, item_id int")
     items = spark.createDataFrame([(5, " ".join(item)), (6, " ".join([*filler(9), *item[5:30]])), (7, " ".join(item[:10])), (8, None), (9, "")], "item_id bigint, text string")
-    for block in (16_000_000, 200):
-        got = {tuple(r) for r in leaks.leaks(docs, "doc_id", "text", items, "item_id", "text", block_bytes=block).collect()}
-        assert got == {(d, i) for d in range(1, 13) for i in (5, 6)}
+    for bits, held in ((27, 4_000_000), (27, 0), (8, 0)):  # a map of 256 bits rules out next to nothing
+        got = {tuple(r) for r in leaks.leaks(docs, "doc_id", "text", items, "item_id", "text", most_bits=bits, held_bytes=held).collect()}
+        assert got == {(d, i) for d in [*range(1, 13), *range(31, 40)] for i in (5, 6)}
     assert leaks.leaks(docs, "doc_id", "text", items.limit(0), "item_id", "text").count() == 0
     assert leaks.leaks(docs.limit(0), "doc_id", "text", items, "item_id", "text").count() == 0
 
@@ -232,6 +234,34 @@ def test_leaks_repeated_documents_and_short_words(spark):
     assert [tuple(r) for r in leaks.leaks(docs, "doc_id", "text", items, "item_id", "text").collect()] == [(1, 5)] * 2
 
 
+def test_size_classes_hold_their_runs():
+    for size in range(7, 3000):
+        of = leaks.size_class(size)
+        n = size - of.k + 1
+        assert of.least <= n <= of.most and all(any(s <= p and p + n <= s + of.width for s in range(0, p + 1, of.block)) for p in (0, 1, of.block - 1, of.block, 3 * of.block + 1))
+        assert 1 - (1 - of.least / of.width) ** of.bands(0.9999) >= 0.9999
+
+
+def test_runs_are_met_as_often_as_promised():
+    """Recall of the signatures alone, before anything is verified, against every run that stands in a stream."""
+    rng = random.Random(13)
+    letters = "abcdefghijklmnop"
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randint(1, 9)))
+    items = [leaks.item_of(i, " ".join(word() for _ in range(30))) for i in range(60)]
+    signed = [list(leaks.run_signatures(i, 15, 7, 0.9999)) for i in items]
+    classes = sorted({of for rows in signed for _, _, of in rows}, key=lambda c: (c.k, c.most))
+    everything = leaks.ValueMap(6, np.array([~np.uint64(0)]))
+    met = total = 0
+    for item, rows in zip(items, signed, strict=True):
+        w = rng.randrange(len(item.at) - 7)
+        data = "".join(word() for _ in range(200)).encode() + item.data[item.at[w] : item.at[w + 7]] + "".join(word() for _ in range(200)).encode()
+        values = set(leaks.segment_hits(data, classes, 0.9999, everything)[1].tolist())
+        own = [v for v, p, of in rows if item.at[w] <= p and p + of.k <= item.at[w + 7]]
+        total += 1
+        met += any(v in values for v in own)
+    assert met == total
+
+
 def brute_groups(x, threshold=0.8):
     label = list(range(len(x)))
     near = x @ x.T >= threshold

@@ -1,19 +1,22 @@
 """Evaluation texts inside training texts: size-partitioned MinHash containment search with exact verification.
 
-Texts are compared as streams of letters and digits: markup, case, accents, punctuation, spacing and the division into words are gone, while an item's own
-word boundaries are remembered. A case holds `words` consecutive words of an item with at most one of them replaced, so some run of at least half of the
-others stands in the document unchanged. Every such run of every item is a small set of byte shingles and gets its MinHash, the shingle with the smallest
-hash; runs are partitioned by size, so that short runs use short shingles. A document contains a run only if it contains the run's MinHash shingle: probing all
-shingles of all documents against the sketches finds every candidate, without a chance of missing one. Candidates are verified exactly, by comparing the
-streams around the shingle.
-
-Items are sketched in blocks of bounded size, one pass over the documents per block; a block's streams and sketches (about 30 bytes per byte of item text) go
-to the executors. Documents are never shuffled.
+Texts are compared as streams of letters and digits: markup, case, accents, punctuation, spacing and the division into words are gone, while words' borders are
+remembered beside. A case holds `words` consecutive words of an item with at most one of them replaced, so one of the item's runs of `words` // 2 words stands in the document
+unchanged: as a set of byte shingles the run is contained in the document wholly.
+
+The search is that of a containment index for small sets in large ones (Zhu, Nargesian, Pu and Miller). Runs are partitioned by size. For a partition of runs of up to u shingles, the
+document's shingles are taken as segments wide enough that any such run lies in one of them; containment 1 then means a Jaccard similarity of at least (smallest run) / (width of a segment), and the
+partition gets as many MinHash bands of one value as find a run of that similarity with probability `recall`. A signature value of a segment that is one of a run makes a candidate.
+
+Every task holds a bit map of the runs' signature values, which has a fixed largest size and rules out values that no run has. Items whose bytes are proven few are held by the tasks as well;
+else what the map leaves, with the documents' streams around it, meets the runs in a join by value. Candidates are verified exactly, word by word on both sides of the common shingle. Documents are
+never shuffled but for these surroundings.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
@@ -25,23 +28,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import materialise, spread
 
-SIZES = (24, 16, 8)
 _TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
+_BLOCK_TAG = re.compile(r"<(?:/?(?:p|div|li|ul|ol|dl|dt|dd|tr|td|th|table|h[1-6]|blockquote|section|article|header|footer|title)|br|hr)\b[^<>]*>", re.I)
 _ENTITY = re.compile(r"&(?:#\d+|#x[0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);?")
 _DROP = re.compile(r"[\W_]+")
 _ASCII_DROP = bytes(i for i in range(128) if not chr(i).isalnum())
 # fixed values: letters that don't decompose
 _LETTERS = (("œ", "oe"), ("æ", "ae"), ("ø", "o"), ("ł", "l"), ("đ", "d"), ("ı", "i"))
-_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
-_BITS = 22
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)  # odd numbers
+_ALL = (1 << 64) - 1
+_CHUNK = 1 << 18  # bytes of streams that are hashed at once
+_HYPHENS = ("-", "\u00ad", "\u2010", "\u2011")
 
 
 def unmarked(text: str) -> str:
     """The text without tags and with character references resolved."""
     if "<" in text:
-        text = _TAG.sub("", text)
+        text = _TAG.sub("", _BLOCK_TAG.sub("\n", text))
     if "&" in text:
         text = _ENTITY.sub(lambda m: html.unescape(m[0]), text)
     return text
@@ -58,20 +63,26 @@ def stream(text: str) -> bytes:
 
 
 def shingle_hashes(data: bytes, k: int) -> np.ndarray:
-    """64-bit hashes of the shingles of k bytes (8, 16 or 24) at every place of `data`."""
+    """64-bit hashes of the shingles of k bytes (4, or a multiple of 8) at every place of `data`."""
     n = len(data) - k + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    padded = data + bytes(8)
-    out = np.empty(n, np.uint64)
-    for j in range(min(8, n)):
-        words = np.frombuffer(padded, "<u8", (len(padded) - j) // 8, j)
-        m = len(range(j, n, 8))
-        h = words[:m] * _MIX[0]
-        for i in range(1, k // 8):
-            h = (h ^ (h >> np.uint64(29))) * _MIX[1] + words[i : i + m] * _MIX[i]
-        out[j::8] = (h ^ (h >> np.uint64(32))) * _MIX[2]
-    return out
+    step = min(k, 8)
+    words = np.empty(n + k - step, np.uint64)  # the 4 or 8 bytes from each place on
+    for j in range(min(step, len(words))):
+        part = np.frombuffer(data, f"<u{step}", (len(data) - j) // step, j)
+        words[j::step] = part[: len(range(j, len(words), step))]
+    out = words[:n] * _MIX[0]
+    for i in range(step, k, step):
+        out = (out ^ (out >> np.uint64(29))) * _MIX[1] + words[i : i + n]
+    out = (out ^ (out >> np.uint64(32))) * _MIX[2]
+    return out ^ (out >> np.uint64(29))
+
+
+def permuted(hashes: np.ndarray, band: int) -> np.ndarray:
+    """The hashes under the permutation of a band."""
+    step = (2 * band + 1) * int(_MIX[2]) & _ALL
+    return (hashes ^ np.uint64(step)) * np.uint64((int(_MIX[0]) + 2 * step) & _ALL)
 
 
 @dataclass
@@ -92,55 +103,157 @@ def item_of(number: int, text: str | None) -> Item:
     return Item(number, b"".join(parts), at)
 
 
-class Sketches:
-    """The MinHash of each run of `run` words of each item, by size of shingle; runs under 8 bytes are kept as they are."""
-
-    def __init__(self, items: list[Item], words: int, run: int):
-        self.items, self.words = items, words
-        found: dict[int, dict[int, set[tuple[int, int]]]] = {k: {} for k in SIZES}
-        self.short: dict[bytes, set[tuple[int, int]]] = {}
-        for i, item in enumerate(items):
-            if len(item.at) - 1 < words:
-                continue
-            hashes = {k: shingle_hashes(item.data, k) for k in SIZES}
-            for w in range(len(item.at) - run):
-                a, b = item.at[w], item.at[w + run]
-                k = next((k for k in SIZES if b - a >= k + 8), SIZES[-1])
-                if b - a < SIZES[-1]:
-                    self.short.setdefault(item.data[a:b], set()).add((i, a))
-                else:
-                    p = a + int(np.argmin(hashes[k][a : b - k + 1]))
-                    found[k].setdefault(int(hashes[k][p]), set()).add((i, p))
-        self.found = {k: {h: sorted(x) for h, x in v.items()} for k, v in found.items() if v}
-        self.maps = {}
-        for k, v in self.found.items():
-            keys = np.fromiter(v, np.uint64, len(v))
-            bits = np.zeros(1 << _BITS, bool)
-            bits[keys >> np.uint64(64 - _BITS)] = True
-            self.maps[k] = bits
-
-    def candidates(self, streams: list[bytes]) -> dict[int, list[tuple[int, int, int]]]:
-        """By the number of the stream: ``(place, item, place in the item)`` of the sketched shingles in it. All streams are hashed at once, with zero bytes between."""
-        data = bytes(SIZES[0]).join(streams)
-        starts = np.cumsum([0, *(len(x) + SIZES[0] for x in streams)])
-        out: dict[int, list[tuple[int, int, int]]] = {}
-        for p, i, q in self._places(data):
-            d = int(np.searchsorted(starts, p, side="right")) - 1
-            out.setdefault(d, []).append((p - int(starts[d]), i, q))
+# bytes of a shingle, by the least size of a run in bytes: the longer, the fewer texts share one by chance; the run is contained wholly, so long ones lose nothing
+SHINGLES = ((24, 36), (16, 20), (8, 12), (4, 0))
+
+
+@dataclass(frozen=True)
+class SizeClass:
+    """A partition of the runs: those of more than `least` - 1 and up to `most` shingles of `k` bytes."""
+
+    k: int
+    least: int
+    most: int
+
+    @property
+    def block(self) -> int:
+        """Segments begin at multiples of this many places."""
+        return 1 << max(0, (self.most // 4).bit_length() - 1)
+
+    @property
+    def width(self) -> int:
+        """Places of a segment: any run of the class lies in one of them."""
+        return (-(-self.most // self.block) + 1) * self.block
+
+    def bands(self, recall: float) -> int:
+        return max(1, math.ceil(math.log(1 - recall) / math.log(1 - self.least / self.width)))
+
+
+def size_class(size: int) -> SizeClass:
+    """The class of a run of `size` bytes: bounds grow by the square root of two."""
+    k = next(k for k, least in SHINGLES if size >= least)
+    n = max(1, size - k + 1)
+    i = max(0, math.ceil(2 * math.log2(n) - 1e-9))
+    bound = lambda j: math.ceil(2 ** (j / 2) - 1e-9)
+    while i and bound(i - 1) >= n:
+        i -= 1
+    return SizeClass(k, bound(i - 1) + 1 if i else 1, bound(i))
+
+
+def run_signatures(item: Item, words: int, run: int, recall: float) -> Iterator[tuple[int, int, SizeClass]]:
+    """``(signature value, place in the item, class)`` for each band of each run of `run` words of an item of at least `words` words."""
+    if len(item.at) - 1 < words:
+        return
+    bands: dict[tuple[int, int], np.ndarray] = {}
+    for w in range(len(item.at) - run):
+        a, b = item.at[w], item.at[w + run]
+        of = size_class(b - a)
+        for band in range(of.bands(recall)):
+            if (of.k, band) not in bands:
+                bands[of.k, band] = permuted(shingle_hashes(item.data, of.k), band)
+            values = bands[of.k, band][a : max(b - of.k, a) + 1]
+            if len(values):
+                i = int(values.argmin())
+                yield int(values[i]), a + i, of
+
+
+def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
+    """Of every `width` neighbours the smallest, by doubling."""
+    have = 1
+    while 2 * have <= width:
+        x = np.minimum(x[:-have], x[have:])
+        have *= 2
+    rest = width - have
+    return np.minimum(x[:-rest], x[rest:]) if rest else x
+
+
+@dataclass(frozen=True)
+class ValueMap:
+    """A bit map of signature values, two bits each."""
+
+    bits: int
+    packed: np.ndarray
+
+    def may_have(self, values: np.ndarray) -> np.ndarray:
+        low = values & np.uint64((1 << self.bits) - 1)
+        high = values >> np.uint64(64 - self.bits)
+        test = lambda at: (self.packed[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+        out = test(high).astype(bool)
+        out[out] = test(low[out]).astype(bool)
         return out
 
-    def _places(self, data: bytes) -> Iterator[tuple[int, int, int]]:
-        for k, bits in self.maps.items():
-            hashes = shingle_hashes(data, k)
-            for p in np.flatnonzero(bits[hashes >> np.uint64(64 - _BITS)]).tolist():
-                for i, q in self.found[k].get(int(hashes[p]), ()):
-                    yield p, i, q
-        for run, places in self.short.items():
-            p = data.find(run)
-            while p >= 0:
-                for i, q in places:
-                    yield p, i, q
-                p = data.find(run, p + 1)
+
+def segment_hits(data: bytes, classes: list[SizeClass], recall: float, known: ValueMap) -> tuple[np.ndarray, np.ndarray]:
+    """``(places, signature values)`` of the segments of `data` whose MinHash values may be those of runs, each pair once."""
+    places, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    for k in sorted({c.k for c in classes}):
+        of_k = sorted((c for c in classes if c.k == k), key=lambda c: c.block)
+        hashes = shingle_hashes(data, k)
+        if not len(hashes):
+            continue
+        far = max(c.width + c.block for c in of_k)
+        hashes = np.concatenate([hashes, np.zeros(far, np.uint64)])
+        for band in range(max(c.bands(recall) for c in of_k)):
+            values = permuted(hashes, band)
+            values[-far:] = ~np.uint64(0)
+            least, size = values, 1
+            for c in of_k:
+                if c.bands(recall) <= band:
+                    continue
+                while size < c.block:
+                    least = np.minimum(least[: len(least) // 2 * 2 : 2], least[1::2])
+                    size *= 2
+                of_segment = sliding_minimum(least, c.width // c.block)
+                changed = np.flatnonzero(np.diff(of_segment, prepend=of_segment[:1] ^ np.uint64(1)))
+                hit = changed[known.may_have(of_segment[changed])]
+                for start in range(0, len(hit), 4096):
+                    j = hit[start : start + 4096]
+                    inside = values[np.minimum(j[:, None] * c.block + np.arange(c.width), len(values) - 1)] == of_segment[j][:, None]
+                    at, place = np.nonzero(inside)
+                    places.append(j[at] * c.block + place)
+                    found.append(of_segment[j][at])
+    p, v = np.concatenate(places), np.concatenate(found)
+    order = np.lexsort((v, p))
+    p, v = p[order], v[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (p[1:] != p[:-1]) | (v[1:] != v[:-1])
+    return p[new], v[new]
+
+
+def anchors(d: np.ndarray, p: np.ndarray, i: np.ndarray, q: np.ndarray, reach: int) -> np.ndarray:
+    """Which of the equal places p of document d and q of item i to verify: of those on one diagonal no farther than `reach` from the one before, which one equal stretch holds, the first."""
+    order = np.lexsort((p, p - q, i, d))
+    d, p, i, q = d[order], p[order], i[order], q[order]
+    new = np.ones(len(p), bool)
+    new[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1]) | (p[1:] - q[1:] != p[:-1] - q[:-1]) | (p[1:] - p[:-1] > reach)
+    return order[new]
+
+
+def word_borders(text: str) -> tuple[int, list[int]]:
+    """``(length, borders)`` of a text's stream: where its words begin and end. A word that ends with a hyphen goes on in the next."""
+    borders, at, joined = [0], 0, False
+    for word in unmarked(text).split():
+        if part := stream(word):
+            if joined:
+                borders.pop()
+            at += len(part)
+            borders.append(at)
+        joined = word.endswith(_HYPHENS) and len(borders) > 1 if part else joined
+    return at, borders
+
+
+def surroundings(places: list[int], borders: list[int], length: int, reach: int) -> list[tuple[int, int]]:
+    """The parts of a stream that decide about the candidates at `places`: `reach` bytes, the word there, and as many again, on both sides."""
+    out: list[tuple[int, int]] = []
+    for p in sorted(places):
+        i = max(bisect_right(borders, max(p - reach, 0)) - 1, 0)
+        j = min(bisect_left(borders, p + reach), len(borders) - 1)
+        a, b = max(borders[i] - reach, 0), min(borders[j] + reach, length)
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def same_after(a: bytes, i: int, b: bytes, j: int) -> int:
@@ -175,76 +288,217 @@ def same_before(a: bytes, i: int, b: bytes, j: int) -> int:
     return done
 
 
-def holds(data: bytes, p: int, item: Item, q: int, words: int, longest_word: int = 40, least_context: int = 8) -> tuple[bool, int]:
-    """Whether `data` holds `words` consecutive words of the item around the equal places p and q, one of them replaced at most; and where the run ends.
+def holds(data: bytes, p: int, item: Item, q: int, words: int, borders: list[int]) -> bool:
+    """Whether `data` holds `words` consecutive words of the item around the equal places p and q, one of them replaced at most by one word.
 
-    A replaced word may have up to `longest_word` bytes and must have unchanged words on both sides: at the end of a passage it can't be told from a
-    shorter passage. Beyond it the words that are lacking must stand, and at least `least_context` bytes, so that no single short word passes for the passage going on.
+    `borders` are those of the words of `data`. A word counts as replaced when it and its neighbour part at a border and exactly one word stands in its place; that word may be of any
+    length, and the first or the last of the passage.
     """
     at = item.at
     left, right = same_before(data, p, item.data, q), same_after(data, p, item.data, q)
     first, last = bisect_left(at, q - left), bisect_right(at, q + right) - 1  # words first .. last - 1 are whole
-    got = last - first
-    end = p + right
-    if got >= words:
-        return True, end
-    if got <= 0:
-        return False, end
-    need = max(1, words - got - 1)
-    shift = p - q
-    total = len(at) - 1
-    after = max(last + 1 + need, bisect_left(at, at[min(last + 1, total)] + least_context))
-    if after <= total:  # the word `last` replaced
-        needle, where = item.data[at[last + 1] : at[after]], at[last] + shift
-        if data.find(needle, where, where + longest_word + len(needle)) >= 0:
-            return True, end
-    before = min(first - 1 - need, bisect_right(at, at[max(first - 1, 0)] - least_context) - 1)
-    if before >= 0:  # the word before `first` replaced
-        needle, where = item.data[at[before] : at[first - 1]], at[first] + shift
-        if data.find(needle, max(0, where - longest_word - len(needle)), where) >= 0:
-            return True, end
-    return False, end
-
-
-def leaked_items(data: bytes, candidates: list[tuple[int, int, int]], sketches: Sketches) -> list[int]:
-    """Numbers of the items that the stream `data` holds, from its candidates."""
-    done: set[int] = set()
-    seen: dict[tuple[int, int], int] = {}
-    for p, i, q in sorted(candidates):
-        if i in done or seen.get((i, p - q), -1) > p:
-            continue
-        found, seen[i, p - q] = holds(data, p, sketches.items[i], q, sketches.words)
-        if found:
-            done.add(i)
-    return sorted(sketches.items[i].number for i in done)
-
-
-def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, words: int = 15, block_bytes: int = 16_000_000) -> DataFrame:
-    """``(doc_id, item_id)`` for each document and each item of which it holds at least `words` consecutive words, one of them replaced at most.
+    if last - first >= words:
+        return True
+    shift, total = p - q, len(at) - 1
+
+    def border(place: int) -> int:
+        i = bisect_left(borders, place)
+        return i if i < len(borders) and borders[i] == place else -1
+
+    for end in (last, last - 1):  # the replacing word may begin with the word that it replaces
+        i = border(at[end] + shift) if first < end < total else -1
+        if 0 <= i < len(borders) - 1:
+            more = same_after(data, borders[i + 1], item.data, at[end + 1])
+            if bisect_right(at, at[end + 1] + more) - 1 - first >= words:
+                return True
+    for begin in (first, first + 1):
+        i = border(at[begin] + shift) if 0 < begin < last else -1
+        if i > 0:
+            more = same_before(data, borders[i - 1], item.data, at[begin - 1])
+            if last - bisect_left(at, at[begin - 1] - more) >= words:
+                return True
+    return False
+
+
+@dataclass(frozen=True)
+class Index:
+    """The runs' signatures, sorted by value, and the items they are of: for tasks to hold where it is small."""
+
+    values: np.ndarray
+    item: np.ndarray
+    place: np.ndarray
+    items: list[Item]
+
+    def matches(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(index into v, item, place in the item)`` of all runs with these values."""
+        left, right = np.searchsorted(self.values, v, side="left"), np.searchsorted(self.values, v, side="right")
+        n = right - left
+        of = np.repeat(np.arange(len(v)), n)
+        at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
+        return of, self.item[at], self.place[at]
+
+
+def _signatures(texts: DataFrame, words: int, recall: float) -> DataFrame:
+    """``(value, item, place, k, least, most)`` and with value null ``most``, the size of the largest passage, of ``(item, t)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: set[tuple] = set()
+            for number, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                item = item_of(number, text.as_py())
+                for value, place, of in run_signatures(item, words, words // 2, recall):
+                    out.add((value - (1 << 64) if value >> 63 else value, number, place, of.k, of.least, of.most))
+                out.add((None, number, 0, 0, 0, max((b - a for a, b in zip(item.at, item.at[words + 2 :] or item.at[-1:], strict=False)), default=0)))
+            columns = list(zip(*out, strict=True)) if out else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.int32()] * 4), strict=True)], names=["value", "item", "place", "k", "least", "most"])
+
+    return texts.select("item", "t").mapInArrow(run, "value bigint, item bigint, place int, k int, least int, most int")
+
+
+def _value_map(runs: DataFrame, most_bits: int) -> ValueMap:
+    """The bit map of the runs' values: 64 bits a value, up to 2 ** `most_bits` bits in all; beyond, it rules out less."""
+    values = runs.select("value").distinct()
+    bits = min(most_bits, max(16, (64 * values.count()).bit_length()))
+    slots = F.array(F.shiftrightunsigned("value", 64 - bits), F.col("value").bitwiseAND(F.lit((1 << bits) - 1)))
+    words_ = values.select(F.explode(slots).alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("word"))
+    packed = np.zeros(1 << (bits - 6), np.uint64)
+    rows = words_.toArrow()  # at most 2 ** (bits - 6) rows
+    packed[rows.column("at").to_numpy()] = rows.column("word").to_numpy().astype(np.int64).view(np.uint64)
+    return ValueMap(bits, packed)
+
+
+def _pieces(streams: list[bytes], overlap: int) -> Iterator[list[tuple[int, int, bytes]]]:
+    """The streams as ``(stream, offset, bytes)``, long ones in overlapping pieces, in groups of about `_CHUNK` bytes."""
+    held, size = [], 0
+    for d, data in enumerate(streams):
+        for start in range(0, max(len(data), 1), _CHUNK):
+            held.append((d, start, data[start : start + _CHUNK + overlap]))
+            size += len(held[-1][2])
+            if size >= _CHUNK:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _located(streams: list[bytes], classes: list[SizeClass], recall: float, known: ValueMap) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(stream, place, signature value)`` arrays of all hits in the streams."""
+    overlap = max(c.width + c.k for c in classes)
+    gap = bytes(overlap)
+    for group in _pieces(streams, overlap):
+        starts = np.cumsum([0, *(len(x) + overlap for _, _, x in group)])
+        d, offset, size = (np.array(x, np.int64) for x in zip(*((d, o, len(x)) for d, o, x in group), strict=True))
+        p, v = segment_hits(gap.join(x for _, _, x in group), classes, recall, known)
+        i = np.searchsorted(starts, p, side="right") - 1
+        inside = p - starts[i] < size[i]
+        i, p, v = i[inside], p[inside], v[inside]
+        yield d[i], p - starts[i] + offset[i], v
+
+
+def _borders(text: str, data: bytes) -> list[int]:
+    length, borders = word_borders(text)
+    return borders if length == len(data) else [0, len(data)]
+
+
+def _found_at_once(docs: DataFrame, classes: list[SizeClass], recall: float, known: ValueMap, index: Index, words: int) -> DataFrame:
+    """``(row, doc_id, item)`` of the cases, every task holding the index."""
+    shared = docs.sparkSession.sparkContext.broadcast((known, index))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, index = shared.value
+        for batch in batches:
+            texts = batch.column(2)
+            streams = [stream(unmarked(x.as_py())) for x in texts]
+            cases: set[tuple[int, int]] = set()
+            borders: dict[int, list[int]] = {}
+            for d, p, v in _located(streams, classes, recall, known):
+                of, i, q = index.matches(v)
+                d, p = d[of], p[of]
+                keep = anchors(d, p, i, q, min(c.k for c in classes))
+                for a, b, c, e in zip(d[keep].tolist(), p[keep].tolist(), i[keep].tolist(), q[keep].tolist(), strict=True):
+                    if (a, c) not in cases:
+                        if a not in borders:
+                            borders[a] = _borders(texts[a].as_py(), streams[a])
+                        if holds(streams[a], b, index.items[c], e, words, borders[a]):
+                            cases.add((a, c))
+            rows = pa.array([a for a, _ in cases], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([index.items[c].number for _, c in cases], pa.int64())], names=["row", "doc_id", "item"])
+
+    return docs.mapInArrow(run, "row bigint, doc_id bigint, item bigint")
+
+
+def _surrounded(docs: DataFrame, classes: list[SizeClass], recall: float, known: ValueMap, reach: int) -> DataFrame:
+    """``(row, doc_id, part, borders, values, places)``: the parts of the documents' streams that may hold runs, from ``(row, doc_id, t)``."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+    fields = (("row", pa.int64()), ("doc_id", pa.int64()), ("part", pa.binary()), ("borders", pa.list_(pa.int32())), ("values", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in fields]
+            texts = batch.column(2)
+            streams = [stream(unmarked(x.as_py())) for x in texts]
+            found: dict[int, list[tuple[int, int]]] = {}
+            for d, p, v in _located(streams, classes, recall, shared.value):
+                for a, b, c in zip(d.tolist(), p.tolist(), v.view(np.int64).tolist(), strict=True):
+                    found.setdefault(a, []).append((b, c))
+            for d, places in sorted(found.items()):
+                data, borders = streams[d], _borders(texts[d].as_py(), streams[d])
+                for a, b in surroundings([p for p, _ in places], borders, len(data), reach):
+                    here = [(p, v) for p, v in places if a <= p < b]
+                    row = (batch.column(0)[d].as_py(), batch.column(1)[d].as_py(), data[a:b], [x - a for x in borders[bisect_left(borders, a) : bisect_right(borders, b)]], [v for _, v in here], [p - a for p, _ in here])
+                    for column, value in zip(out, row, strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, fields, strict=True)], names=[n for n, _ in fields])
+
+    return docs.mapInArrow(run, "row bigint, doc_id bigint, part binary, borders array<int>, values array<bigint>, places array<int>")
+
+
+def _verified(candidates: DataFrame, words: int) -> DataFrame:
+    """``(row, doc_id, item)`` of the candidates ``(row, doc_id, item, t, part, borders, spots)`` that are cases."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            known: dict[int, Item] = {}
+            kept = []
+            for i, (number, text, data, borders, spots) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 7)), strict=True)):
+                if number not in known:
+                    known[number] = item_of(number, text)
+                if any(holds(data, s["p"], known[number], s["q"], words, borders) for s in spots):
+                    kept.append(i)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int64())) for c in range(3)], names=["row", "doc_id", "item"])
+
+    return candidates.select("row", "doc_id", "item", "t", "part", "borders", "spots").mapInArrow(run, "row bigint, doc_id bigint, item bigint")
+
+
+def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, words: int = 15, recall: float = 0.9999, most_bits: int = 27, held_bytes: int = 4_000_000) -> DataFrame:
+    """``(doc_id, item_id)`` for each document and each item of which it holds at least `words` consecutive words, one of them replaced at most by one other word.
 
     Words are parted by white space; those without a letter or digit don't count. Items of fewer than `words` words, null and empty ones
     can't be found; null and empty documents hold nothing. A repeated item or document number gives its pairs once per row of the documents.
+    `recall` is the least probability with which a single run is met; a passage has two to nine of them, a longer one more. Items of up to `held_bytes` bytes in all are held by
+    every task with their signatures (some 20 bytes a band), more meet the documents in a join; the result is the same.
     """
-    given = items.select(F.col(item).cast("bigint").alias("number"), F.col(item_text).cast("string").alias("t")).where("number is not null and length(t) > 0")
-    size = given.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    picked = spread(docs).select(F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("t")).where(F.length("t") > 0)
-    sc = docs.sparkSession.sparkContext
-    out = None
-    for block in range(blocks):
-        rows = given.where(F.pmod(F.xxhash64("number"), F.lit(blocks)) == block).collect()  # about block_bytes
-        shared = sc.broadcast(Sketches([item_of(r.number, r.t) for r in rows], words, words // 2))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            sketches = shared.value
-            for batch in batches:
-                found: list[tuple[int, int]] = []
-                numbers = batch.column(0).to_pylist()
-                streams = [stream(unmarked(x.as_py())) for x in batch.column(1)]
-                for d, places in sketches.candidates(streams).items():
-                    found += [(numbers[d], i) for i in set(leaked_items(streams[d], places, sketches))]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["doc_id", "item_id"])
-
-        part = picked.mapInArrow(run, "doc_id bigint, item_id bigint")
-        out = part if out is None else out.union(part)
-    return out
+    given = materialise(items.select(F.col(item).cast("bigint").alias("number"), F.col(item_text).cast("string").alias("t")).where("number is not null and length(t) > 0"))
+    texts = materialise(given.select("t").distinct().withColumn("item", F.monotonically_increasing_id()))
+    signed = materialise(_signatures(texts, words, recall))
+    runs = signed.where("value is not null")
+    classes = [SizeClass(r.k, r.least, r.most) for r in runs.select("k", "least", "most").distinct().collect()]  # a few for each doubling of the size
+    if not classes:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
+    known = _value_map(runs, most_bits)
+    picked = spread(docs).select(F.monotonically_increasing_id().alias("row"), F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("t")).where(F.length("t") > 0)
+    if texts.agg(F.sum(F.octet_length("t"))).first()[0] <= held_bytes:
+        held = [item_of(r.item, r.t) for r in texts.collect()]
+        rows = runs.select("value", "item", "place").distinct().toArrow()
+        order = np.argsort(rows.column("value").to_numpy().view(np.uint64), kind="stable")
+        at = {x.number: i for i, x in enumerate(held)}
+        index = Index(rows.column("value").to_numpy().view(np.uint64)[order], np.array([at[x] for x in rows.column("item").to_pylist()], np.int64)[order], rows.column("place").to_numpy().astype(np.int64)[order], held)
+        found = materialise(_found_at_once(picked, classes, recall, known, index, words))
+    else:
+        reach = signed.where("value is null").agg(F.max("most")).first()[0]
+        parts = materialise(_surrounded(picked, classes, recall, known, reach)).withColumn("part_no", F.monotonically_increasing_id())
+        spots = parts.select("part_no", F.explode(F.arrays_zip("values", "places")).alias("s")).select("part_no", F.col("s.values").alias("value"), F.col("s.places").alias("p"))
+        met = spots.join(runs.select("value", "item", F.col("place").alias("q")).distinct(), "value").groupBy("part_no", "item").agg(F.collect_set(F.struct("p", "q")).alias("spots"))  # of one part
+        found = _verified(parts.select("part_no", "row", "doc_id", "part", "borders").join(met, "part_no").join(texts, "item"), words)
+    named = found.distinct().join(texts, "item").join(given, "t")
+    return named.select("row", "doc_id", F.col("number").alias("item_id")).distinct().select("doc_id", "item_id")
