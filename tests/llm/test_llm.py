@@ -176,17 +176,22 @@ def brute_pieces(data, limit, overlap):
         start = max(p for p in text_starts if p <= cut - overlap)
 
 
-def test_pieces_equal_brute_force():
+@pytest.mark.parametrize("window", [1 << 22, 200])
+def test_pieces_equal_brute_force(monkeypatch, window):
+    monkeypatch.setattr(pieces, "WINDOW", window)
     rng = random.Random(7)
+    texts = []
     for _ in range(150):
         weight = rng.choice([1, 9, 40])
-        text = "".join(rng.choice(["a", "é", "ぅ", " ", "\r\n", "\n", "\t", *["bcdefgh" * rng.randint(1, 9)] * weight]) for _ in range(rng.randint(10, 100)))
-        data = text.encode()
-        if len(data) > 64:
-            kind, starts, stops, _ = pieces.split_bytes(data, 64, 10)
-            assert list(zip(starts.tolist(), stops.tolist(), strict=True)) == brute_pieces(data, 64, 10)
-            longest = lambda p: max(len(x.encode()) for x in re.split(p, text))
-            assert kind == ("line" if longest("[\r\n]") <= 64 else "space" if longest("[\r\n\t ]") <= 64 else "hard")
+        texts.append("".join(rng.choice(["a", "é", "ぅ", " ", "\r\n", "\n", "\t", *["bcdefgh" * rng.randint(1, 9)] * weight]) for _ in range(rng.randint(10, 100))))
+    texts += ["\n" * 1000, " " * 500, "x" * 64 + "\n" + "y" * 64, "x" * 64 + " " + "y" * 64 + "\n", "x" * 65 + "\n", "é" * 400]
+    texts = [t for t in texts if len(t.encode()) > 64]
+    data = [t.encode() for t in texts]
+    want = [(i, *piece) for i, d in enumerate(data) for piece in brute_pieces(d, 64, 10)]
+    assert [x[:3] for x in pieces.split_all(data, 64, 10)] == want
+    for t, level in zip(texts, pieces.natural_levels(data, 64), strict=True):
+        longest = lambda p: max(len(x.encode()) for x in re.split(p, t))  # noqa: B023, E731
+        assert pieces.KINDS[level] == ("line" if longest("[\r\n]") <= 64 else "space" if longest("[\r\n\t ]") <= 64 else "hard")
 
 
 def test_pieces_cover_the_texts(spark):

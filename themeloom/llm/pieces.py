@@ -3,7 +3,10 @@
 Sizes are tokens of the byte tokenizer, one for each byte of the UTF-8 text. A cut joins two consecutive pieces: the next piece begins `overlap` tokens
 before it. Every possible cut of a text is a node that points to its farthest legal successor, and squaring the successor table - the successor of the
 successor, of that, and so on - marks all cuts of the greedy division in a logarithmic number of passes over whole arrays, with no walk from cut to cut.
-All texts of an Arrow batch share the arrays; the operator is one narrow stage without a shuffle.
+Texts are laid out one behind the other and share the tables; a text longer than `WINDOW` takes part with one window after another, so memory is bounded whatever its length. The operator is one
+narrow stage without a shuffle.
+
+How natural a text's boundaries are is read off the same kind of table: of the levels of boundaries, the first at which the successors, nothing shared, lead from the text's start to its end.
 """
 
 from __future__ import annotations
@@ -19,12 +22,8 @@ from ..session import spread
 
 PIECES = "doc bigint, n bigint, doc_kind string, piece int, start bigint, stop bigint, cut string"
 _ARROW = pa.schema([("doc", pa.int64()), ("n", pa.int64()), ("doc_kind", pa.string()), ("piece", pa.int32()), ("start", pa.int64()), ("stop", pa.int64()), ("cut", pa.string())])
-KINDS = np.array(["line", "space", "hard", "end"], dtype=object)
-
-
-def longest_stretch(at: np.ndarray, n: int) -> int:
-    """The longest run of bytes without a break, the breaks being single bytes at the places `at`."""
-    return int(np.diff(at, prepend=-1, append=n).max()) - 1
+KINDS = ("line", "space", "hard", "end")
+WINDOW = 1 << 22
 
 
 def farthest(bounds: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -36,14 +35,86 @@ def farthest(bounds: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     return np.where((i >= 0) & (found > low), found, -1)
 
 
-def successors(nodes: np.ndarray, levels: list[np.ndarray], n: int, limit: int, overlap: int, shared: np.ndarray) -> np.ndarray:
-    """The farthest legal cut after each node: at the first level that has one, `n` where the rest fits.
+class Layout:
+    """Texts in one buffer, with a byte behind each that is neither a break nor part of a character."""
+
+    def __init__(self, parts: list[bytes]) -> None:
+        self.raw = np.frombuffer(b"\0".join([*parts, b""]), np.uint8)
+        size = np.array([len(x) for x in parts], np.int64)
+        self.end = np.cumsum(size + 1) - 1
+        self.base = self.end - size
+
+    def text_of(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.base, places, side="right") - 1
+
+
+def doubled(jump: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Where following `jump` (an index of a node, itself at the end) from the roots ends, by squaring the table."""
+    at = jump[roots]
+    while True:
+        jump = jump[jump]
+        on = jump[at]
+        if (on == at).all():
+            return at
+        at = on
+
+
+def breaks_of(raw: np.ndarray, level: int) -> np.ndarray:
+    """Places of the breaks: line breaks at level 0, tabs and spaces too at level 1."""
+    found = (raw == 13) | (raw == 10)
+    return np.flatnonzero(found if level == 0 else found | (raw == 9) | (raw == 32))
+
+
+def reached(parts: list[bytes], last: list[bool], level: int, limit: int) -> np.ndarray:
+    """How far the successors of a level lead in each text, `limit` tokens at most at a time. Boundaries are before and behind every break, and the end of a part that is its text's last."""
+    of = Layout(parts)
+    breaks = breaks_of(of.raw, level)
+    bounds = np.unique(np.concatenate([of.base, breaks, breaks + 1, of.end[np.array(last, bool)]]))
+    nodes = np.unique(np.concatenate([bounds, of.base]))
+    to = farthest(bounds, nodes, np.minimum(nodes + limit, of.end[of.text_of(nodes)]))
+    jump = np.searchsorted(nodes, np.where(to < 0, nodes, to))
+    return nodes[doubled(jump, np.searchsorted(nodes, of.base))] - of.base
+
+
+def _grouped(texts: list[bytes], at: dict[int, int]) -> Iterator[tuple[list[int], list[bytes], list[bool]]]:
+    """The next windows of the texts in `at` (text -> place), some `WINDOW` bytes together at a time, and whether each is its text's last."""
+    group: list[int] = []
+    size = 0
+    for t in sorted(at):
+        group.append(t)
+        size += min(WINDOW, len(texts[t]) - at[t])
+        if size >= WINDOW or t == max(at):
+            yield group, [texts[x][at[x] : at[x] + WINDOW] for x in group], [at[x] + WINDOW >= len(texts[x]) for x in group]
+            group, size = [], 0
+
+
+def natural_levels(texts: list[bytes], limit: int) -> list[int]:
+    """For each text the first level (index into KINDS) whose boundaries alone lead to its end."""
+    out = [2] * len(texts)
+    left = set(range(len(texts)))
+    for level in (0, 1):
+        at = dict.fromkeys(left, 0)
+        while at:
+            for group, parts, last in list(_grouped(texts, at)):
+                for t, part, final, n in zip(group, parts, last, reached(parts, last, level, limit).tolist(), strict=True):
+                    if final or n + limit < len(part):
+                        if final and n == len(part):
+                            out[t] = level
+                            left.discard(t)
+                        del at[t]
+                    else:
+                        at[t] += n
+    return out
+
+
+def successors(nodes: np.ndarray, levels: list[np.ndarray], end: np.ndarray, limit: int, overlap: int, shared: np.ndarray) -> np.ndarray:
+    """The farthest legal cut after each node: at the first level that has one, the text's `end` where the rest fits.
 
     A piece reaches from node - shared to its cut and has at most `limit` tokens, more than `overlap` of them new, so that the next piece can share as
     many with it. `levels` are boundaries, the most natural first.
     """
     high = nodes - shared + limit
-    out = np.where(high >= n, n, -1)
+    out = np.where(high >= end, end, -1)
     for bounds in levels:
         open_ = out < 0
         if not open_.any():
@@ -52,10 +123,10 @@ def successors(nodes: np.ndarray, levels: list[np.ndarray], n: int, limit: int,
     return out
 
 
-def greedy_cuts(succ: np.ndarray) -> np.ndarray:
-    """The nodes met from node 0 by following `succ` (an index of a node, itself at the end), by squaring the table."""
+def greedy_cuts(succ: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """The nodes met from the roots by following `succ` (an index of a node, itself at the end), by squaring the table."""
     met = np.zeros(len(succ), bool)
-    met[0] = True
+    met[roots] = True
     jump = succ.copy()
     while True:
         before = np.count_nonzero(met)
@@ -65,53 +136,68 @@ def greedy_cuts(succ: np.ndarray) -> np.ndarray:
         jump = jump[jump]
 
 
-def split_bytes(data: bytes, limit: int, overlap: int) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
-    """``(kind of the text, starts, stops, index into KINDS of each piece's cut)`` of a text of more than `limit` bytes.
-
-    Pieces cover the text, none exceeds `limit`, and each begins `overlap` bytes before the cut it follows, or up to three more where that would be within a
-    character. A cut is behind a line break (CR LF is one) where one can be reached, else behind a tab or space, else between two characters.
-    """
-    raw = np.frombuffer(data, np.uint8)
-    n = len(raw)
+def cut_parts(parts: list[bytes], leads: list[int], limit: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(part, start, stop, level of the cut)`` of all pieces, in order. The first piece of a part begins `lead` tokens before the cut it follows."""
+    of = Layout(parts)
+    raw, n = of.raw, len(of.raw)
     cr, lf = raw == 13, raw == 10
-    breaks = np.flatnonzero(cr | lf)
-    blanks = np.flatnonzero(cr | lf | (raw == 9) | (raw == 32))
-    kind = "line" if longest_stretch(breaks, n) <= limit else "space" if longest_stretch(blanks, n) <= limit else "hard"
     inside = np.zeros(n + 1, bool)  # CR | LF isn't a boundary
     inside[1:n] = cr[:-1] & lf[1:]
-    lines = breaks + 1
-    lines = lines[~inside[lines]]
-    spaces = blanks + 1
-    spaces = spaces[~inside[spaces]]
+    lines, spaces = (x[~inside[x]] for x in (breaks_of(raw, 0) + 1, breaks_of(raw, 1) + 1))
     chars = np.flatnonzero((raw & 0xC0) != 0x80)
+    roots = of.base + np.array(leads, np.int64)
     # nodes: natural boundaries, and those between characters where a stretch is too long for natural ones alone
-    levels = [lines, spaces, chars]
-    gap = limit - overlap - 4
-    edges = np.concatenate([[0], spaces, [n]])
-    wide = np.flatnonzero(np.diff(edges) > gap)
-    far = [chars[np.searchsorted(chars, edges[i]) : np.searchsorted(chars, min(edges[i + 1] + limit, n))] for i in wide.tolist()]
-    nodes = np.unique(np.concatenate([[0], spaces, *far, [n]]))
-    back = np.maximum(nodes - overlap, 0)
-    shared = nodes - chars[np.maximum(np.searchsorted(chars, back, side="right") - 1, 0)]
-    shared[0] = 0
-    to = successors(nodes, levels, n, limit, overlap, shared)
-    to[-1] = n
-    index = np.searchsorted(nodes, to)
-    missing = nodes[np.minimum(index, len(nodes) - 1)] != to
-    if missing.any():  # a cut between characters that is no node yet: take all characters as nodes
-        nodes = np.unique(np.concatenate([chars, [n]]))
-        back = np.maximum(nodes - overlap, 0)
+    edges = np.unique(np.concatenate([of.base, spaces, of.end]))
+    wide = np.flatnonzero(np.diff(edges) > limit - overlap - 4)
+    low = np.searchsorted(chars, edges[wide])
+    high = np.searchsorted(chars, np.minimum(edges[wide + 1] + limit, of.end[of.text_of(edges[wide])]))
+    open_ = np.cumsum(np.bincount(low, minlength=len(chars) + 1) - np.bincount(high, minlength=len(chars) + 1))[:-1] > 0
+    nodes = np.unique(np.concatenate([roots, of.base, spaces, chars[open_], of.end]))
+    while True:
+        text = of.text_of(nodes)
+        back = np.maximum(nodes - overlap, of.base[text])
         shared = nodes - chars[np.maximum(np.searchsorted(chars, back, side="right") - 1, 0)]
-        shared[0] = 0
-        to = successors(nodes, levels, n, limit, overlap, shared)
-        to[-1] = n
+        shared[np.searchsorted(nodes, of.base)] = 0
+        shared[np.searchsorted(nodes, roots)] = leads
+        to = successors(nodes, [lines, spaces, chars], of.end[text], limit, overlap, shared)
         index = np.searchsorted(nodes, to)
-    cuts = greedy_cuts(index)
-    at = nodes[cuts]
-    starts = (at - shared[cuts])[:-1]
-    stops = at[1:]
-    is_line, is_space = np.isin(stops, lines), np.isin(stops, spaces)
-    return kind, starts, stops, np.where(stops == n, 3, np.where(is_line, 0, np.where(is_space, 1, 2)))
+        missing = nodes[np.minimum(index, len(nodes) - 1)] != to
+        if not missing.any():
+            break
+        odd = np.isin(of.text_of(chars), np.unique(text[missing]))  # a cut between characters that is no node yet: all characters of such texts
+        nodes = np.unique(np.concatenate([nodes, chars[odd]]))
+    cuts = greedy_cuts(index, np.searchsorted(nodes, roots))
+    at, mine = nodes[cuts], text[cuts]
+    goes_on = np.flatnonzero(mine[:-1] == mine[1:])
+    starts, stops, part = (at - shared[cuts])[goes_on], at[goes_on + 1], mine[goes_on]
+    level = np.where(stops == of.end[part], 3, np.where(np.isin(stops, lines), 0, np.where(np.isin(stops, spaces), 1, 2)))
+    return part, starts - of.base[part], stops - of.base[part], level
+
+
+def split_all(texts: list[bytes], limit: int, overlap: int) -> list[tuple[int, int, int, int]]:
+    """``(text, start, stop, index into KINDS of the cut)`` of the pieces of texts of more than `limit` bytes, in order.
+
+    Pieces cover the text, none exceeds `limit`, and each begins `overlap` bytes before the cut it follows, or up to three more where that would be within a
+    character. A cut is behind a line break (CR LF is one) where one can be reached, else behind a tab or space, else between two characters.
+    """
+    out: list[tuple[int, int, int, int]] = []
+    at, lead = dict.fromkeys(range(len(texts)), 0), dict.fromkeys(range(len(texts)), 0)
+    while at:
+        for group, parts, last in list(_grouped(texts, at)):
+            base = {i: at[t] for i, t in enumerate(group)}
+            for i, start, stop, level in zip(*(x.tolist() for x in cut_parts(parts, [lead[t] for t in group], limit, overlap)), strict=True):
+                t = group[i]
+                if t not in at or at[t] != base[i]:
+                    continue
+                if last[i] or start + limit < len(parts[i]):  # else the window's end has a say in it: the next window begins with this piece
+                    out.append((t, base[i] + start, base[i] + stop, level))
+                    before = stop
+                else:
+                    at[t], lead[t] = base[i] + start, before - start
+            for i, t in enumerate(group):
+                if last[i]:
+                    del at[t]
+    return sorted(out)
 
 
 def split_texts(docs: DataFrame, doc: str, text: str, limit: int, overlap: int) -> DataFrame:
@@ -127,13 +213,15 @@ def split_texts(docs: DataFrame, doc: str, text: str, limit: int, overlap: int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts = [x.as_buffer().to_pybytes() for x in batch.column(1)]
+            levels = natural_levels(texts, limit)
+            numbers = batch.column(0).to_pylist()
             out: list[list] = [[] for _ in _ARROW]
-            for number, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = value.as_buffer().to_pybytes()
-                kind, starts, stops, cut = split_bytes(data, limit, overlap)
-                k = len(starts)
-                for column, values in zip(out, ([number] * k, [len(data)] * k, [kind] * k, range(k), starts.tolist(), stops.tolist(), KINDS[cut]), strict=True):
-                    column.extend(values)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, _ARROW, strict=True)], schema=_ARROW)
+            of, piece = -1, 0
+            for t, start, stop, cut in split_all(texts, limit, overlap):
+                of, piece = t, piece + 1 if t == of else 0
+                for column, value in zip(out, (numbers[t], len(texts[t]), KINDS[levels[t]], piece, start, stop, KINDS[cut]), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _ARROW, strict=True)], schema=_ARROW)
 
     return long.mapInArrow(run, PIECES)
