@@ -4,9 +4,10 @@ Texts are compared as streams of letters and digits: markup, case, accents, punc
 remembered beside. A case holds `words` consecutive words of an item with at most one of them replaced, so one of the item's runs of `words` // 2 words stands in the document
 unchanged: as a set of byte shingles the run is contained in the document wholly.
 
-The search is that of a containment index for small sets in large ones (Zhu, Nargesian, Pu and Miller). Runs are partitioned by size. For a partition of runs of up to u shingles, the
-document's shingles are taken as segments wide enough that any such run lies in one of them; containment 1 then means a Jaccard similarity of at least (smallest run) / (width of a segment), and the
-partition gets as many MinHash bands of one value as find a run of that similarity with probability `recall`. A signature value of a segment that is one of a run makes a candidate.
+The search is that of a containment index for small sets in large ones (Zhu, Nargesian, Pu and Miller). Runs are partitioned by size. A partition looks at the document as the sets of as many
+neighbouring shingles as its smallest run has, one set from every place on, and at a run as its own first such set: a document that contains the run contains this set as one of its own. At equal sizes the
+containment of 1 is a Jaccard similarity of 1, so that one MinHash value for each set finds every run; neighbouring sets mostly share theirs, and few values come of a document. A value of a document that is one of a run makes a candidate,
+and a hash of the whole run in its place decides whether the run is contained.
 
 Every task holds a bit map of the runs' signature values, which has a fixed largest size and rules out values that no run has. Items whose bytes are proven few are held by the tasks as well;
 else what the map leaves, with the documents' streams around it, meets the runs in a join by value. Candidates are verified exactly, word by word on both sides of the common shingle. Documents are
@@ -39,6 +40,7 @@ _ASCII_DROP = bytes(i for i in range(128) if not chr(i).isalnum())
 _LETTERS = (("œ", "oe"), ("æ", "ae"), ("ø", "o"), ("ł", "l"), ("đ", "d"), ("ı", "i"))
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)  # odd numbers
 _ALL = (1 << 64) - 1
+_POWER = 0xD6E8FEB86659FD93  # an odd number
 _CHUNK = 1 << 18  # bytes of streams that are hashed at once
 _HYPHENS = ("-", "\u00ad", "\u2010", "\u2011")
 
@@ -79,12 +81,6 @@ def shingle_hashes(data: bytes, k: int) -> np.ndarray:
     return out ^ (out >> np.uint64(29))
 
 
-def permuted(hashes: np.ndarray, band: int) -> np.ndarray:
-    """The hashes under the permutation of a band."""
-    step = (2 * band + 1) * int(_MIX[2]) & _ALL
-    return (hashes ^ np.uint64(step)) * np.uint64((int(_MIX[0]) + 2 * step) & _ALL)
-
-
 @dataclass
 class Item:
     """One item's stream and the places where its words begin, with the end."""
@@ -109,62 +105,56 @@ SHINGLES = ((24, 36), (16, 20), (8, 12), (4, 0))
 
 @dataclass(frozen=True)
 class SizeClass:
-    """A partition of the runs: those of more than `least` - 1 and up to `most` shingles of `k` bytes."""
+    """A partition of the runs: those of at least `least` shingles of `k` bytes, and fewer than the next one's."""
 
     k: int
     least: int
-    most: int
-
-    @property
-    def block(self) -> int:
-        """Segments begin at multiples of this many places."""
-        return 1 << max(0, (self.most // 4).bit_length() - 1)
-
-    @property
-    def width(self) -> int:
-        """Places of a segment: any run of the class lies in one of them."""
-        return (-(-self.most // self.block) + 1) * self.block
-
-    def bands(self, recall: float) -> int:
-        return max(1, math.ceil(math.log(1 - recall) / math.log(1 - self.least / self.width)))
 
 
 def size_class(size: int) -> SizeClass:
-    """The class of a run of `size` bytes: bounds grow by the square root of two."""
+    """The class of a run of `size` bytes: bounds grow by about the square root of two."""
     k = next(k for k, least in SHINGLES if size >= least)
     n = max(1, size - k + 1)
-    i = max(0, math.ceil(2 * math.log2(n) - 1e-9))
-    bound = lambda j: math.ceil(2 ** (j / 2) - 1e-9)
-    while i and bound(i - 1) >= n:
-        i -= 1
-    return SizeClass(k, bound(i - 1) + 1 if i else 1, bound(i))
+    i = math.floor(2 * math.log2(n) + 1e-9)
+    return SizeClass(k, max(1, min(n, math.floor(2 ** (i / 2) + 1e-9))))
+
+
+def substring_sums(data: bytes) -> np.ndarray:
+    """Sums by which the bytes of any part of `data` can be hashed, see `part_hash`."""
+    raw = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+    out = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(raw * powers(len(raw), _POWER), out=out[1:])
+    return out
+
+
+def powers(n: int, of: int) -> np.ndarray:
+    """The first n powers of an odd number, modulo 2 ** 64."""
+    out = np.ones(max(n, 1), np.uint64)
+    have, step = 1, of
+    while have < n:
+        out[have : 2 * have] = out[: min(have, n - have)] * np.uint64(step)
+        have, step = 2 * have, step * step & _ALL
+    return out[:n]
+
 
+def part_hash(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of the bytes from `start` to `stop`, the same wherever they stand."""
+    return (sums[stop] - sums[start]) * powers(len(sums), pow(_POWER, -1, 1 << 64))[start]
 
-def run_signatures(item: Item, words: int, run: int, recall: float) -> Iterator[tuple[int, int, SizeClass]]:
-    """``(signature value, place in the item, class)`` for each band of each run of `run` words of an item of at least `words` words."""
+
+def run_signatures(item: Item, words: int, run: int) -> Iterator[tuple[int, int, SizeClass, int, int]]:
+    """``(signature value, its place, class, start, stop)`` of each run of `run` words of an item of at least `words` words."""
     if len(item.at) - 1 < words:
         return
-    bands: dict[tuple[int, int], np.ndarray] = {}
+    hashes: dict[int, np.ndarray] = {}
     for w in range(len(item.at) - run):
         a, b = item.at[w], item.at[w + run]
         of = size_class(b - a)
-        for band in range(of.bands(recall)):
-            if (of.k, band) not in bands:
-                bands[of.k, band] = permuted(shingle_hashes(item.data, of.k), band)
-            values = bands[of.k, band][a : max(b - of.k, a) + 1]
-            if len(values):
-                i = int(values.argmin())
-                yield int(values[i]), a + i, of
-
-
-def sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
-    """Of every `width` neighbours the smallest, by doubling."""
-    have = 1
-    while 2 * have <= width:
-        x = np.minimum(x[:-have], x[have:])
-        have *= 2
-    rest = width - have
-    return np.minimum(x[:-rest], x[rest:]) if rest else x
+        if of.k not in hashes:
+            hashes[of.k] = shingle_hashes(item.data, of.k)
+        values = hashes[of.k][a : a + of.least]
+        i = int(values.argmin())
+        yield int(values[i]), a + i, of, a, b
 
 
 @dataclass(frozen=True)
@@ -183,35 +173,27 @@ class ValueMap:
         return out
 
 
-def segment_hits(data: bytes, classes: list[SizeClass], recall: float, known: ValueMap) -> tuple[np.ndarray, np.ndarray]:
-    """``(places, signature values)`` of the segments of `data` whose MinHash values may be those of runs, each pair once."""
+def window_hits(data: bytes, classes: list[SizeClass], known: ValueMap) -> tuple[np.ndarray, np.ndarray]:
+    """``(places, signature values)`` of the windows of `data` whose MinHash value may be that of a run, each pair once."""
     places, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
     for k in sorted({c.k for c in classes}):
-        of_k = sorted((c for c in classes if c.k == k), key=lambda c: c.block)
         hashes = shingle_hashes(data, k)
-        if not len(hashes):
-            continue
-        far = max(c.width + c.block for c in of_k)
-        hashes = np.concatenate([hashes, np.zeros(far, np.uint64)])
-        for band in range(max(c.bands(recall) for c in of_k)):
-            values = permuted(hashes, band)
-            values[-far:] = ~np.uint64(0)
-            least, size = values, 1
-            for c in of_k:
-                if c.bands(recall) <= band:
-                    continue
-                while size < c.block:
-                    least = np.minimum(least[: len(least) // 2 * 2 : 2], least[1::2])
-                    size *= 2
-                of_segment = sliding_minimum(least, c.width // c.block)
-                changed = np.flatnonzero(np.diff(of_segment, prepend=of_segment[:1] ^ np.uint64(1)))
-                hit = changed[known.may_have(of_segment[changed])]
-                for start in range(0, len(hit), 4096):
-                    j = hit[start : start + 4096]
-                    inside = values[np.minimum(j[:, None] * c.block + np.arange(c.width), len(values) - 1)] == of_segment[j][:, None]
-                    at, place = np.nonzero(inside)
-                    places.append(j[at] * c.block + place)
-                    found.append(of_segment[j][at])
+        least, have = hashes, 1
+        for width in sorted(c.least for c in classes if c.k == k):
+            if width > len(hashes):
+                break
+            while 2 * have <= width:
+                least = np.minimum(least[:-have], least[have:])
+                have *= 2
+            rest = width - have
+            of_window = np.minimum(least[:-rest], least[rest:]) if rest else least
+            changed = np.flatnonzero(np.diff(of_window, prepend=of_window[:1] ^ np.uint64(1)))
+            hit = changed[known.may_have(of_window[changed])]
+            for start in range(0, len(hit), 4096):
+                j = hit[start : start + 4096]
+                at, place = np.nonzero(hashes[j[:, None] + np.arange(width)] == of_window[j][:, None])
+                places.append(j[at] + place)
+                found.append(of_window[j][at])
     p, v = np.concatenate(places), np.concatenate(found)
     order = np.lexsort((v, p))
     p, v = p[order], v[order]
@@ -299,6 +281,8 @@ def holds(data: bytes, p: int, item: Item, q: int, words: int, borders: list[int
     first, last = bisect_left(at, q - left), bisect_right(at, q + right) - 1  # words first .. last - 1 are whole
     if last - first >= words:
         return True
+    if last - first < words // 2:
+        return False  # a case has a longer unchanged part, which is a candidate of its own
     shift, total = p - q, len(at) - 1
 
     def border(place: int) -> int:
@@ -322,37 +306,46 @@ def holds(data: bytes, p: int, item: Item, q: int, words: int, borders: list[int
 
 @dataclass(frozen=True)
 class Index:
-    """The runs' signatures, sorted by value, and the items they are of: for tasks to hold where it is small."""
+    """The runs by signature value, and the items they are of: for tasks to hold where it is small. Columns are value, item, place, start, stop and hash."""
 
-    values: np.ndarray
-    item: np.ndarray
-    place: np.ndarray
+    columns: tuple[np.ndarray, ...]
     items: list[Item]
 
-    def matches(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(index into v, item, place in the item)`` of all runs with these values."""
-        left, right = np.searchsorted(self.values, v, side="left"), np.searchsorted(self.values, v, side="right")
+    def contained(self, data: bytes, p: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(index into p, item, place in the item)`` of the runs with these values that `data` contains around these places."""
+        value, item, place, start, stop, hashed = self.columns
+        left, right = np.searchsorted(value, v, side="left"), np.searchsorted(value, v, side="right")
         n = right - left
         of = np.repeat(np.arange(len(v)), n)
         at = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left, n)
-        return of, self.item[at], self.place[at]
+        a, b = p[of] - (place[at] - start[at]), p[of] + (stop[at] - place[at])
+        whole = (a >= 0) & (b <= len(data))
+        of, at, a, b = of[whole], at[whole], a[whole], b[whole]
+        if len(of):
+            same = part_hash(substring_sums(data), a, b) == hashed[at]
+            of, at = of[same], at[same]
+        return of, item[at], place[at]
 
 
-def _signatures(texts: DataFrame, words: int, recall: float) -> DataFrame:
-    """``(value, item, place, k, least, most)`` and with value null ``most``, the size of the largest passage, of ``(item, t)``."""
+def _signatures(texts: DataFrame, words: int) -> DataFrame:
+    """``(value, item, place, k, least, start, stop, hash)``, and with value null the size of the largest passage as ``stop``, of ``(item, t)``."""
+    kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 5, pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: set[tuple] = set()
+            out: list[tuple] = []
             for number, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 item = item_of(number, text.as_py())
-                for value, place, of in run_signatures(item, words, words // 2, recall):
-                    out.add((value - (1 << 64) if value >> 63 else value, number, place, of.k, of.least, of.most))
-                out.add((None, number, 0, 0, 0, max((b - a for a, b in zip(item.at, item.at[words + 2 :] or item.at[-1:], strict=False)), default=0)))
-            columns = list(zip(*out, strict=True)) if out else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.int32()] * 4), strict=True)], names=["value", "item", "place", "k", "least", "most"])
+                sums = substring_sums(item.data)
+                found = list(run_signatures(item, words, words // 2))
+                hashes = part_hash(sums, np.array([x[3] for x in found], np.int64), np.array([x[4] for x in found], np.int64)).view(np.int64).tolist()
+                for (value, place, of, a, b), h in zip(found, hashes, strict=True):
+                    out.append((value - (1 << 64) if value >> 63 else value, number, place, of.k, of.least, a, b, h))
+                out.append((None, number, 0, 0, 0, 0, max((b - a for a, b in zip(item.at, item.at[words + 2 :] or item.at[-1:], strict=False)), default=0), 0))
+            columns = list(zip(*out, strict=True)) if out else [()] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["value", "item", "place", "k", "least", "start", "stop", "hash"])
 
-    return texts.select("item", "t").mapInArrow(run, "value bigint, item bigint, place int, k int, least int, most int")
+    return texts.select("item", "t").mapInArrow(run, "value bigint, item bigint, place int, k int, least int, start int, stop int, hash bigint")
 
 
 def _value_map(runs: DataFrame, most_bits: int) -> ValueMap:
@@ -381,18 +374,16 @@ def _pieces(streams: list[bytes], overlap: int) -> Iterator[list[tuple[int, int,
         yield held
 
 
-def _located(streams: list[bytes], classes: list[SizeClass], recall: float, known: ValueMap) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """``(stream, place, signature value)`` arrays of all hits in the streams."""
-    overlap = max(c.width + c.k for c in classes)
-    gap = bytes(overlap)
+def _located(streams: list[bytes], classes: list[SizeClass], known: ValueMap, overlap: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """``(data, stream, shift, place, signature value)``: the hits in the streams, places being those in `data`, some pieces of streams, and shifted by `shift` those in the stream."""
+    gap = bytes(32)
     for group in _pieces(streams, overlap):
-        starts = np.cumsum([0, *(len(x) + overlap for _, _, x in group)])
-        d, offset, size = (np.array(x, np.int64) for x in zip(*((d, o, len(x)) for d, o, x in group), strict=True))
-        p, v = segment_hits(gap.join(x for _, _, x in group), classes, recall, known)
+        starts = np.cumsum([0, *(len(x) + len(gap) for _, _, x in group)])
+        d, offset = np.array([x[0] for x in group]), np.array([x[1] for x in group])
+        data = gap.join(x for _, _, x in group)
+        p, v = window_hits(data, classes, known)
         i = np.searchsorted(starts, p, side="right") - 1
-        inside = p - starts[i] < size[i]
-        i, p, v = i[inside], p[inside], v[inside]
-        yield d[i], p - starts[i] + offset[i], v
+        yield data, d[i], offset[i] - starts[i], p, v
 
 
 def _borders(text: str, data: bytes) -> list[int]:
@@ -400,7 +391,7 @@ def _borders(text: str, data: bytes) -> list[int]:
     return borders if length == len(data) else [0, len(data)]
 
 
-def _found_at_once(docs: DataFrame, classes: list[SizeClass], recall: float, known: ValueMap, index: Index, words: int) -> DataFrame:
+def _found_at_once(docs: DataFrame, classes: list[SizeClass], known: ValueMap, index: Index, words: int, overlap: int) -> DataFrame:
     """``(row, doc_id, item)`` of the cases, every task holding the index."""
     shared = docs.sparkSession.sparkContext.broadcast((known, index))
 
@@ -411,9 +402,9 @@ def _found_at_once(docs: DataFrame, classes: list[SizeClass], recall: float, kno
             streams = [stream(unmarked(x.as_py())) for x in texts]
             cases: set[tuple[int, int]] = set()
             borders: dict[int, list[int]] = {}
-            for d, p, v in _located(streams, classes, recall, known):
-                of, i, q = index.matches(v)
-                d, p = d[of], p[of]
+            for data, d, shift, p, v in _located(streams, classes, known, overlap):
+                of, i, q = index.contained(data, p, v)
+                d, p = d[of], p[of] + shift[of]
                 keep = anchors(d, p, i, q, min(c.k for c in classes))
                 for a, b, c, e in zip(d[keep].tolist(), p[keep].tolist(), i[keep].tolist(), q[keep].tolist(), strict=True):
                     if (a, c) not in cases:
@@ -427,7 +418,7 @@ def _found_at_once(docs: DataFrame, classes: list[SizeClass], recall: float, kno
     return docs.mapInArrow(run, "row bigint, doc_id bigint, item bigint")
 
 
-def _surrounded(docs: DataFrame, classes: list[SizeClass], recall: float, known: ValueMap, reach: int) -> DataFrame:
+def _surrounded(docs: DataFrame, classes: list[SizeClass], known: ValueMap, reach: int, overlap: int) -> DataFrame:
     """``(row, doc_id, part, borders, values, places)``: the parts of the documents' streams that may hold runs, from ``(row, doc_id, t)``."""
     shared = docs.sparkSession.sparkContext.broadcast(known)
     fields = (("row", pa.int64()), ("doc_id", pa.int64()), ("part", pa.binary()), ("borders", pa.list_(pa.int32())), ("values", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())))
@@ -438,9 +429,10 @@ def _surrounded(docs: DataFrame, classes: list[SizeClass], recall: float, known:
             texts = batch.column(2)
             streams = [stream(unmarked(x.as_py())) for x in texts]
             found: dict[int, list[tuple[int, int]]] = {}
-            for d, p, v in _located(streams, classes, recall, shared.value):
-                for a, b, c in zip(d.tolist(), p.tolist(), v.view(np.int64).tolist(), strict=True):
-                    found.setdefault(a, []).append((b, c))
+            for _, d, shift, p, v in _located(streams, classes, shared.value, overlap):
+                for a, b, c in zip(d.tolist(), (p + shift).tolist(), v.view(np.int64).tolist(), strict=True):
+                    if b < len(streams[a]):
+                        found.setdefault(a, []).append((b, c))
             for d, places in sorted(found.items()):
                 data, borders = streams[d], _borders(texts[d].as_py(), streams[d])
                 for a, b in surroundings([p for p, _ in places], borders, len(data), reach):
@@ -470,33 +462,35 @@ def _verified(candidates: DataFrame, words: int) -> DataFrame:
     return candidates.select("row", "doc_id", "item", "t", "part", "borders", "spots").mapInArrow(run, "row bigint, doc_id bigint, item bigint")
 
 
-def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, words: int = 15, recall: float = 0.9999, most_bits: int = 27, held_bytes: int = 4_000_000) -> DataFrame:
+def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, words: int = 15, most_bits: int = 27, held_bytes: int = 4_000_000) -> DataFrame:
     """``(doc_id, item_id)`` for each document and each item of which it holds at least `words` consecutive words, one of them replaced at most by one other word.
 
     Words are parted by white space; those without a letter or digit don't count. Items of fewer than `words` words, null and empty ones
     can't be found; null and empty documents hold nothing. A repeated item or document number gives its pairs once per row of the documents.
-    `recall` is the least probability with which a single run is met; a passage has two to nine of them, a longer one more. Items of up to `held_bytes` bytes in all are held by
-    every task with their signatures (some 20 bytes a band), more meet the documents in a join; the result is the same.
+    Items of up to `held_bytes` bytes in all are held by every task with their runs (some 60 bytes a word), more meet the documents in a join; the result is the same.
     """
     given = materialise(items.select(F.col(item).cast("bigint").alias("number"), F.col(item_text).cast("string").alias("t")).where("number is not null and length(t) > 0"))
     texts = materialise(given.select("t").distinct().withColumn("item", F.monotonically_increasing_id()))
-    signed = materialise(_signatures(texts, words, recall))
+    signed = materialise(_signatures(texts, words))
     runs = signed.where("value is not null")
-    classes = [SizeClass(r.k, r.least, r.most) for r in runs.select("k", "least", "most").distinct().collect()]  # a few for each doubling of the size
+    classes = [SizeClass(r.k, r.least) for r in runs.select("k", "least").distinct().collect()]  # two for each doubling of the size
     if not classes:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
     known = _value_map(runs, most_bits)
+    overlap = runs.agg(F.max(F.col("stop") - F.col("start"))).first()[0]  # the longest run
     picked = spread(docs).select(F.monotonically_increasing_id().alias("row"), F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("t")).where(F.length("t") > 0)
     if texts.agg(F.sum(F.octet_length("t"))).first()[0] <= held_bytes:
         held = [item_of(r.item, r.t) for r in texts.collect()]
-        rows = runs.select("value", "item", "place").distinct().toArrow()
-        order = np.argsort(rows.column("value").to_numpy().view(np.uint64), kind="stable")
         at = {x.number: i for i, x in enumerate(held)}
-        index = Index(rows.column("value").to_numpy().view(np.uint64)[order], np.array([at[x] for x in rows.column("item").to_pylist()], np.int64)[order], rows.column("place").to_numpy().astype(np.int64)[order], held)
-        found = materialise(_found_at_once(picked, classes, recall, known, index, words))
+        rows = runs.select("value", "item", "place", "start", "stop", "hash").toArrow()
+        columns = [rows.column(c).to_numpy().astype(np.int64) for c in rows.column_names]
+        columns[0], columns[5] = columns[0].view(np.uint64), columns[5].view(np.uint64)
+        columns[1] = np.array([at[x] for x in columns[1].tolist()], np.int64)
+        order = np.argsort(columns[0], kind="stable")
+        found = materialise(_found_at_once(picked, classes, known, Index(tuple(c[order] for c in columns), held), words, overlap))
     else:
-        reach = signed.where("value is null").agg(F.max("most")).first()[0]
-        parts = materialise(_surrounded(picked, classes, recall, known, reach)).withColumn("part_no", F.monotonically_increasing_id())
+        reach = signed.where("value is null").agg(F.max("stop")).first()[0]
+        parts = materialise(_surrounded(picked, classes, known, reach, overlap)).withColumn("part_no", F.monotonically_increasing_id())
         spots = parts.select("part_no", F.explode(F.arrays_zip("values", "places")).alias("s")).select("part_no", F.col("s.values").alias("value"), F.col("s.places").alias("p"))
         met = spots.join(runs.select("value", "item", F.col("place").alias("q")).distinct(), "value").groupBy("part_no", "item").agg(F.collect_set(F.struct("p", "q")).alias("spots"))  # of one part
         found = _verified(parts.select("part_no", "row", "doc_id", "part", "borders").join(met, "part_no").join(texts, "item"), words)
