@@ -99,6 +99,29 @@ def test_forest_equals_brute_force_in_both_ways(spark):
         assert {r.node: r.n_descendants for r in got.where("kind = 'tree'").collect()} == {n: below.get(n, 0) for n, w in want.items() if w[0] == "tree"}
 
 
+def test_every_column_is_the_same_in_both_ways(spark):
+    """Cycles of several lengths with trees below them, deep chains, several parents, two hierarchies over the same numbers, and the largest numbers there are."""
+    rng = random.Random(5)
+    big = 2**63 - 1
+    rows = [("a", 1, 2), ("a", 2, 3), ("a", 3, 1), ("a", 4, 2), ("a", 5, 4), ("b", 1, 2), ("b", 1, 3), ("b", 3, 9), ("b", 7, 7), ("a", big, big - 1), ("a", big - 1, big - 2), ("b", big, None), (None, 8, 9)]
+    rows += [("a", n, n + 1) for n in range(100, 160)] + [("b", n, rng.randint(1000, n - 1)) for n in range(1001, 1100)]
+    df = spark.createDataFrame(rows, "g string, child bigint, up bigint")
+    for paths in (True, False):
+        one, other = ({tuple(map(str, r)) for r in H.hierarchy(df, "child", "up", task_nodes=bound, paths=paths, within="g").collect()} for bound in (200_000, 1))
+        assert one == other and len(one) > 160
+    got = {(r.g, r.node): r for r in H.hierarchy(df, "child", "up", task_nodes=1, within="g").collect()}
+    assert {n for (g, n), r in got.items() if r.back_edge} == {1, 7}
+    assert got["b", 3].kind == "tree" and got["b", 1].n_parents == 2 and got["b", 1].path == [2, 1] and got["b", 3].path == [9, 3]
+    assert got["a", big].path == [big - 2, big - 1, big] and got["a", big - 2].n_descendants == 2 and got["a", 160].n_descendants == 60 and got["b", 1000].n_descendants == 99
+
+
+def test_p7_takes_the_largest_id(spark, tmp_path):
+    big = f"Q{2**63 - 1}"
+    d = pd.DataFrame({"rec_no": [1, 2], "id": [big, "Q5"], "labels": "{}", "descriptions": "{}", "aliases": "{}", "properties": ['{"subclass_of": ["Q5"]}', '{"located_in": ["' + big + '"]}'], "enwiki": None, "seen_at": pd.Timestamp("2020-01-01"), "loaded_at": pd.Timestamp("2020-01-01")})
+    d.to_parquet(tmp_path / "wikidata_summary.parquet")
+    assert {tuple(r) for r in K.p7_found(spark, str(tmp_path)).collect()} == {("subclass_of", 2**63 - 1, "tree", 5, 1), ("subclass_of", 5, "tree", 5, 0), ("located_in", 5, "tree", 2**63 - 1, 1), ("located_in", 2**63 - 1, "tree", 2**63 - 1, 0)}
+
+
 def test_forest_known_parents_only_and_empty(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (4, 4), (5, 4)], "c bigint, p bigint")
     got = forest_of(H.hierarchy(df, "c", "p", spark.createDataFrame([(1,), (2,), (4,)], "k bigint")))

@@ -2,7 +2,7 @@
 
 Method: connected components by alternating large-star and small-star rounds, each component co-located in one task and walked
 depth-first with node colours. A component too large for one task is never gathered: it is resolved by doubling the parent pointers
-in joins, with the same result.
+in joins, with the same result in every column.
 """
 
 from __future__ import annotations
@@ -15,37 +15,46 @@ from pyspark.sql import functions as F
 
 from ..session import materialise
 
-FOREST = "node bigint, kind string, root bigint, depth bigint, path array<bigint>, n_descendants bigint, back_edge boolean"
+FOREST = "node bigint, kind string, root bigint, depth bigint, path array<bigint>, n_descendants bigint, back_edge boolean, n_parents bigint"
+_NAMES = [c.split()[0] for c in FOREST.split(", ")]
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``(node, component)``, the component being the smallest node that is connected with the node; a self edge makes its node known.
+def _kept_apart(df: DataFrame, within: str | None):
+    """The column that keeps hierarchies apart, as text."""
+    return (F.lit("") if within is None else F.col(within).cast("string")).alias("g")
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", within: str | None = None) -> DataFrame:
+    """``(node, component)``, the component being the smallest node that is connected with the node; a self edge makes its node known. With the column
+    `within` nodes of different values are different: ``(g, node, component)``, g being that value as text.
 
     Edges with a null end are left out, repeated ones don't matter. Each round moves an edge at most twice and collects nothing per node, so
     a hub with a third of all edges is only a larger key of a minimum and of a join that adaptive execution splits.
     """
-    e = edges.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).where("u is not null and v is not null")
-    nodes = materialise(e.select(F.col("u").alias("node")).union(e.select("v")).distinct())
-    e = materialise(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = edges.select(_kept_apart(edges, within), F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).where("g is not null and u is not null and v is not null")
+    nodes = materialise(e.select("g", F.col("u").alias("node")).union(e.select("g", "v")).distinct())
+    e = materialise(e.where("u <> v").select("g", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     last = None
     while True:
-        both = e.union(e.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        both = e.union(e.select("g", "v", "u"))
+        low = both.groupBy("g", "u").agg(F.min("v").alias("m")).select("g", "u", F.least("u", "m").alias("m"))
+        large = both.join(low, ["g", "u"]).where("v > u and v <> m").select("g", F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("g", "u").agg(F.min("v").alias("m"))
+        small = large.join(low, ["g", "u"]).select("g", F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         e = materialise(small)
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("g", "u", "v").cast("decimal(38,0)"))).first()
         if now == last:
             break
         last = now
-    return nodes.join(e.groupBy("u").agg(F.min("v").alias("m")), F.col("node") == F.col("u"), "left").select("node", F.coalesce("m", "node").alias("component"))
+    of = e.groupBy(F.col("g").alias("h"), "u").agg(F.min("v").alias("m"))
+    out = nodes.join(of, (F.col("g") == F.col("h")) & (F.col("node") == F.col("u")), "left").select("g", "node", F.coalesce("m", "node").alias("component"))
+    return out.drop("g") if within is None else out
 
 
 def walk_component(parent: dict[int, int | None], paths: bool = True) -> Iterator[tuple]:
-    """Rows of `FOREST` for one component, given each node's parent (None: it is a root), in ascending order of the nodes.
+    """Rows of `FOREST`, but for the last column, for one component, given each node's parent (None: it is a root), in ascending order of the nodes.
 
-    Iterative depth-first walk upward with colours: an edge to a grey node closes a cycle and is its back edge. Paths are put together one at a time.
+    Iterative depth-first walk upward with colours: an edge to a grey node closes a cycle; the back edge of the cycle is counted at its smallest node. Paths are put together one at a time.
     """
     white, grey, black = 0, 1, 2
     colour, kind, back = dict.fromkeys(parent, white), {}, set()
@@ -57,8 +66,9 @@ def walk_component(parent: dict[int, int | None], paths: bool = True) -> Iterato
             trail.append(node)
             node = parent[node]
         if node is not None and colour[node] == grey:
-            back.add(trail[-1])
-            for x in trail[trail.index(node) :]:
+            circle = trail[trail.index(node) :]
+            back.add(min(circle))
+            for x in circle:
                 kind[x], colour[x] = "on_cycle", black
         for x in reversed(trail):
             if colour[x] == grey:
@@ -85,101 +95,105 @@ def walk_component(parent: dict[int, int | None], paths: bool = True) -> Iterato
 
 
 def _walk(rows: DataFrame, paths: bool) -> DataFrame:
-    """Depth-first walks over the co-located components of ``(component, node, parent)``; a task holds one component at a time."""
+    """Depth-first walks over the co-located components of ``(g, component, node, parent, n_parents)``; a task holds one component at a time."""
 
-    def components(batches: Iterator[pd.DataFrame]) -> Iterator[dict[int, int | None]]:
+    def components(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, dict[int, int | None], dict[int, int]]]:
         held: dict[int, int | None] = {}
+        parents: dict[int, int] = {}
         current = None
         for batch in batches:
-            for component, node, parent in zip(batch["component"], batch["node"], batch["parent"], strict=True):
-                if component != current:
+            for g, component, node, parent, n in zip(batch["g"], batch["component"], batch["node"], batch["parent"], batch["n_parents"], strict=True):
+                if (g, component) != current:
                     if held:
-                        yield held
-                    current, held = component, {}
-                held[node] = None if pd.isna(parent) else int(parent)
+                        yield current[0], held, parents
+                    current, held, parents = (g, component), {}, {}
+                held[node] = None if parent is None or parent is pd.NA else int(parent)
+                parents[node] = n
         if held:
-            yield held
+            yield current[0], held, parents
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in FOREST.split(", ")]
         out, size = [], 0
-        for held in components(batches):
+        for g, held, parents in components(b.astype({"parent": "Int64"}) for b in batches):
             for row in walk_component(held, paths):
-                out.append(row)
+                out.append((g, *row, parents[row[0]]))
                 size += 1 + len(row[4] or ())
                 if size >= 200_000:
-                    yield pd.DataFrame(out, columns=names)
+                    yield pd.DataFrame(out, columns=["g", *_NAMES])
                     out, size = [], 0
-        yield pd.DataFrame(out, columns=names)
+        yield pd.DataFrame(out, columns=["g", *_NAMES])
+
+    # a number and null in one column would reach pandas as floats, which hold 53 bits only
+    exact = rows.select("g", "component", "node", F.col("parent").cast("string").alias("parent"), "n_parents")
+    return exact.repartition("g", "component").sortWithinPartitions("g", "component").mapInPandas(run, f"g string, {FOREST}")
 
-    return rows.repartition("component").sortWithinPartitions("component").mapInPandas(run, FOREST)
 
+def _double(rows: DataFrame, with_paths: bool, largest: int) -> DataFrame:
+    """The same for components of any size, up to `largest` nodes, by pointer doubling over ``(g, node, parent, n_parents)``.
 
-def _double(rows: DataFrame, with_paths: bool) -> DataFrame:
-    """The same for components of any size, by pointer doubling over ``(node, parent)``: after k rounds a pointer spans 2**k steps."""
-    size = rows.count()
-    step = materialise(rows.select("node", F.coalesce("parent", "node").alias("at"), F.col("parent").isNull().alias("done"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("hops")))
-    for _ in range(max(1, size.bit_length())):
-        up = step.select(F.col("node").alias("n"), F.col("at").alias("at2"), F.col("done").alias("done2"), F.col("hops").alias("hops2"))
-        moved = step.where("not done").join(up, F.col("at") == F.col("n")).select("node", F.col("at2").alias("at"), F.col("done2").alias("done"), (F.col("hops") + F.col("hops2")).alias("hops"))
-        before, step = step, materialise(step.where("done").union(moved))
-        if not step.where("not done").limit(1).count() or step.where("not done").count() == before.where("not done").count() == 0:
+    After k rounds `jump` is the ancestor 2 ** k steps up, null beyond the root, `top` the highest ancestor that is known, `low` the smallest node on the way and
+    `below` the number of nodes fewer than 2 ** k steps below, itself included: a node adds what it has to the node that it jumps to. A jump over more steps than there are nodes ends on a
+    cycle, and every node of the cycle is such an end.
+    """
+    first = F.coalesce("parent", "node")
+    step = rows.select("g", "node", F.col("parent").alias("jump"), first.alias("top"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.least("node", first).alias("low"), F.lit(1).cast("bigint").alias("below"))
+    step = materialise(step)
+    for _ in range(max(1, largest.bit_length())):
+        if step.where("jump is not null").isEmpty():
             break
-    circle = step.where("not done").select(F.col("at").alias("node")).distinct().withColumn("on", F.lit(True))
-    # a pointer that spans more steps than there are nodes ends on a cycle, and each node of a cycle is such an end
-    tree = step.where("done").select("node", F.col("at").alias("root"), F.col("hops").alias("depth"))
-    first = rows.join(tree, "node").select("node", "root", "depth", "parent")
+        up = step.select(F.col("g").alias("g2"), F.col("node").alias("n2"), F.col("jump").alias("jump2"), F.col("top").alias("top2"), F.col("depth").alias("depth2"), F.col("low").alias("low2"))
+        more = step.where("jump is not null").groupBy(F.col("g").alias("g3"), F.col("jump").alias("n3")).agg(F.sum("below").alias("more"))
+        moved = step.join(up, (F.col("g") == F.col("g2")) & (F.col("jump") == F.col("n2")), "left").join(more, (F.col("g") == F.col("g3")) & (F.col("node") == F.col("n3")), "left")
+        step = materialise(moved.select("g", "node", F.col("jump2").alias("jump"), F.coalesce("top2", "top").alias("top"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.least("low", "low2").alias("low"), (F.col("below") + F.coalesce("more", F.lit(0))).alias("below")))
+    circle = step.where("jump is not null").select(F.col("g").alias("g2"), F.col("jump").alias("n2")).distinct().withColumn("on", F.lit(True))
+    known = step.join(circle, (F.col("g") == F.col("g2")) & (F.col("node") == F.col("n2")), "left").join(rows.select("g", "node", "n_parents"), ["g", "node"])
+    tree, on = F.col("jump").isNull(), F.coalesce("on", F.lit(False))
+    none = F.lit(None).cast("array<bigint>")
+    out = known.select(
+        "g", "node", F.when(tree, "tree").when(on, "on_cycle").otherwise("below_cycle").alias("kind"), F.when(tree, F.col("top")).otherwise(0).alias("root"), F.when(tree, F.col("depth")).otherwise(-1).alias("depth"),
+        none.alias("path"), F.when(tree, F.col("below") - 1).alias("n_descendants"), (on & (F.col("low") == F.col("node"))).alias("back_edge"), "n_parents",
+    )
     if not with_paths:
-        return _caught(step, circle).unionByName(
-            tree.select("node", F.lit("tree").alias("kind"), "root", "depth", F.lit(None).cast("array<bigint>").alias("path"), F.lit(None).cast("bigint").alias("n_descendants"), F.lit(False).alias("back_edge"))
-        )
-    paths = materialise(first.select("node", "root", "depth", F.col("parent").alias("next"), F.array("node").alias("path")))
-    while paths.where("next is not null").limit(1).count():
-        up = paths.select(F.col("node").alias("n"), F.col("next").alias("next2"), F.col("path").alias("path2"))
-        moved = paths.where("next is not null").join(up, F.col("next") == F.col("n")).select("node", "root", "depth", F.col("next2").alias("next"), F.concat("path2", "path").alias("path"))
+        return out
+    paths = materialise(rows.join(step.where("jump is null").select("g", "node"), ["g", "node"]).select("g", "node", F.col("parent").alias("next"), F.array("node").alias("path")))
+    while not paths.where("next is not null").isEmpty():
+        up = paths.select(F.col("g").alias("g2"), F.col("node").alias("n"), F.col("next").alias("next2"), F.col("path").alias("path2"))
+        moved = paths.where("next is not null").join(up, (F.col("g") == F.col("g2")) & (F.col("next") == F.col("n"))).select("g", "node", F.col("next2").alias("next"), F.concat("path2", "path").alias("path"))
         paths = materialise(paths.where("next is null").union(moved))
-    below = descendants(paths).groupBy(F.col("node").alias("n")).agg(F.count(F.lit(1)).alias("below"))
-    trees = paths.join(below, F.col("node") == F.col("n"), "left").select("node", F.lit("tree").alias("kind"), "root", "depth", "path", F.coalesce("below", F.lit(0)).cast("bigint").alias("n_descendants"), F.lit(False).alias("back_edge"))
-    return trees.unionByName(_caught(step, circle))
-
-
-def _caught(step: DataFrame, circle: DataFrame) -> DataFrame:
-    """The nodes that are on cycles or below them."""
-    kind = F.when(F.col("on"), "on_cycle").otherwise("below_cycle").alias("kind")
-    none = F.lit(None)
-    return (
-        step.where("not done").select("node").join(circle, "node", "left")
-        .select("node", kind, F.lit(0).cast("bigint").alias("root"), F.lit(-1).cast("bigint").alias("depth"), none.cast("array<bigint>").alias("path"), none.cast("bigint").alias("n_descendants"), none.cast("boolean").alias("back_edge"))
-    )
+    return out.drop("path").join(paths.select("g", "node", "path"), ["g", "node"], "left").select("g", *_NAMES)
 
 
 def descendants(forest: DataFrame) -> DataFrame:
-    """``(node, descendant, distance)`` for every node of a tree and everything below it, from the paths: no join, no group is gathered."""
-    return forest.where("path is not null").select(F.posexplode("path").alias("i", "anc"), F.col("node").alias("d"), F.size("path").alias("n")).where("anc <> d").select(F.col("anc").alias("node"), F.col("d").alias("descendant"), (F.col("n") - 1 - F.col("i")).cast("bigint").alias("distance"))
+    """``(node, descendant, distance)`` for every node of a tree and everything below it, from the paths: no join, no group is gathered. Other columns of `forest` than those of `FOREST` come first."""
+    others = [c for c in forest.columns if c not in _NAMES]
+    out = forest.where("path is not null").select(*others, F.posexplode("path").alias("i", "anc"), F.col("node").alias("d"), F.size("path").alias("n")).where("anc <> d")
+    return out.select(*others, F.col("anc").alias("node"), F.col("d").alias("descendant"), (F.col("n") - 1 - F.col("i")).cast("bigint").alias("distance"))
 
 
-def hierarchy(links: DataFrame, child: str, parent: str, known: DataFrame | None = None, task_nodes: int = 200_000, paths: bool = True) -> DataFrame:
-    """`FOREST`, a row per node, of the links child -> parent (bigint numbers).
+def hierarchy(links: DataFrame, child: str, parent: str, known: DataFrame | None = None, task_nodes: int = 200_000, paths: bool = True, within: str | None = None) -> DataFrame:
+    """`FOREST`, a row per node, of the links child -> parent (bigint numbers). With the column `within` of the links each of its values has a hierarchy of its own, and comes first as text.
 
     Nodes are the children and those of their parents that are in `known` (one column; all parents when None); another parent isn't
-    followed, so its child is a root. A child with several parents follows the smallest number. Links with a null child are left out, a null
+    followed, so its child is a root. A child with several such parents follows the smallest number; `n_parents` counts them all, and each is a node. Links with a null child are left out, a null
     parent makes the child a root, a node that is its own parent is on a cycle; repeated links count once. `kind` is ``tree``, ``on_cycle`` or
-    ``below_cycle``; the latter two have root 0, depth -1 and no path. `back_edge` marks the node whose link closes a cycle as the
-    walk met it; it is null in components above `task_nodes` nodes, which no single task ever holds. Without `paths` the path is null for all nodes, and the
-    number of descendants in such components: paths are as long as the hierarchy is deep.
+    ``below_cycle``; the latter two have root 0, depth -1, no path and no number of descendants. `back_edge` marks the smallest node of each cycle. Without `paths` the path is null for
+    all nodes: paths are as long as the hierarchy is deep. No component above `task_nodes` nodes is ever held by a single task.
     """
-    given = links.select(F.col(child).cast("bigint").alias("node"), F.col(parent).cast("bigint").alias("parent")).where("node is not null")
-    given = given.groupBy("node").agg(F.min("parent").alias("parent"))
+    given = links.select(_kept_apart(links, within), F.col(child).cast("bigint").alias("node"), F.col(parent).cast("bigint").alias("parent")).where("g is not null and node is not null").distinct()
     if known is not None:
         there = known.select(F.col(known.columns[0]).cast("bigint").alias("k")).distinct()
-        given = given.join(there, F.col("parent") == F.col("k"), "left").select("node", F.col("k").alias("parent"))
+        given = given.join(there, F.col("parent") == F.col("k"), "left").select("g", "node", F.col("k").alias("parent"))
     given = materialise(given)
-    tops = given.where("parent is not null").select(F.col("parent").alias("node")).distinct().join(given, "node", "left_anti").select("node", F.lit(None).cast("bigint").alias("parent"))
-    rows = given.union(tops)
-    of = connected_components(rows.select("node", F.coalesce("parent", "node").alias("up")), "node", "up")
-    rows = materialise(rows.join(of, "node"))
-    large = rows.groupBy("component").count().where(F.col("count") > task_nodes).select("component")
-    if not large.limit(1).count():
-        return _walk(rows, paths)
-    large = F.broadcast(large)  # each has more than task_nodes nodes, so there are few
-    return _walk(rows.join(large, "component", "left_anti"), paths).unionByName(_double(rows.join(large, "component", "left_semi").select("node", "parent"), paths))
+    children = given.groupBy("g", "node").agg(F.min("parent").alias("parent"), F.count("parent").alias("n_parents"))
+    tops = given.where("parent is not null").select("g", F.col("parent").alias("node")).distinct().join(children, ["g", "node"], "left_anti").select("g", "node", F.lit(None).cast("bigint").alias("parent"), F.lit(0).cast("bigint").alias("n_parents"))
+    rows = children.unionByName(tops)
+    of = connected_components(rows.select("g", "node", F.coalesce("parent", "node").alias("up")), "node", "up", "g")
+    rows = materialise(rows.join(of, ["g", "node"]).select("g", "component", "node", "parent", "n_parents"))
+    large = materialise(rows.groupBy("g", "component").count().where(F.col("count") > task_nodes))
+    largest = large.agg(F.max("count")).first()[0]
+    if largest is None:
+        out = _walk(rows, paths)
+    else:
+        held = rows.join(large.select("g", "component"), ["g", "component"], "left_anti")
+        out = _walk(held, paths).unionByName(_double(rows.join(large.select("g", "component"), ["g", "component"], "left_semi"), paths, largest))
+    return out.drop("g") if within is None else out.select(F.col("g").alias(within), *_NAMES)

@@ -30,17 +30,19 @@ def p1_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.schema_paths(N.shred(table(spark, sf_dir, "wikidata_summary"), "rec_no", ["labels", "aliases", "properties"]))
 
 
+def p1_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the nested fields in the flat table of its schema path, with its label and its parent's; labels as text, ordinals joined by dots."""
+    nodes = N.with_parents(N.shred(table(spark, sf_dir, "wikidata_summary"), "rec_no", ["labels", "aliases", "properties"]))
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ".")
+    return nodes.select(F.col("rec").alias("rec_no"), "field", "schema_path", text("label").alias("label"), text("parent").alias("parent"), "kind", "text")
+
+
 def _forests(spark: SparkSession, sf_dir: str, paths: bool) -> DataFrame:
-    """Both hierarchies at once: a node of link i is numbered ``number * len(LINKS) + i`` while they are resolved."""
+    """Both hierarchies at once, kept apart by `link`."""
     current = materialise(latest_state(table(spark, sf_dir, "wikidata_summary"), entity_number("id"), "seen_at", "rec_no", {"rec_no": F.col("rec_no"), "properties": F.col("properties")}))
     found = N.items(N.shred(current, "key", ["properties"], leaves_only=True)).where(F.col("item_key").isin(*LINKS))
-    kind = F.array_position(F.array(*[F.lit(x) for x in LINKS]), F.col("item_key")) - 1
-    links = found.select((F.col("rec") * len(LINKS) + kind).alias("node"), (entity_number("item") * len(LINKS) + kind).alias("parent")).where("parent is not null")
-    known = current.select(F.explode(F.array(*[F.col("key") * len(LINKS) + i for i in range(len(LINKS))])).alias("known"))
-    number = lambda c: F.floor(c / len(LINKS)).cast("bigint")
-    return H.hierarchy(links, "node", "parent", known, paths=paths).select(
-        F.element_at(F.array(*[F.lit(x) for x in LINKS]), (F.col("node") % len(LINKS) + 1).cast("int")).alias("link"), number(F.col("node")).alias("node"), "kind", number(F.col("root")).alias("root"), "depth", F.transform("path", number).alias("path"), "n_descendants", "back_edge"
-    )
+    links = found.select(F.col("item_key").alias("link"), "rec", entity_number("item").alias("parent")).where("parent is not null")
+    return H.hierarchy(links, "rec", "parent", current.select("key"), paths=paths, within="link")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,9 +58,13 @@ def p7_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every descendant of every node of a tree, and how many steps it is below it."""
-    forest = materialise(_forests(spark, sf_dir, True).where("kind = 'tree'"))
-    below = [H.descendants(forest.where(F.col("link") == link)).withColumn("link", F.lit(link)) for link in LINKS]
-    return below[0].unionByName(below[1]).select("link", F.col("node").alias("node_no"), F.col("descendant").alias("descendant_no"), "distance")
+    below = H.descendants(_forests(spark, sf_dir, True).where("kind = 'tree'"))
+    return below.select("link", F.col("node").alias("node_no"), F.col("descendant").alias("descendant_no"), "distance")
+
+
+def p7_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entities on cycles and below them, and the node of each cycle that its back edge is counted at."""
+    return _forests(spark, sf_dir, False).where("kind <> 'tree'").select("link", F.col("node").alias("node_no"), "kind", "back_edge")
 
 
-QUERIES = {"p1_found": p1_found, "p1_tables": p1_tables, "p7_found": p7_found, "p7_paths": p7_paths, "p7_descendants": p7_descendants}
+QUERIES = {f.__name__: f for f in (p1_found, p1_tables, p1_nodes, p7_found, p7_paths, p7_descendants, p7_cycles)}

@@ -48,3 +48,16 @@ P7_PATHS = f"""{_P7}, trees as (select e.link, e.node from ends e join nodes n o
 select t.link, t.node as node_no, string_agg(w.up, '/' order by w.d desc) as path, (select count(*) from walk x where x.link = t.link and x.up = t.node and x.d > 0) as n_descendants from trees t join walk w on w.link = t.link and w.node = t.node group by t.link, t.node"""
 P7_DESCENDANTS = f"""{_P7}, trees as (select e.link, e.node from ends e join nodes n on n.link = e.link and n.node = e.up where n.parent is null)
 select t.link, w.up as node_no, t.node as descendant_no, w.d::bigint as distance from trees t join walk w on w.link = t.link and w.node = t.node where w.d > 0"""
+P7_CYCLES = f"""{_P7}, low as (select link, node, min(up) as low from walk group by all)
+select e.link, e.node as node_no, case when c.node is not null then 'on_cycle' else 'below_cycle' end as kind, c.node is not null and low.low = e.node as back_edge
+from ends e join nodes n on n.link = e.link and n.node = e.up left join cyc c on c.link = e.link and c.node = e.node join low on low.link = e.link and low.node = e.node where n.parent is not null"""
+_FIELDS = " union all ".join(f"select rec, '{c}' as field, {c} as t from recs" for c in ("labels", "aliases", "properties"))
+_AT = "json_extract(j, '$.\"' || replace(k, '\"', '\\\"') || '\"')"
+_TREE = f"""with recursive {ALL_RECORDS}, docs as (select rec, field, t::json as j from ({_FIELDS}) where json_valid(t) and json_type(t) = 'OBJECT'),
+tree as (select rec, field, [i - 1] as label, '*' as path, case when json_type(v) = 'ARRAY' then v else json_array(v) end as j from (select rec, field, i, {_AT} as v from (select rec, field, j, unnest(json_keys(j)) as k, generate_subscripts(json_keys(j), 1) as i from docs))
+union all select rec, field, list_append(label, i - 1), path || step, v from (
+select rec, field, label, path, '.' || k as step, i, {_AT} as v from (select *, unnest(json_keys(j)) as k, generate_subscripts(json_keys(j), 1) as i from tree where json_type(j) = 'OBJECT')
+union all select rec, field, label, path, '[]', generate_subscripts(e, 1), unnest(e) from (select *, from_json(j, '["json"]') as e from tree where json_type(j) = 'ARRAY'))),
+kinds as (select *, case json_type(j) when 'OBJECT' then 'object' when 'ARRAY' then 'list' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end as kind from tree)"""
+P1_NODES = f"""{_TREE} select rec as rec_no, field, path as schema_path, array_to_string(label, '.') as label, array_to_string(label[: len(label) - 1], '.') as parent, kind, case when kind = 'string' then j ->> '$' when kind in ('number', 'boolean') then j::varchar end as text from kinds"""
+P1_TABLES = f"{_TREE} select field, path as schema_path, kind, count(*) as nodes from kinds group by all"
