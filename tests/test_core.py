@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -171,12 +172,12 @@ def test_overlaps(spark, spots, kept):
     assert sorted((r.start, r.stop) for r in matching.resolve_overlaps(df).collect()) == kept
 
 
-def test_mentions_in_blocks_and_mask(spark):
+def test_mentions_held_or_joined_and_mask(spark):
     docs = spark.createDataFrame([(1, "New York and\nYork, the new Yorks.", "en-x"), (2, "york", None), (3, None, "en"), (4, "", "fr"), (5, "Rome Rome", "IT")], "doc_id bigint, text string, lang string")
     lex = spark.createDataFrame([("en", "New York", [1]), ("en", "York", [2, 3]), ("en", "Rome", [4]), ("fr", "Rome", [4])], "lang string, key string, ids array<bigint>")
     want = [(1, 0, 8, "New York"), (1, 13, 17, "York"), (1, 27, 31, "York"), (5, 0, 4, "Rome"), (5, 5, 9, "Rome")]
-    for block in (1_000_000, 1):
-        got = matching.mentions(docs, "doc_id", "text", "lang", lex, block_keys=block)
+    for held in (4_000_000, 0):
+        got = matching.mentions(docs, "doc_id", "text", "lang", lex, held_bytes=held)
         assert sorted(map(tuple, got.collect())) == want
     masks = {r.doc_id: r.masked for r in matching.masked(docs, "doc_id", "text", got).collect()}
     assert masks[1] == " __match__New_York  and  __match__York , the new  __match__York s." and masks[3] == "" and masks[2] == "york"
@@ -186,7 +187,8 @@ def test_mentions_in_blocks_and_mask(spark):
 def test_languages_that_do_not_part_words(spark):
     docs = spark.createDataFrame([(1, "กขคกข", "th"), (2, "กขค", "en")], "doc_id bigint, text string, lang string")
     lex = spark.createDataFrame([("th", "ขค", [1]), ("th", "ข", [2]), ("en", "ขค", [1])], "lang string, key string, ids array<bigint>")
-    assert sorted(map(tuple, matching.mentions(docs, "doc_id", "text", "lang", lex).collect())) == [(1, 1, 3, "ขค"), (1, 4, 5, "ข")]
+    for held in (4_000_000, 0):
+        assert sorted(map(tuple, matching.mentions(docs, "doc_id", "text", "lang", lex, held_bytes=held).collect())) == [(1, 1, 3, "ขค"), (1, 4, 5, "ข")]
     text = "abab b"
     assert set(matching.automaton_of(["ab", "b"])(text)) == {(0, 2, "ab"), (2, 4, "ab"), (1, 2, "b"), (3, 4, "b"), (5, 6, "b")} and not list(matching.automaton_of([])(text))
 
@@ -367,3 +369,15 @@ def test_reports(spark):
     assert tuple(reports.matrix(t, [11, 12]).first()) == (0, 0.25, 0.0)
     d = spark.createDataFrame([(7, 3, 0.9, 1), (7, 1, 0.1, 2)], "doc_id bigint, topic int, prob double, place int")
     assert tuple(reports.document_report(d, 2).first()) == (7, "3 (0.900)", "1 (0.100)")
+
+
+def test_a_large_lexicon_is_joined_with_the_same_result(spark, sf):
+    """Keys of many lengths over real texts, all matches and those that remain, by trie and by join."""
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()
+    words = sorted({w for r in rows for w in re.findall(r"[^\W_]+", r.text or "")})[::7]
+    pairs_ = sorted({m for r in rows for m in re.findall(r"[^\W_]+ [^\W_]+|[^\W_]+[-'] ?[^\W_]+", r.text or "")})[::5]
+    lex = spark.createDataFrame([(c, k) for c in ("en", "de") for k in {*words, *pairs_, *(w[:-1] for w in words if w.endswith("s") and len(w) > 1)}], "lang string, key string")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for overlaps in (True, False):
+        one, other = (sorted(map(tuple, matching.mentions(docs, "doc_id", "text", "lang", lex, overlaps=overlaps, held_bytes=held).distinct().collect())) for held in (4_000_000, 0))
+        assert one == other and len(one) > 500

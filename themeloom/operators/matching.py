@@ -4,20 +4,24 @@ A text falls into segments: maximal runs of letters and digits, and every other
 begins or ends within a word, except that the last word may carry a plural s when the text goes on behind it. Of the matches, those within another are
 dropped, and of two neighbours that overlap or touch the shorter one, or the later if both are equally long.
 
-The lexicon is a trie over segments that every task holds, if its size is proven small; a larger one is worked through in blocks by first segment, and
-overlaps are resolved over the union. Texts aren't shuffled for it.
+A lexicon whose bytes are proven few is a trie over segments that every task holds. A larger one is met in a join: tasks hold bit maps of a fixed size of its keys and their first segments, cut
+from the texts what these don't rule out, and only that is shuffled, to the lexicon by language and key. Texts aren't shuffled in either way, and the lexicon isn't collected in the second.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import materialise, spread
+from .valuemap import ValueMap, value_map
 
 MATCHES = "doc_id bigint, start int, stop int, key string"
 _SEGMENT = re.compile(r"[^\W_]+|[\W_]", re.S)
@@ -113,45 +117,105 @@ def resolve_overlaps(intervals: DataFrame) -> DataFrame:
     return marked.where("not gone").select("doc_id", "start", "stop", "key")
 
 
-def mentions(docs: DataFrame, doc_id: str, text: str, lang: str, lexicon: DataFrame, fallback: str = "en", overlaps: bool = False, block_keys: int = 1_000_000, unparted: tuple[str, ...] = ("th",)) -> DataFrame:
+def units(text: str, unparted: bool) -> list[str]:
+    """What keys consist of: segments, or characters in languages that don't part words."""
+    return list(text) if unparted else segments(text)
+
+
+def hashed(code: str, text: str) -> int:
+    return xxhash.xxh64_intdigest(f"{code}\1{text}".encode("utf-8", "surrogatepass"))
+
+
+def _key_hashes(keys: DataFrame, unparted: tuple[str, ...]) -> DataFrame:
+    """``(lang, n, whole, first)`` of the keys: number of units, hash of the key and of its first unit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, counts, whole, first = [], [], [], []
+            for code, key in zip(*batch.to_pydict().values(), strict=True):
+                parts = units(key, code in unparted)
+                codes.append(code)
+                counts.append(len(parts))
+                whole.append(hashed(code, key))
+                first.append(hashed(code, parts[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(codes, pa.string()), pa.array(counts, pa.int32()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (whole, first))], names=["lang", "n", "whole", "first"])
+
+    return keys.select("lang", "key").mapInArrow(run, "lang string, n int, whole bigint, first bigint")
+
+
+def possible(text: str, code: str, lengths: list[int], whole: ValueMap, first: ValueMap, unparted: bool) -> list[tuple[int, int, str]]:
+    """``(start, stop, text)`` of the parts of a text that may be keys: as many units as some key has, not ruled out by the maps."""
+    parts = units(text, unparted)
+    starts = [0, *accumulate(len(x) for x in parts)]
+    n = len(parts)
+    plural = [not unparted and j + 1 < n and len(x) > 1 and x[-1] in "sS" and x.isalnum() for j, x in enumerate(parts)]
+    heads = np.array([hashed(code, x) for x in parts] + [hashed(code, x[:-1]) for x in parts], np.uint64)
+    may = first.may_have(heads)
+    found: list[tuple[int, int, str]] = []
+    for i in np.flatnonzero(may[:n] | (may[n:] & np.array(plural, bool))).tolist():
+        for k in lengths:
+            j = i + k - 1
+            if j >= n:
+                break
+            found.append((starts[i], starts[j + 1], text[starts[i] : starts[j + 1]]))
+            if plural[j]:  # a plural ends the match
+                found.append((starts[i], starts[j + 1] - 1, text[starts[i] : starts[j + 1] - 1]))
+    kept = whole.may_have(np.array([hashed(code, x[2]) for x in found], np.uint64))
+    return [x for x, k in zip(found, kept.tolist(), strict=True) if k]
+
+
+def _by_join(docs: DataFrame, keys: DataFrame, known: set[str], fallback: str, unparted: tuple[str, ...]) -> DataFrame:
+    """`MATCHES` of ``(doc_id, lang, text)``, all of them, by a join with the keys."""
+    hashes = materialise(_key_hashes(keys, unparted))
+    lengths: dict[str, list[int]] = {}
+    for r in hashes.select("lang", "n").distinct().orderBy("lang", "n").collect():  # a row per language and length
+        lengths.setdefault(r.lang, []).append(r.n)
+    shared = docs.sparkSession.sparkContext.broadcast((value_map(hashes, "whole"), value_map(hashes, "first")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, first = shared.value
+        for batch in batches:
+            out: list[tuple] = []
+            for number, code, value in zip(*batch.to_pydict().values(), strict=True):
+                code = code if code in known else fallback
+                if code in lengths and value:
+                    out += [(number, code, *x) for x in possible(value, code, lengths[code], whole, first, code in unparted)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string()))], names=["doc_id", "code", "start", "stop", "part"])
+
+    cut = docs.mapInArrow(run, "doc_id bigint, code string, start int, stop int, part string")
+    return cut.join(keys.select(F.col("lang").alias("code"), F.col("key").alias("part")), ["code", "part"]).select("doc_id", "start", "stop", F.col("part").alias("key"))
+
+
+def mentions(docs: DataFrame, doc_id: str, text: str, lang: str, lexicon: DataFrame, fallback: str = "en", overlaps: bool = False, held_bytes: int = 4_000_000, unparted: tuple[str, ...] = ("th",)) -> DataFrame:
     """`MATCHES` of the keys of `lexicon(lang, key, ...)` in the texts, in each text's own language, or `fallback` where the lexicon hasn't that language.
 
     A language code counts in lower case and up to a hyphen. Line feeds count as spaces. With `overlaps` all matches are given. In the languages `unparted` keys may stand within words. Null
-    and empty texts have none.
+    and empty texts have none. Keys of up to `held_bytes` bytes in all are held by every task (a trie takes some twenty times as much), more are joined; the result is the same.
     """
-    keys = lexicon.where("key <> ''").select("lang", "key").distinct()
-    n = keys.count()
-    blocks = max(1, -(-n // block_keys))
+    keys = materialise(lexicon.where("key <> ''").select("lang", "key").distinct())
     code = F.regexp_replace(F.lower(F.trim(F.coalesce(F.col(lang), F.lit("")))), "[-_].*$", "")
     picked = spread(docs).select(F.col(doc_id).cast("bigint").alias("doc_id"), code.alias("lang"), F.translate(F.col(text), "\n", " ").alias("text")).where("length(text) > 0")
-    sc = docs.sparkSession.sparkContext
     known = {r.lang for r in keys.select("lang").distinct().collect()}
-    out = None
-    for block in range(blocks):
-        first = F.regexp_extract("key", r"^([\p{L}\p{N}]+|[^\p{L}\p{N}])", 1)
-        rows = (keys if blocks == 1 else keys.where(F.pmod(F.xxhash64(first), F.lit(blocks)) == block)).collect()  # about block_keys
-        by_lang: dict[str, list[str]] = {}
-        for r in rows:
-            by_lang.setdefault(r.lang, []).append(r.key)
-        forms = {code: trie_of(of) for code, of in by_lang.items()}
-        shared = sc.broadcast(forms)
-        final = blocks == 1 and not overlaps
-
-        free = {code: of for code, of in by_lang.items() if code in unparted}
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, final=final, free=free) -> Iterator[pa.RecordBatch]:
-            anywhere = {code: automaton_of(of) for code, of in free.items()}
-            for batch in batches:
-                out: list[tuple] = []
-                for number, code, value in zip(*batch.to_pydict().values(), strict=True):
-                    code = code if code in known else fallback
-                    found = list(anywhere[code](value) if code in anywhere else find(value, shared.value.get(code, {})))
-                    out += [(number, *m) for m in (resolved(found) if final else found)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["doc_id", "start", "stop", "key"])
-
-        part = picked.mapInArrow(run, MATCHES)
-        out = part if out is None else out.union(part)
-    return out if blocks == 1 or overlaps else resolve_overlaps(out)
+    if (keys.agg(F.sum(F.octet_length("key"))).first()[0] or 0) > held_bytes:
+        found = _by_join(picked, keys, known, fallback, unparted)
+        return found if overlaps else resolve_overlaps(found)
+    by_lang: dict[str, list[str]] = {}
+    for r in keys.collect():
+        by_lang.setdefault(r.lang, []).append(r.key)
+    free = {code: of for code, of in by_lang.items() if code in unparted}
+    shared = docs.sparkSession.sparkContext.broadcast({code: trie_of(of) for code, of in by_lang.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        anywhere = {code: automaton_of(of) for code, of in free.items()}
+        for batch in batches:
+            out: list[tuple] = []
+            for number, code, value in zip(*batch.to_pydict().values(), strict=True):
+                code = code if code in known else fallback
+                found = list(anywhere[code](value) if code in anywhere else find(value, shared.value.get(code, {})))
+                out += [(number, *m) for m in (found if overlaps else resolved(found))]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.string()))], names=["doc_id", "start", "stop", "key"])
+
+    return picked.mapInArrow(run, MATCHES)
 
 
 def masked(docs: DataFrame, doc_id: str, text: str, found: DataFrame, mask: str = " __match__{} ") -> DataFrame:

@@ -58,6 +58,6 @@ tree as (select rec, field, [i - 1] as label, '*' as path, case when json_type(v
 union all select rec, field, list_append(label, i - 1), path || step, v from (
 select rec, field, label, path, '.' || k as step, i, {_AT} as v from (select *, unnest(json_keys(j)) as k, generate_subscripts(json_keys(j), 1) as i from tree where json_type(j) = 'OBJECT')
 union all select rec, field, label, path, '[]', generate_subscripts(e, 1), unnest(e) from (select *, from_json(j, '["json"]') as e from tree where json_type(j) = 'ARRAY'))),
-kinds as (select *, case json_type(j) when 'OBJECT' then 'object' when 'ARRAY' then 'list' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end as kind from tree)"""
+kinds as (select *, case coalesce(json_type(j), 'NULL') when 'OBJECT' then 'object' when 'ARRAY' then 'list' when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'NULL' then 'null' else 'number' end as kind from tree)"""
 P1_NODES = f"""{_TREE} select rec as rec_no, field, path as schema_path, array_to_string(label, '.') as label, array_to_string(label[: len(label) - 1], '.') as parent, kind, case when kind = 'string' then j ->> '$' when kind in ('number', 'boolean') then j::varchar end as text from kinds"""
 P1_TABLES = f"{_TREE} select field, path as schema_path, kind, count(*) as nodes from kinds group by all"
