@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.valuemap import ValueMap, value_map
 from ..session import materialise, spread
 
 _TAG = re.compile(r"<[/!]?[A-Za-z][^<>]*>|<!--.*?-->", re.S)
@@ -157,22 +158,6 @@ def run_signatures(item: Item, words: int, run: int) -> Iterator[tuple[int, int,
         yield int(values[i]), a + i, of, a, b
 
 
-@dataclass(frozen=True)
-class ValueMap:
-    """A bit map of signature values, two bits each."""
-
-    bits: int
-    packed: np.ndarray
-
-    def may_have(self, values: np.ndarray) -> np.ndarray:
-        low = values & np.uint64((1 << self.bits) - 1)
-        high = values >> np.uint64(64 - self.bits)
-        test = lambda at: (self.packed[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
-        out = test(high).astype(bool)
-        out[out] = test(low[out]).astype(bool)
-        return out
-
-
 def window_hits(data: bytes, classes: list[SizeClass], known: ValueMap) -> tuple[np.ndarray, np.ndarray]:
     """``(places, signature values)`` of the windows of `data` whose MinHash value may be that of a run, each pair once."""
     places, found = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
@@ -348,18 +333,6 @@ def _signatures(texts: DataFrame, words: int) -> DataFrame:
     return texts.select("item", "t").mapInArrow(run, "value bigint, item bigint, place int, k int, least int, start int, stop int, hash bigint")
 
 
-def _value_map(runs: DataFrame, most_bits: int) -> ValueMap:
-    """The bit map of the runs' values: 64 bits a value, up to 2 ** `most_bits` bits in all; beyond, it rules out less."""
-    values = runs.select("value").distinct()
-    bits = min(most_bits, max(16, (64 * values.count()).bit_length()))
-    slots = F.array(F.shiftrightunsigned("value", 64 - bits), F.col("value").bitwiseAND(F.lit((1 << bits) - 1)))
-    words_ = values.select(F.explode(slots).alias("slot")).groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("word"))
-    packed = np.zeros(1 << (bits - 6), np.uint64)
-    rows = words_.toArrow()  # at most 2 ** (bits - 6) rows
-    packed[rows.column("at").to_numpy()] = rows.column("word").to_numpy().astype(np.int64).view(np.uint64)
-    return ValueMap(bits, packed)
-
-
 def _pieces(streams: list[bytes], overlap: int) -> Iterator[list[tuple[int, int, bytes]]]:
     """The streams as ``(stream, offset, bytes)``, long ones in overlapping pieces, in groups of about `_CHUNK` bytes."""
     held, size = [], 0
@@ -476,7 +449,7 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
     classes = [SizeClass(r.k, r.least) for r in runs.select("k", "least").distinct().collect()]  # two for each doubling of the size
     if not classes:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
-    known = _value_map(runs, most_bits)
+    known = value_map(runs, "value", most_bits)
     overlap = runs.agg(F.max(F.col("stop") - F.col("start"))).first()[0]  # the longest run
     picked = spread(docs).select(F.monotonically_increasing_id().alias("row"), F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("t")).where(F.length("t") > 0)
     if texts.agg(F.sum(F.octet_length("t"))).first()[0] <= held_bytes:
