@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,7 +125,7 @@ def is_number(label: Column) -> Column:
 
 def valid_label(label: Column) -> Column:
     """Not empty, no parenthesis, no spaced dash, no punctuation first, and a Latin letter with something behind it after the first character."""
-    shape = r"^[^!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~].*[a-zA-Z].+$"
+    shape = rf"^[^{re.escape(PUNCTUATION)}].*[a-zA-Z].+$"
     return F.coalesce((label != "") & (F.instr(label, "(") == 0) & (F.instr(label, " - ") == 0) & label.rlike(shape), F.lit(False))
 
 

@@ -18,6 +18,13 @@ def matrix(topics: DataFrame, words: list[int]) -> DataFrame:
     return topics.groupBy("topic").agg(*[F.coalesce(F.sum(F.when(F.col("num") == w, F.col("score"))), F.lit(0.0)).alias(f"w{w}") for w in words])
 
 
+def weights(topics: DataFrame) -> DataFrame:
+    """The whole matrix in long form, ``(topic, num, weight)``: every topic with every word of any topic, 0 where it isn't its own. The topics, a bounded number, are all that is collected."""
+    numbers = sorted(r.topic for r in topics.select("topic").distinct().collect())
+    cells = topics.select("num").distinct().select(F.explode(F.array(*[F.lit(t) for t in numbers]).cast("array<int>")).alias("topic"), "num")
+    return cells.join(topics.groupBy("topic", "num").agg(F.sum("score").alias("weight")), ["topic", "num"], "left").select("topic", "num", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+
+
 def _ordered(value: Column, n: int) -> Column:
     return F.transform(F.slice(F.array_sort(F.collect_list(F.struct("place", value.alias("v")))), 1, n), lambda x: x["v"])
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
@@ -135,16 +138,9 @@ def prefix_and_head(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.remove_prefix(c("title"), "A").alias("title"), T.first_words(c("text"), 8).alias("head"), (T.newlines_to_spaces(c("text")) == c("text")).alias("one_line"))
 
 
-@query("select doc_id, md5(regexp_replace(' ' || text, '([^\\w\\pL\\pN\\pM_])([A-Z])\\.', '\\1\\2', 'g')[2:]) as digest from documents where not regexp_matches(text, '[A-Z]\\.[A-Z]\\.')")
+@query("select doc_id, md5(replace(regexp_replace(' ' || replace(text, '.', '.' || chr(1)), '([^\\w\\pL\\pN\\pM_])([A-Z])\\.', '\\1\\2', 'g')[2:], chr(1), '')) as digest from documents")
 def acronym(spark, sf_dir):
-    """Texts with two such letters in a row are left to the tests: the oracle's dialect has no look-behind."""
-    d = table(spark, sf_dir, "documents").where(~F.col("text").rlike(r"[A-Z]\.[A-Z]\."))
-    return d.select("doc_id", F.md5(F.encode(T.acronyms(F.col("text")), "UTF-8")).alias("digest"))
-
-
-@query()
-def acronym_all(spark, sf_dir):
-    """The same of every text, without SQL."""
+    """Every text; in the SQL a mark behind each dot stands in for the look-behind that its dialect lacks."""
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(T.acronyms(F.col("text")), "UTF-8")).alias("digest"))
 
 
@@ -163,81 +159,15 @@ def turkish_suffix(spark, sf_dir):
     return w.select("word", T.turkish_suffixes(F.col("word")).alias("stem"))
 
 
-@query(f"with {_W} select word, case when {_UPPER.format('word')} then word when {_title('word')} = word and lower(word) <> word then {_title('lower(word[:3])')} else lower(word[:3]) end as lemma from w where instr(word, 'ß') = 0")
-def title_case_restore(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+)"), F.lit(1))).alias("word")).distinct().where("instr(word, 'ß') = 0")
-    return w.select("word", T.restore_case(F.lower(F.substring("word", 1, 3)), F.col("word")).alias("lemma"))
+_PLAIN = "replace(word, 'ß', 's')"  # one letter in upper case there, two here: neither is upper case nor begins a title
 
 
-@query()
-def title_case_restore_all(spark, sf_dir):
-    """The same of every word, without SQL: upper case of a sharp s differs there."""
+@query(f"with {_W} select word, case when {_UPPER.format(_PLAIN)} and instr(word, 'ß') = 0 then word when {_title(_PLAIN)} = {_PLAIN} and lower(word) <> word and word[1] <> 'ß' then {_title('lower(word[:3])')} else lower(word[:3]) end as lemma from w")
+def title_case_restore(spark, sf_dir):
     w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+)"), F.lit(1))).alias("word")).distinct()
     return w.select("word", T.restore_case(F.lower(F.substring("word", 1, 3)), F.col("word")).alias("lemma"))
 
 
-# --- bags: how often each user did what; even events against odd ones, errors of odd users left out on the right
-
-_BAGS = """l as (select user_id as owner, event_type as key, count(*)::double as a from events where event_id % 2 = 0 group by all), r as (select user_id as owner, event_type as key, count(*)::double as b from events where event_id % 2 = 1 and not (event_type = 'error' and user_id % 2 = 1) group by all),
-f as (select coalesce(l.owner, r.owner) as owner, coalesce(l.key, r.key) as key, coalesce(a, 0) as a, coalesce(b, 0) as b from l full join r on l.owner = r.owner and l.key = r.key)"""
-
-
-def _bags(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    return B.bag(e.where("event_id % 2 = 0"), "user_id", "event_type"), B.bag(e.where("event_id % 2 = 1 and not (event_type = 'error' and user_id % 2 = 1)"), "user_id", "event_type")
-
-
-def _bag_query(operation: str, formula: str, intersection: bool = False):
-    def run(spark, sf_dir):
-        left, right = _bags(spark, sf_dir)
-        return B.combine(left, right, operation, intersection).select("owner", "key", F.round("value", 6).alias("value"))
-
-    run.__name__ = f"bag_{operation}" + ("_common" if intersection else "")
-    query(f"with {_BAGS} select owner, key, round({formula}, 6) as value from " + ("(select l.owner, l.key, a, b from l join r on l.owner = r.owner and l.key = r.key)" if intersection else "f"))(run)
-
-
-for _name, _formula in (("add", "a + b"), ("sub", "a - b"), ("mul", "a * b"), ("div", "a / nullif(b, 0)"), ("floordiv", "floor(a / nullif(b, 0))"), ("mod", "a - b * floor(a / nullif(b, 0))"), ("pow", "pow(a, b)")):
-    _bag_query(_name, _formula)
-_bag_query("mul", "a * b", True)
-
-
-@query(f"with {_BAGS} select owner, sum(a * b) as value from f join (select owner, key from l) using (owner, key) join (select owner, key from r) using (owner, key) group by owner")
-def bag_inner(spark, sf_dir):
-    return B.inner(*_bags(spark, sf_dir))
-
-
-@query(f"with {_BAGS} select owner, key, -(7 % a) as value from (select owner, key, a from l where a > 0)")
-def bag_scalar(spark, sf_dir):
-    left, _ = _bags(spark, sf_dir)
-    return B.negate(B.scalar(left, "mod", 7, reflected=True))
-
-
-@query(f"with {_BAGS} select owner, key, a as value, 'ge' as kind from l where a >= 20 union all select owner, key, a, 'ne' from l where a <> 20")
-def bag_compare(spark, sf_dir):
-    left, _ = _bags(spark, sf_dir)
-    return B.compare(left, "ge", 20).withColumn("kind", F.lit("ge")).union(B.compare(left, "ne", 20).withColumn("kind", F.lit("ne")))
-
-
-@query(f"with {_BAGS} select owner, bool_or(a > 24) as holds from l group by owner")
-def bag_holds(spark, sf_dir):
-    return B.holds_any(_bags(spark, sf_dir)[0], "gt", 24)
-
-
-@query(f"with {_BAGS} select owner, key, round(a / sum(a) over (partition by owner), 6) as value from l")
-def bag_freq(spark, sf_dir):
-    return B.frequencies(_bags(spark, sf_dir)[0]).select("owner", "key", F.round("value", 6).alias("value"))
-
-
-@query(f"with {_BAGS} select owner, key, a as value, place from (select *, row_number() over (partition by owner order by a desc, key)::integer as place from l) where place <= 2")
-def bag_head(spark, sf_dir):
-    return B.head(_bags(spark, sf_dir)[0], 2)
-
-
-@query(f"with {_BAGS} select owner, key, a as value, place from (select *, row_number() over (partition by owner order by a, key desc)::integer as place from l) where place <= 2")
-def bag_tail(spark, sf_dir):
-    return B.tail(_bags(spark, sf_dir)[0], 2)
-
-
 # --- bags of whole tables: how often each user did what; events of users against orders of the customers with the same number, by weekday
 
 _USES = "l as (select user_id as owner, event_type as key, count(*)::double as a from events where user_id is not null and event_type is not null group by all)"
@@ -260,7 +190,7 @@ def _days_query(operation: str, formula: str, intersection: bool = False):
         left, right = _days(spark, sf_dir)
         return B.combine(left, right, operation, intersection).select("owner", "key", F.round("value", 6).alias("value"))
 
-    run.__name__ = f"bag_{operation}" + ("_common" if intersection else "") + "_all"
+    run.__name__ = f"bag_{operation}" + ("_common" if intersection else "") + ""
     query(f"with {_DAYS} select owner, key, round({formula}, 6) as value from " + ("(select l.owner, l.key, a, b from l join r on l.owner = r.owner and l.key = r.key)" if intersection else "f"))(run)
 
 
@@ -270,38 +200,67 @@ _days_query("mul", "a * b", True)
 
 
 @query(f"with {_DAYS} select owner, sum(a * b) as value from l join r using (owner, key) group by owner")
-def bag_inner_all(spark, sf_dir):
+def bag_inner(spark, sf_dir):
     return B.inner(*_days(spark, sf_dir))
 
 
+_SIGNS = {"gt": ">", "ge": ">=", "lt": "<", "le": "<=", "eq": "=", "ne": "<>"}
+_REFLECTED = {"floordiv": "floor(1000 / a)", "div": "1000 / a", "mod": "1000 - a * floor(1000 / a)", "pow": "pow(1.01, a)", "sub": "1000 - a"}
+
+
 @query(f"with {_USES} select owner, key, -(7 % a) as value from l")
-def bag_scalar_all(spark, sf_dir):
+def bag_scalar(spark, sf_dir):
     return B.negate(B.scalar(_uses(spark, sf_dir), "mod", 7, reflected=True))
 
 
-@query(f"with {_USES} select owner, key, a as value, 'ge' as kind from l where a >= 20 union all select owner, key, a, 'ne' from l where a <> 20")
-def bag_compare_all(spark, sf_dir):
+@query(f"with {_USES} " + " union all ".join(f"select owner, key, round({formula}, 6) as value, '{name}' as kind from l" for name, formula in _REFLECTED.items()))
+def bag_reflected(spark, sf_dir):
+    """A number as the left operand of every operation that isn't symmetric."""
+    uses = B.bag(table(spark, sf_dir, "events"), "user_id", "event_type")
+    parts = [B.scalar(uses, name, 1.01 if name == "pow" else 1000, reflected=True).select("owner", "key", F.round("value", 6).alias("value"), F.lit(name).alias("kind")) for name in _REFLECTED]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(f"with {_USES} " + " union all ".join(f"select owner, key, a as value, '{name}' as kind from l where a {sign} 20" for name, sign in _SIGNS.items()))
+def bag_compare(spark, sf_dir):
+    uses = _uses(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [B.compare(uses, name, 20).withColumn("kind", F.lit(name)) for name in _SIGNS])
+
+
+@query(f"with {_USES} select owner, key, a as value from l where a >= 20 and key <> 'click'")
+def bag_filtered(spark, sf_dir):
+    return B.filtered(_uses(spark, sf_dir), lambda k: k != "click", lambda v: v >= 20)
+
+
+@query(f"with {_USES} select owner, key, round(v, 6) as value, place from (select owner, key, a / sum(a) over (partition by owner) as v, row_number() over (partition by owner order by a desc, key)::integer as place from l) where place <= 3")
+def bag_normalised(spark, sf_dir):
+    return B.normalised_rows(_uses(spark, sf_dir), 3).select("owner", "key", F.round("value", 6).alias("value"), "place")
+
+
+@query(f"with {_USES} select owner, sum(a) as total, sum(a) filter (where place <= 2) as head_total from (select *, row_number() over (partition by owner order by a desc, key) as place from l) group by owner")
+def bag_sums(spark, sf_dir):
     uses = _uses(spark, sf_dir)
-    return B.compare(uses, "ge", 20).withColumn("kind", F.lit("ge")).union(B.compare(uses, "ne", 20).withColumn("kind", F.lit("ne")))
+    total = uses.groupBy("owner").agg(F.sum("value").alias("total"))
+    return total.join(B.head(uses, 2).groupBy("owner").agg(F.sum("value").alias("head_total")), "owner")
 
 
 @query(f"with {_USES} select owner, bool_or(a > 24) as holds from l group by owner")
-def bag_holds_all(spark, sf_dir):
+def bag_holds(spark, sf_dir):
     return B.holds_any(_uses(spark, sf_dir), "gt", 24)
 
 
 @query(f"with {_USES} select owner, key, round(a / sum(a) over (partition by owner), 6) as value from l")
-def bag_freq_all(spark, sf_dir):
+def bag_freq(spark, sf_dir):
     return B.frequencies(_uses(spark, sf_dir)).select("owner", "key", F.round("value", 6).alias("value"))
 
 
 @query(f"with {_USES} select owner, key, a as value, place from (select *, row_number() over (partition by owner order by a desc, key)::integer as place from l) where place <= 2")
-def bag_head_all(spark, sf_dir):
+def bag_head(spark, sf_dir):
     return B.head(_uses(spark, sf_dir), 2)
 
 
 @query(f"with {_USES} select owner, key, a as value, place from (select *, row_number() over (partition by owner order by a, key desc)::integer as place from l) where place <= 2")
-def bag_tail_all(spark, sf_dir):
+def bag_tail(spark, sf_dir):
     return B.tail(_uses(spark, sf_dir), 2)
 
 

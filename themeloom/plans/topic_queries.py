@@ -141,11 +141,11 @@ def embedding_missing_report(spark, sf_dir):
     return V.missing(knowledge(spark, sf_dir).entities, _entity_vectors(spark, sf_dir))
 
 
-@query(f"with {Q.ENTITY_VECTORS} select num, 'Q' || num || ' ' || array_to_string(list_transform(vec, lambda x: printf('%.4f', round(x, 4) + 0.0)), ' ') as line from vecs")
+@query(f"with {Q.ENTITY_VECTORS} select num, 'Q' || num || ' ' || array_to_string(list_transform(vec, lambda x: printf('%.8f', round(x, 8) + 0.0)), ' ') as line from vecs")
 def embedding_export(spark, sf_dir):
     from ..sources.files import embedding_line
 
-    return _entity_vectors(spark, sf_dir).select("num", embedding_line(F.concat(F.lit("Q"), "num"), F.col("vec"), 4).alias("line"))
+    return _entity_vectors(spark, sf_dir).select("num", embedding_line(F.concat(F.lit("Q"), "num"), F.col("vec")).alias("line"))
 
 
 _TOK = f"{Q.ENTITY_VECTORS}, {Q.TOKENS}, freq as (select doc, tok as num, count(*)::double as n from toks group by all)"
@@ -376,11 +376,10 @@ def corpus_report(spark, sf_dir):
     return R.document_report(_doc_topics(spark, sf_dir)[3], 3)
 
 
-@query(f"with {Q.ENTITY_VECTORS}, {_TRAIN}, {_WORDSQL} select topic, " + ", ".join(f"round(coalesce(sum(score) filter (num = {w}), 0), 6) as w{w}" for w in (101, 108, 115, 122, 129)) + " from tw group by topic")
+@query(f"with {Q.ENTITY_VECTORS}, {_TRAIN}, {_WORDSQL} select t.topic, w.num, round(coalesce(score, 0), 6) as weight from (select distinct topic from tw) t, (select distinct num from tw) w left join tw on tw.topic = t.topic and tw.num = w.num")
 def weights_matrix(spark, sf_dir):
-    words = [101, 108, 115, 122, 129]
-    m = R.matrix(_words(spark, sf_dir), words)
-    return m.select("topic", *[F.round(f"w{w}", 6).alias(f"w{w}") for w in words])
+    """Every topic's weight of every word of any topic."""
+    return R.weights(_words(spark, sf_dir)).select("topic", "num", F.round("weight", 6).alias("weight"))
 
 
 @query()
