@@ -126,14 +126,14 @@ class TopicModel:
     def topics(self, num_words: int = 10) -> DataFrame:
         return self.words.where(F.col("place") <= num_words)
 
-    def inference(self, bags: DataFrame, vectors: DataFrame) -> DataFrame:
-        """``(doc_id, topic, d2, prob, place)`` of the bags ``(doc_id, num, n)``; documents without an entity with a vector have no rows."""
+    def inference(self, bags: DataFrame, vectors: DataFrame, n: int | None = None) -> DataFrame:
+        """``(doc_id, topic, d2, prob, place)`` of the bags ``(doc_id, num, n)``, of the nearest `n` topics or all; documents without an entity with a vector have no rows."""
         means = V.weighted_mean(bags.join(vectors, "num").select("doc_id", "vec", "n"), "doc_id", "vec", self.centroids.shape[1], "n")
-        return T.document_topics(means, self.centroids)
+        return T.document_topics(means, self.centroids, n=n)
 
     def transform(self, bags: DataFrame, vectors: DataFrame) -> DataFrame:
         """``(doc_id, topic)``: the nearest topic, -1 where there is none."""
-        return T.best_topic(bags, self.inference(bags, vectors))
+        return T.best_topic(bags, self.inference(bags, vectors, 1))
 
     def predict(self, spark: SparkSession, entities: list[int], vectors: DataFrame) -> dict[int, float]:
         """Probabilities of all topics for one list of entities, the nearest first."""
@@ -141,13 +141,13 @@ class TopicModel:
         return {r.topic: r.prob for r in self.inference(bag, vectors).orderBy("place").collect()}
 
     def top_topics(self, bags: DataFrame, vectors: DataFrame, n: int = 3) -> DataFrame:
-        return T.top_topics(self.inference(bags, vectors), n)
+        return self.inference(bags, vectors, n)
 
     def update_top_words(self, bags: DataFrame, vectors: DataFrame, top_topics: int = 1, num_words: int = 1000) -> TopicModel:
         """A model with topic words from a corpus of bags."""
         total = bags.groupBy("doc_id").agg(F.sum("n").alias("t"))
         freqs = bags.join(total, "doc_id").select("doc_id", "num", (F.col("n") / F.col("t")).alias("freq"))
-        return TopicModel(materialise(T.refreshed_words(freqs, self.inference(bags, vectors), self.words, top_topics, num_words)), self.centroids, self.labels)
+        return TopicModel(materialise(T.refreshed_words(freqs, self.inference(bags, vectors, top_topics), self.words, top_topics, num_words)), self.centroids, self.labels)
 
     def coherence(self, tokens: DataFrame, measure: str = "npmi", num_words: int = 10) -> float:
         """The mean over topics; ``c_npmi``, ``c_uci`` and ``u_mass`` are known besides the measures with base-2 logarithms."""

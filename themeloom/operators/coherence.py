@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 EPS = 1e-12
 MEASURES = ("npmi", "pmi", "lc")
 
@@ -70,20 +72,31 @@ def windows(tokens: DataFrame, size: int) -> DataFrame:
     return rows.select("doc", "tok", F.explode(inside).alias("w")).select(F.struct("doc", "w").alias("unit"), "tok").distinct()
 
 
+def _together(docs: DataFrame, size: int) -> DataFrame:
+    """``(lo, hi, n)``: in how many windows of `size` tokens two words stand together, for a word with itself in how many it stands; `docs(doc, last, hits)`, hits being places and words.
+
+    A hit is paired with those less than `size` places behind it. Words recur within a window, so of each document the windows of a pair are counted as a set: an interval of windows for each two places.
+    """
+    n = F.greatest(F.col("last") - size + 1, F.lit(1))
+    behind = lambda h, i: F.filter(F.slice("hits", i + 1, F.lit(size)), lambda o: o["pos"] < h["pos"] + size)
+    two = F.flatten(F.transform("hits", lambda h, i: F.transform(behind(h, i), lambda o: F.struct(F.least(h["w"], o["w"]).alias("lo"), F.greatest(h["w"], o["w"]).alias("hi"), F.greatest(o["pos"] - size + 1, F.lit(1)).alias("first"), F.least(h["pos"], n).alias("final")))))
+    spans = docs.select("doc", F.explode(two).alias("t")).select("doc", "t.*").where((F.col("lo") != F.col("hi")) | (F.col("final") >= F.col("first")))
+    # a pair's intervals within a document, from left to right: each adds what those before it haven't covered
+    each = spans.groupBy("doc", "lo", "hi").agg(F.array_sort(F.collect_list(F.struct("first", "final"))).alias("spans"))
+    covered = F.aggregate("spans", F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("upto")), lambda a, x: F.struct((a["n"] + F.greatest(x["final"] - F.greatest(a["upto"], x["first"] - 1), F.lit(0))).alias("n"), F.greatest(a["upto"], x["final"].cast("bigint")).alias("upto")), lambda a: a["n"])
+    return materialise(each.select("lo", "hi", covered.alias("n")).groupBy("lo", "hi").agg(F.sum("n").alias("n")).where("n > 0"))
+
+
 def window_coherence(tokens: DataFrame, topics: DataFrame, words: int = 10, size: int = 10) -> DataFrame:
     """``(topic, c_npmi, c_uci)`` over sliding windows with natural logarithms and a small constant for pairs that never meet."""
-    last = tokens.groupBy("doc").agg(F.max("pos").alias("last"))
-    total = F.lit(float(last.agg(F.sum(F.greatest(F.col("last") - size + 1, F.lit(1)))).first()[0] or 1))
-    vocabulary = topics.where(F.col("place") <= words).select(F.col("num").alias("tok")).distinct()
-    # lengths come from all tokens, windows only from words of topics
-    marked = tokens.join(last.select(F.col("doc").alias("d"), "last"), F.col("doc") == F.col("d")).join(vocabulary, "tok", "left_semi")
-    n = F.greatest(F.col("last") - size + 1, F.lit(1))
-    units = marked.select("doc", "tok", F.explode(F.sequence(F.greatest(F.col("pos") - size + 1, F.lit(1)), F.least(F.col("pos"), n))).alias("w")).select(F.struct("doc", "w").alias("unit"), "tok").distinct()
-    counts = units.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+    vocabulary = topics.where(F.col("place") <= words).select(F.col("num").alias("word")).distinct()
+    marked = tokens.join(F.broadcast(vocabulary), F.col("tok") == F.col("word"), "left")  # the first words of topics, a bounded number
+    docs = materialise(marked.groupBy("doc").agg(F.max("pos").alias("last"), F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("pos", F.col("word").alias("w"))))).alias("hits")))
+    total = F.lit(float(docs.agg(F.sum(F.greatest(F.col("last") - size + 1, F.lit(1)))).first()[0] or 1))
+    counts = _together(docs, size)
     pairs = word_pairs(topics, words).withColumn("lo", F.least("w1", "w2")).withColumn("hi", F.greatest("w1", "w2"))
-    shared = _pair_counts(units, topics, words).withColumnRenamed("n", "n12")
-    of = lambda w, name: counts.select(F.col("tok").alias(w), F.col("n").alias(name))
-    rows = pairs.join(shared, ["lo", "hi"], "left").join(of("w1", "n1"), "w1").join(of("w2", "n2"), "w2")
+    of = lambda w, name: counts.where("lo = hi").select(F.col("lo").alias(w), F.col("n").alias(name))
+    rows = pairs.join(counts.withColumnRenamed("n", "n12"), ["lo", "hi"], "left").join(of("w1", "n1"), "w1").join(of("w2", "n2"), "w2")
     p12 = F.coalesce("n12", F.lit(0)) / total
     uci = F.ln((p12 + EPS) / ((F.col("n1") / total) * (F.col("n2") / total)))
     return rows.select("topic", uci.alias("u"), (uci / -F.ln(p12 + EPS)).alias("v")).groupBy("topic").agg(F.avg("v").alias("c_npmi"), F.avg("u").alias("c_uci"))

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -120,6 +120,11 @@ def edges(kb: KnowledgeBase, text_entities: DataFrame | None = None) -> DataFram
     return links.where("src <> dst").distinct()
 
 
+def listed_or_own(num: Column, listed: Column) -> Column:
+    """The entities listed for a page, or the page's own where there is no list."""
+    return F.coalesce(listed, F.array(num))
+
+
 def to_translate(kb: KnowledgeBase, lang: str, people: int, with_people: bool = False, min_length: int = 4) -> DataFrame:
     """``(text)``: English labels, and aliases of other than people, of entities without a label in `lang`: long enough, with a space, not in upper case."""
     human = kb.properties.where((F.col("property") == "instance_of") & (F.col("value") == people)).select("num").distinct()

@@ -1,7 +1,7 @@
 """Topics as clusters of entity vectors: training, topic words, inference, refreshing words from a corpus.
 
 Centroids are the only thing the driver holds: k vectors, k a parameter. Assigning rows to centroids is a matrix product per Arrow batch; of the rows, only per-task sums by
-centroid leave a task.
+centroid leave a task, of a document's topics only as many as are asked for.
 """
 
 from __future__ import annotations
@@ -21,8 +21,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def squared_distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
-    """Row by row differences, a centroid at a time: no cancellation, bounded memory."""
-    return np.stack([((x - c) ** 2).sum(axis=1) for c in centroids], axis=1)
+    """By a matrix product; small distances, and rows whose two nearest centroids are all but equally far, by differences, which don't cancel."""
+    d2 = (x * x).sum(axis=1)[:, None] + (centroids * centroids).sum(axis=1)[None, :] - 2 * (x @ centroids.T)
+    scale = 1e-6 * max(1.0, float(np.abs(d2).max(initial=0)))
+    i, j = np.nonzero(d2 < scale)
+    d2[i, j] = ((x[i] - centroids[j]) ** 2).sum(axis=1)
+    if d2.shape[1] > 1:
+        two = np.partition(d2, 1, axis=1)[:, :2]
+        for i in np.flatnonzero(two[:, 1] - two[:, 0] < scale * 1e-3).tolist():
+            d2[i] = ((x[i] - centroids) ** 2).sum(axis=1)
+    return d2
 
 
 def _sums(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
@@ -102,8 +110,8 @@ def topic_words(vectors: DataFrame, centroids: np.ndarray, n: int) -> DataFrame:
     return top.select("topic", "place", "num", (w / F.sum(w).over(Window.partitionBy("topic"))).alias("score"))
 
 
-def document_topics(doc_vectors: DataFrame, centroids: np.ndarray, exponent: int = 2) -> DataFrame:
-    """``(doc_id, topic, d2, prob, place)``: probabilities proportional to 1 / d2 ** exponent, nearest topics first.
+def document_topics(doc_vectors: DataFrame, centroids: np.ndarray, exponent: int = 2, n: int | None = None) -> DataFrame:
+    """``(doc_id, topic, d2, prob, place)``: probabilities proportional to 1 / d2 ** exponent over all topics, nearest topics first; with `n` only the n nearest leave the batch.
 
     A document at a topic's very place has probability 1, shared among such topics.
     """
@@ -112,10 +120,11 @@ def document_topics(doc_vectors: DataFrame, centroids: np.ndarray, exponent: int
         exact = d2 == 0
         with np.errstate(divide="ignore"):
             w = np.where(exact.any(axis=1, keepdims=True), exact.astype(float), 1 / d2**exponent)
-        place = np.empty(d2.shape, np.int32)
-        np.put_along_axis(place, d2.argsort(axis=1, kind="stable"), np.arange(1, d2.shape[1] + 1, dtype=np.int32)[None, :], axis=1)
-        k = d2.shape[1]
-        return [np.repeat(numbers, k), np.tile(np.arange(k, dtype=np.int32), len(numbers)), d2.ravel(), (w / w.sum(axis=1, keepdims=True)).ravel(), place.ravel()]
+        prob = w / w.sum(axis=1, keepdims=True)
+        topic = d2.argsort(axis=1, kind="stable")[:, :n]
+        k = topic.shape[1]
+        take = lambda m: np.take_along_axis(m, topic, axis=1).ravel()
+        return [np.repeat(numbers, k), topic.ravel().astype(np.int32), take(d2), take(prob), np.tile(np.arange(1, k + 1, dtype=np.int32), len(numbers))]
 
     return _per_batch(doc_vectors, "doc_id", centroids, "doc_id bigint, topic int, d2 double, prob double, place int", work)
 

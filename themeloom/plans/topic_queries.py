@@ -245,10 +245,10 @@ def topic_top_entities(spark, sf_dir):
     return T.topic_words(vectors, c, WORDS).select("topic", "place", "num", F.round("score", 6).alias("score"))
 
 
-def _doc_topics(spark, sf_dir):
+def _doc_topics(spark, sf_dir, n=None):
     vectors, c = _model(spark, sf_dir)
     freqs = materialise(_freqs(_tokens(spark, sf_dir)))
-    return vectors, c, freqs, T.document_topics(_doc_vectors(freqs, vectors), c)
+    return vectors, c, freqs, T.document_topics(_doc_vectors(freqs, vectors), c, n=n)
 
 
 @query(f"with {_DVEC}, {_TRAIN}, {_PROB} select doc_id, topic, round(d2, 6) as d2, round(prob, 6) as prob, place from dt")
@@ -259,12 +259,12 @@ def doc_topic_probs(spark, sf_dir):
 @query(f"with {_DVEC}, {_TRAIN}, {_PROB} select page_no as doc_id, coalesce(topic, -1)::integer as topic from curp left join (select doc_id, topic from dt where place = 1) t on t.doc_id = page_no")
 def doc_top_topic(spark, sf_dir):
     now = latest_state(table(spark, sf_dir, "wiki_page"), entity_number("id"), "scraped_at", "page_no", {"doc_id": F.col("page_no")})
-    return T.best_topic(now, _doc_topics(spark, sf_dir)[3])
+    return T.best_topic(now, _doc_topics(spark, sf_dir, 1)[3])
 
 
 @query(f"with {_DVEC}, {_TRAIN}, {_PROB}, {_WORDSQL}, tt as (select topic, array_to_string(list('Q' || num order by place) filter (place <= 5), ' ') as words from tw group by topic) select doc_id, topic, round(prob, 6) as prob, place, words from dt join tt using (topic) where place <= 2")
 def top_topics_words(spark, sf_dir):
-    vectors, c, _, docs = _doc_topics(spark, sf_dir)
+    vectors, c, _, docs = _doc_topics(spark, sf_dir, 2)
     words = T.topic_words(vectors, c, 5).groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "num"))), lambda x: F.concat(F.lit("Q"), x["num"])), " ").alias("words"))
     return T.top_topics(docs, 2).join(F.broadcast(words), "topic").select("doc_id", "topic", F.round("prob", 6).alias("prob"), "place", "words")
 
@@ -274,7 +274,7 @@ def _refresh_sql(n: int) -> str:
 
 
 def _refreshed(spark, sf_dir, n):
-    vectors, c, freqs, docs = _doc_topics(spark, sf_dir)
+    vectors, c, freqs, docs = _doc_topics(spark, sf_dir, n)
     total = freqs.groupBy("doc_id").agg(F.sum("n").alias("t"))
     freq = freqs.join(total, "doc_id").select("doc_id", "num", (F.col("n") / F.col("t")).alias("freq"))
     return T.refreshed_words(freq, docs, T.topic_words(vectors, c, WORDS), n, 100)
@@ -373,7 +373,7 @@ def topics_upper(spark, sf_dir):
 
 @query(f"with {_DVEC}, {_TRAIN}, {_PROB} select doc_id, " + ", ".join(f"max(topic || ' (' || printf('%.3f', prob) || ')') filter (place = {i}) as topic_{i}" for i in (1, 2, 3)) + " from dt group by doc_id")
 def corpus_report(spark, sf_dir):
-    return R.document_report(_doc_topics(spark, sf_dir)[3], 3)
+    return R.document_report(_doc_topics(spark, sf_dir, 3)[3], 3)
 
 
 @query(f"with {Q.ENTITY_VECTORS}, {_TRAIN}, {_WORDSQL} select t.topic, w.num, round(coalesce(score, 0), 6) as weight from (select distinct topic from tw) t, (select distinct num from tw) w left join tw on tw.topic = t.topic and tw.num = w.num")

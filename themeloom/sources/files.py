@@ -8,11 +8,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from ..session import materialise
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(value)``, a row per line; .bz2 and .gz are read as what they hold, the former in parallel."""
@@ -26,9 +28,36 @@ def read_dump(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(bare.alias("value")).where(~F.col("value").isin("[", "]", ""))
 
 
-def write_lines(df: DataFrame, path: str, append: bool = False) -> None:
+def write_lines(df: DataFrame, path: str, append: bool = False, compression: str = "none") -> None:
     """Writes the only column of `df`, a line per row."""
-    df.write.mode("append" if append else "overwrite").text(path)
+    df.write.mode("append" if append else "overwrite").option("compression", compression).text(path)
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """`rows` of a file source with their number from 0 as ``line``, files in the order of their names. Blocks of files are counted, rows neither moved nor gathered."""
+    marked = materialise(rows.select(*rows.columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")))
+    blocks = marked.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))  # a row per block of a file
+    offsets = blocks.select("_file", "_block", (F.coalesce(before, F.lit(0)) - F.col("_first")).alias("_offset"))
+    return marked.join(offsets, ["_file", "_block"]).select(*rows.columns, (F.col("_at") + F.col("_offset")).alias("line"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, line)``: the lines of a file, or of the files of a folder by name, numbered from 0."""
+    return _numbered(spark.read.option("lineSep", "\n").text(path))
+
+
+def write_aligned(docs: DataFrame, text: str, entities: str, path: str) -> None:
+    """Texts and lists of entity ids as two sets of lines that belong together by position, ``path/text`` and ``path/entities``; line breaks in texts become spaces, null is an empty line."""
+    given = materialise(docs.select(F.coalesce(F.translate(F.col(text), "\r\n", "  "), F.lit("")).alias("text"), F.coalesce(F.array_join(F.col(entities).cast("array<string>"), " "), F.lit("")).alias("entities")))
+    for name in ("text", "entities"):
+        given.select(name).write.mode("overwrite").text(f"{path}/{name}")
+
+
+def read_aligned(spark: SparkSession, path: str) -> DataFrame:
+    """``(line, text, entities)`` of such files."""
+    of = lambda name: numbered_lines(spark, f"{path}/{name}").withColumnRenamed("value", name)
+    return of("text").join(of("entities"), "line").select("line", "text", F.filter(F.split("entities", " "), lambda x: x != "").alias("entities"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | StructType | None = None, delimiter: str = ",", quote: str = '"', encoding: str = "ISO-8859-1", header: bool = False) -> DataFrame:
@@ -139,9 +168,8 @@ def read_topics_sheet(spark: SparkSession, path: str, min_score: float = 1e-4, m
 
 
 def read_ranked(spark: SparkSession, path: str, column: str, n: int | None = None) -> DataFrame:
-    """``(value, rank)`` of a column of a CSV file with a header whose order is the rank, from 0; the first n with `n`. Rows are numbered per partition, not in one task."""
-    rows = spark.read.option("header", True).csv(path).select(F.col(column).alias("value"))
-    ranked = rows.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1])).toDF("value string, rank bigint")
+    """``(value, rank)`` of a column of a CSV file with a header whose order is the rank, from 0; the first n with `n`."""
+    ranked = _numbered(spark.read.option("header", True).csv(path)).select(F.col(column).alias("value"), F.col("line").alias("rank"))
     return ranked if n is None else ranked.where(F.col("rank") < n)
 
 
