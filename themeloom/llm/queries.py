@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import entity_number, entity_numbers
@@ -96,9 +96,19 @@ def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The container of every piece of every document, sizes in bytes of UTF-8."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("size"))
-    return packing.pack(docs, "doc_id", "size", CAPACITY).select(F.col("item").alias("doc_id"), "piece", "start", "n", "container", "used")
+    """The container of every piece of every document, sizes in bytes of UTF-8, oversized texts cut between characters."""
+    sizes = packing.text_sizes(table(spark, sf_dir, "documents"), "doc_id", "text", CAPACITY)
+    return packing.pack(sizes, "doc", "size", CAPACITY, cuts="cuts").select(F.col("item").alias("doc_id"), "piece", "start", "n", "container", "used")
+
+
+def p8_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every packing must keep: the tokens of each document, whether its pieces join without gaps, whether it is whole unless it exceeds a container, and whether all its containers hold what they say and no more than they can."""
+    packed = materialise(p8_packed(spark, sf_dir))
+    fill = packed.where("container is not null").groupBy(F.col("container").alias("c")).agg(F.sum("n").alias("fill"))
+    rows = packed.join(fill, F.col("container") == F.col("c"), "left")
+    holds = F.coalesce((F.col("fill") == F.col("used")) & (F.col("fill") <= CAPACITY), F.col("n") == 0)
+    found = rows.groupBy("doc_id").agg(F.sum("n").alias("tokens"), F.max(F.col("start") + F.col("n")).alias("end"), F.count(F.lit(1)).alias("pieces"), F.max("piece").alias("last"), F.bool_and(holds).alias("within"))
+    return found.select("doc_id", "tokens", ((F.col("end") == F.col("tokens")) & (F.col("last") == F.col("pieces") - 1)).alias("joined"), ((F.col("pieces") == 1) | (F.col("tokens") > CAPACITY)).alias("whole"), "within")
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,6 +122,16 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(F.col("doc").alias("doc_id"), "piece", "start", "stop", "cut")
 
 
+def p10_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every division must keep: whether the pieces of a document cover it, stay within the limit, and share as many tokens as they must, or up to three more within a character."""
+    cut = pieces.split_texts(table(spark, sf_dir, "documents"), "doc_id", "text", LIMIT, OVERLAP)
+    before = F.lag("stop").over(Window.partitionBy("doc").orderBy("piece"))  # the pieces of one text
+    shared = F.coalesce((before - F.col("start")).between(OVERLAP, OVERLAP + 3), F.col("piece") == 0)
+    rows = cut.select("doc", "n", "piece", "start", "stop", shared.alias("shared"))
+    found = rows.groupBy(F.col("doc").alias("doc_id"), F.col("n").alias("tokens")).agg(((F.min("start") == 0) & (F.max("stop") == F.first("n")) & (F.max("piece") == F.count(F.lit(1)) - 1)).alias("covered"), (F.max(F.col("stop") - F.col("start")) <= LIMIT).alias("within"), F.bool_and("shared").alias("shared"))
+    return found.select("doc_id", "tokens", "covered", "within", "shared")
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents above the limit, and how natural the boundaries are at which they can be cut."""
     cut = pieces.split_texts(table(spark, sf_dir, "documents"), "doc_id", "text", LIMIT, OVERLAP)
@@ -120,5 +140,5 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 __all__ = ["ORACLES", "QUERIES"]
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p3_found, p3_typical, p4_found, p5_found, p5_ngrams, p6_found, p6_lift, p6_pairs, p8_packed, p9_found, p10_found, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_weights, p3_found, p3_typical, p4_found, p5_found, p5_ngrams, p6_found, p6_lift, p6_pairs, p8_packed, p8_sums, p9_found, p10_found, p10_pieces, p10_cover)}
 
