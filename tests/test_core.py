@@ -381,3 +381,29 @@ def test_a_large_lexicon_is_joined_with_the_same_result(spark, sf):
     for overlaps in (True, False):
         one, other = (sorted(map(tuple, matching.mentions(docs, "doc_id", "text", "lang", lex, overlaps=overlaps, held_bytes=held).distinct().collect())) for held in (4_000_000, 0))
         assert one == other and len(one) > 500
+
+
+def test_preprocessing_around_a_morphology(spark):
+    from themeloom.functions import lemmatizers as L
+
+    rows = [("Evlerden U.S. GELDİ Ankara'dan",), ("kitaplardan Ali",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "t string")
+    known = F.create_map(F.lit("Evlerden"), F.array(F.lit("ev"), F.lit("evler")), F.lit("kitaplardan"), F.array(F.lit("kitap"), F.lit("kitaplardan")))
+    of = lambda w: F.coalesce(F.try_element_at(known, w), F.array(w))
+    assert [r[0] for r in df.select(L.lemmatizer("tr", of)(F.col("t"))).collect()] == ["Evler US GELDİ Ankara '", "kitap Ali", None, ""]
+    assert [r[0] for r in df.select(L.lemmatizer("ru")(F.col("t"))).collect()][1] == "kitaplardan Ali"
+    assert df.select(L.lemmatizer("en", lambda w: F.array(F.lit("be")))(F.col("t")).alias("x")).collect()[1].x == "be Be"
+    tags = L.tagged(spark.createDataFrame([(1, "a bc"), (2, None), (3, "")], "d bigint, t string"), "d", "t", lambda: lambda texts: [[(m.start(), m.end(), "X") for m in re.finditer(r"\w+", t)] for t in texts])
+    assert sorted(map(tuple, tags.collect())) == [(1, 0, 1, "X"), (1, 2, 4, "X")]
+
+
+def test_numbered_and_aligned_files(spark, tmp_path):
+    from themeloom.sources import files
+
+    df = spark.createDataFrame([(i, f"text {i}\nmore" if i % 3 else None, [f"Q{i}", "Q1"] if i % 2 else []) for i in range(50)], "i int, t string, e array<string>").repartition(5)
+    files.write_aligned(df, "t", "e", str(tmp_path / "a"))
+    back = files.read_aligned(spark, str(tmp_path / "a")).collect()
+    assert sorted(r.line for r in back) == list(range(50))
+    assert sorted((r.text, tuple(r.entities)) for r in back) == sorted((f"text {i} more" if i % 3 else "", (f"Q{i}", "Q1") if i % 2 else ()) for i in range(50))
+    lines = [x for f in sorted((tmp_path / "a" / "text").glob("part-*")) for x in f.read_text().splitlines()]
+    assert [r.value for r in files.numbered_lines(spark, str(tmp_path / "a" / "text")).orderBy("line").collect()] == lines

@@ -52,6 +52,42 @@ def simple(punctuation: bool = False) -> Callable[[Column], Column]:
     return lambda c: T.acronyms(T.space_apostrophes(c, punctuation))
 
 
+def lemmatizer(lang: str, candidates: Callable[[Column], Column] | None = None) -> Callable[[Column], Column]:
+    """The preprocessing of a language around a morphology: `candidates` gives the possible lemmas of a word, an array, the word itself without it.
+
+    Words are parted at white space after apostrophes (in Russian all punctuation) have been set apart. The first lemma counts, in Turkish the longest, and there a title word that is among its own
+    lemmas stays. Lemmas get the case of their word, Turkish ones lose ablative and plural endings; dots behind capitals go last.
+    """
+    of = candidates or (lambda w: F.array(w))
+
+    def longest(lemmas: Column) -> Column:
+        return F.aggregate(lemmas, F.lit(None).cast("string"), lambda a, x: F.when(a.isNull() | (F.length(x) > F.length(a)), x).otherwise(a))
+
+    def lemma(word: Column) -> Column:
+        lemmas = of(word)
+        if lang != "tr":
+            return T.restore_case(F.coalesce(F.try_element_at(lemmas, F.lit(1)), word), word, upper_lemma=lang != "ru")
+        titles = F.filter(lemmas, T.is_title)
+        named = F.when(F.size(titles) > 0, longest(titles)).otherwise(T.title_case(longest(lemmas)))
+        own = F.array_contains(F.transform(lemmas, F.lower), F.lower(word))
+        return T.turkish_suffixes(F.when(T.is_upper(word) | (T.is_title(word) & own), word).when(T.is_title(word), named).otherwise(F.coalesce(longest(lemmas), word)))
+
+    return lambda text: T.acronyms(F.array_join(F.transform(T.words(T.space_apostrophes(text, lang == "ru")), lemma), " "))
+
+
+def tagged(docs: DataFrame, doc_id: str, text: str, factory: Callable[[], Callable[[list[str]], list[list[tuple[int, int, str]]]]]) -> DataFrame:
+    """``(doc_id, start, stop, tag)``: parts of speech by a pluggable tagger of text batches, made once per Python worker; null texts have none."""
+    given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("t")).where("t is not null")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tag = factory()
+        for b in batches:
+            rows = [(d, *spot) for d, spots in zip(b["doc_id"], tag(b["t"].tolist()), strict=True) for spot in spots]
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "stop", "tag"])
+
+    return given.mapInPandas(run, "doc_id bigint, start int, stop int, tag string")
+
+
 def encode(docs: DataFrame, doc_id: str, text: str, factory: Callable[[], Callable[[list[str]], list[list[float]]]], max_words: int = 300) -> DataFrame:
     """``(doc_id, vec)`` by a pluggable encoder of text batches, over the first words of each text; empty texts have no vector."""
     given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), T.first_words(F.col(text), max_words).alias("t")).where("t <> ''")

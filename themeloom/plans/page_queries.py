@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.ids import entity_number
+from ..functions.ids import entity_number, entity_numbers
 from ..operators import bags as B
 from ..operators import disambiguate as D
 from ..operators import kb as K
@@ -114,3 +114,10 @@ def translation_pairs(spark, sf_dir):
 @query("select '{\"p_brand\":\"' || p_brand || '\",\"p_partkey\":' || p_partkey || ',\"p_size\":' || p_size || '}' as json from part")
 def namespace_json(spark, sf_dir):
     return files.row_json(table(spark, sf_dir, "part").select("p_size", "p_partkey", "p_brand"))
+
+
+@query(f"with {Q.PAGES}, {Q.TOKENS} select page_no, md5(text) as digest, n from curp join (select doc, count(*) as n from toks group by 1) t on t.doc = page_no where text <> ''")
+def page_texts_with_tokens(spark, sf_dir):
+    """Pages that have both a text and tokens, with both: what a model of texts and entities is trained on."""
+    now = latest_state(table(spark, sf_dir, "wiki_page"), entity_number("id"), "scraped_at", "page_no", {"page_no": F.col("page_no"), "text": F.col("text"), "n": F.size(entity_numbers("text_entities"))})
+    return now.where("text <> '' and n > 0").select("page_no", F.md5(F.encode("text", "UTF-8")).alias("digest"), F.col("n").cast("bigint").alias("n"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from ..functions.lemmatizers import lemmatizer
 from ..operators import bags as B
 from ..operators import corpus as C
 from ..operators import vectors as V
@@ -150,6 +151,15 @@ def apostrophe_space(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(T.space_apostrophes(t), "UTF-8")).alias("digest"), F.md5(F.encode(T.space_apostrophes(t, True), "UTF-8")).alias("digest_all"))
 
 
+_RU = "array_to_string(list_filter(regexp_split_to_array(replace(regexp_replace(text, '([!-/:-@\\[-`{-~])', ' \\1', 'g'), '’', ' ’'), '[ \\t\\r\\n\\f\\v]+'), lambda x: x <> ''), ' ')"
+
+
+@query(f"select doc_id, md5(replace(regexp_replace(' ' || replace({_RU}, '.', '.' || chr(1)), '([^\\w\\pL\\pN\\pM_])([A-Z])\\.', '\\1\\2', 'g')[2:], chr(1), '')) as digest from documents")
+def lemmatized(spark, sf_dir):
+    """Texts through the preprocessing of a language whose words are their own lemmas."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(lemmatizer("ru")(F.col("text")), "UTF-8")).alias("digest"))
+
+
 _W = "w as (select distinct unnest(regexp_extract_all(text, '[\\pL]+')) as word from documents)"
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +29,16 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **conf: str
     return spark
 
 
+@contextmanager
+def log_level(spark: SparkSession, level: str) -> Iterator[None]:
+    """Another log level of the JVM for a block of code, WARN after it."""
+    spark.sparkContext.setLogLevel(level)
+    try:
+        yield
+    finally:
+        spark.sparkContext.setLogLevel("WARN")
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the executors' Python workers this package, once per session; where it is installed on them this changes nothing."""
     sc = spark.sparkContext
