@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,15 +47,17 @@ def _kind(value: object) -> str:
     return {dict: "object", list: "list", str: "string", bool: "boolean", type(None): "null"}.get(type(value), "number")
 
 
-def label_nodes(document: dict, leaves_only: bool = False) -> Iterator[tuple[list[int], list[str | None], str, str, str | None]]:
+def label_nodes(document: dict, leaves_only: bool = False, only: dict[str, int] | None = None) -> Iterator[tuple[list[int], list[str | None], str, str, str | None]]:
     """``(label, keys, schema_path, kind, text)`` of the nodes below the document's root, parents before children, by an explicit stack.
 
     `keys` holds the key at each level, null for a list's element. In a schema path the outermost key, a value in this data (a language, a
-    property), is written ``*``; an element is ``[]``. A value of an outermost key that isn't a list counts as a list of one, so every item
+    property), is written ``*``; an element is ``[]``. With `only` the nodes below these outermost keys alone come out. A value of an outermost key that isn't a list counts as a list of one, so every item
     has the same label depth.
     """
     stack: list[tuple[list[int], list[str | None], str, object]] = []
     for i, (key, value) in reversed(list(enumerate(document.items()))):
+        if only is not None and key not in only:
+            continue
         stack.append(([i], [key], "*", value if isinstance(value, list) else [value]))
     while stack:
         label, keys, path, value = stack.pop()
@@ -69,6 +72,56 @@ def label_nodes(document: dict, leaves_only: bool = False) -> Iterator[tuple[lis
         stack.extend(reversed(children))
 
 
+class _Nodes:
+    """Columns of `NODES` as they grow; the lists of a column lie one behind the other, with their lengths beside."""
+
+    def __init__(self) -> None:
+        self.rec: list[int | None] = []
+        self.field: list[str] = []
+        self.path: list[str] = []
+        self.kind: list[str] = []
+        self.text: list[str | None] = []
+        self.label: list[int] = []
+        self.keys: list[str | None] = []
+        self.depth: list[int] = []
+
+    def add(self, rec: int | None, field: str, document: dict, leaves_only: bool) -> None:
+        before = len(self.path)
+        if leaves_only:
+            odd = {}
+            for i, (key, value) in enumerate(document.items()):  # texts and lists of texts, as most are
+                if all(type(x) is str for x in value) if type(value) is list else type(value) is str:
+                    texts = value if type(value) is list else [value]
+                    self.text.extend(texts)
+                    for j in range(len(texts)):
+                        self.label += (i, j)
+                        self.keys += (key, None)
+                    self.depth.extend([2] * len(texts))
+                    self.path.extend(["*[]"] * len(texts))
+                    self.kind.extend(["string"] * len(texts))
+                else:
+                    odd[key] = i
+        else:
+            odd = None
+        if odd is None or odd:
+            for label, keys, path, kind, text in label_nodes(document, leaves_only, odd):
+                self.label += label
+                self.keys += keys
+                self.depth.append(len(label))
+                self.path.append(path)
+                self.kind.append(kind)
+                self.text.append(text)
+        n = len(self.path) - before
+        self.rec.extend([rec] * n)
+        self.field.extend([field] * n)
+
+    def batch(self) -> pa.RecordBatch:
+        offsets = pa.array(np.concatenate([[0], np.cumsum(self.depth)]).astype(np.int32))
+        label, keys = (pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((self.label, pa.int32()), (self.keys, pa.string())))
+        columns = [pa.array(self.rec, pa.int64()), pa.array(self.field, pa.string()), label, keys, *(pa.array(x, pa.string()) for x in (self.path, self.kind, self.text))]
+        return pa.RecordBatch.from_arrays(columns, schema=_ARROW)
+
+
 def shred(records: DataFrame, rec: str, fields: list[str], leaves_only: bool = False) -> DataFrame:
     """The nodes (see `NODES`) of the JSON objects in the columns `fields` of every row; `rec` is the row's number.
 
@@ -79,20 +132,17 @@ def shred(records: DataFrame, rec: str, fields: list[str], leaves_only: bool = F
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in _ARROW]
+            out = _Nodes()
             numbers = batch.column(0).to_pylist()
             for i, field in enumerate(fields):
-                for number, text in zip(numbers, batch.column(i + 1), strict=True):
-                    document = parse_object(text.as_py())
-                    if document is None:
-                        continue
-                    for node in label_nodes(document, leaves_only):
-                        for column, value in zip(out, (number, field, *node), strict=True):
-                            column.append(value)
-                    if len(out[0]) >= 20_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, _ARROW, strict=True)], schema=_ARROW)
-                        out = [[] for _ in _ARROW]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(out, _ARROW, strict=True)], schema=_ARROW)
+                for number, text in zip(numbers, batch.column(i + 1).to_pylist(), strict=True):
+                    document = parse_object(text)
+                    if document:
+                        out.add(number, field, document, leaves_only)
+                    if len(out.rec) >= 20_000:
+                        yield out.batch()
+                        out = _Nodes()
+            yield out.batch()
 
     return picked.mapInArrow(run, NODES)
 
