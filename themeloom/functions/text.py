@@ -30,7 +30,8 @@ def all_ngrams(tokens: Column, longest: int) -> Column:
 def shingles(text: Column, k: int) -> Column:
     """Substrings of `k` characters. They are joined from the text's characters, as looking for a place in a long text starts at its head each time."""
     last = F.length(text) - (k - 1)
-    of = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(c, i, F.lit(k)), ""))
+    run = lambda c, i: F.concat(*[F.get(c, i + j) for j in range(k)])
+    of = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(last - 1, F.lit(0))), lambda i: run(c, i))  # noqa: E731  the characters are bound, else each run would part the text anew
     return F.when(last >= 1, F.element_at(F.transform(F.array(F.split(text, "")), of), 1)).otherwise(F.array().cast("array<string>"))
 
 

@@ -13,6 +13,7 @@ from ..functions.lemmatizers import lemmatizer
 from ..operators import bags as B
 from ..operators import corpus as C
 from ..operators import vectors as V
+from ..session import spread
 from .catalog import query, table
 from .kb_queries import _UPPER, _title
 
@@ -21,6 +22,10 @@ _NEXT = "a as (select vec_id, list_transform(embedding, lambda x: x::double) as
 _DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda z: z[1] * z[2]))"
 
 
+def _documents(spark, sf_dir):
+    return spread(table(spark, sf_dir, "documents"))  # a small table in one file would keep one core busy only
+
+
 def _pairs(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("a"))
     return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
@@ -53,7 +58,7 @@ _SETS = "w as (select doc_id, list_distinct(list_filter(regexp_split_to_array(te
 
 
 def _sets(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(T.words(F.col("text"))).alias("a"))
+    w = _documents(spark, sf_dir).select("doc_id", F.array_distinct(T.words(F.col("text"))).alias("a"))
     return w.join(w.select((F.col("doc_id") - 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
 
 
@@ -105,7 +110,7 @@ _DOCWORDS = "w as (select doc_id, list_filter(regexp_split_to_array(text, '[ \\t
 
 
 def _doc_words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.words(F.col("text")).alias("t"))
+    return _documents(spark, sf_dir).select("doc_id", T.words(F.col("text")).alias("t"))
 
 
 @query(f"with {_DOCWORDS} select gram, count(*) as n from (select array_to_string(t[i : i + 1], ' ') as gram from (select t, unnest(range(1, len(t))) as i from w)) group by gram")
@@ -120,7 +125,7 @@ def allngrams_documents(spark, sf_dir):
 
 @query("select shingle, count(*) as n from (select text[i : i + 4] as shingle from (select text, unnest(range(1, length(text) - 3)) as i from documents)) group by shingle")
 def kshingles_documents(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(T.shingles(F.col("text"), 5)).alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    return _documents(spark, sf_dir).select(F.explode(T.shingles(F.col("text"), 5)).alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"with {_DOCWORDS} select doc_id, i - 1 as window_no, array_to_string(t[i : i + 9], ' ') as words from (select doc_id, t, unnest(range(1, greatest(len(t) - 9, 1) + 1)) as i from w)")
@@ -130,25 +135,25 @@ def sliding_windows_documents(spark, sf_dir):
 
 @query("select doc_id, md5(regexp_replace(text, '[!-/:-@\\[-`{-~]', '', 'g')) as digest from documents")
 def remove_punct(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(T.remove_punctuation(F.col("text")), "UTF-8")).alias("digest"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(F.encode(T.remove_punctuation(F.col("text")), "UTF-8")).alias("digest"))
 
 
 @query("select doc_id, case when starts_with(title, 'A') then title[2:] else title end as title, array_to_string((list_filter(regexp_split_to_array(text, '[ \\t\\r\\n\\f\\v]+'), lambda x: x <> ''))[1:8], ' ') as head, translate(text, chr(10), ' ') = text as one_line from documents")
 def prefix_and_head(spark, sf_dir):
     c = F.col
-    return table(spark, sf_dir, "documents").select("doc_id", T.remove_prefix(c("title"), "A").alias("title"), T.first_words(c("text"), 8).alias("head"), (T.newlines_to_spaces(c("text")) == c("text")).alias("one_line"))
+    return _documents(spark, sf_dir).select("doc_id", T.remove_prefix(c("title"), "A").alias("title"), T.first_words(c("text"), 8).alias("head"), (T.newlines_to_spaces(c("text")) == c("text")).alias("one_line"))
 
 
 @query("select doc_id, md5(replace(regexp_replace(' ' || replace(text, '.', '.' || chr(1)), '([^\\w\\pL\\pN\\pM_])([A-Z])\\.', '\\1\\2', 'g')[2:], chr(1), '')) as digest from documents")
 def acronym(spark, sf_dir):
     """Every text; in the SQL a mark behind each dot stands in for the look-behind that its dialect lacks."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(T.acronyms(F.col("text")), "UTF-8")).alias("digest"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(F.encode(T.acronyms(F.col("text")), "UTF-8")).alias("digest"))
 
 
 @query("select doc_id, md5(regexp_replace(text, '([''’])', ' \\1', 'g')) as digest, md5(replace(regexp_replace(text, '([!-/:-@\\[-`{-~])', ' \\1', 'g'), '’', ' ’')) as digest_all from documents")
 def apostrophe_space(spark, sf_dir):
     t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(T.space_apostrophes(t), "UTF-8")).alias("digest"), F.md5(F.encode(T.space_apostrophes(t, True), "UTF-8")).alias("digest_all"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(F.encode(T.space_apostrophes(t), "UTF-8")).alias("digest"), F.md5(F.encode(T.space_apostrophes(t, True), "UTF-8")).alias("digest_all"))
 
 
 _RU = "array_to_string(list_filter(regexp_split_to_array(replace(regexp_replace(text, '([!-/:-@\\[-`{-~])', ' \\1', 'g'), '’', ' ’'), '[ \\t\\r\\n\\f\\v]+'), lambda x: x <> ''), ' ')"
@@ -157,7 +162,7 @@ _RU = "array_to_string(list_filter(regexp_split_to_array(replace(regexp_replace(
 @query(f"select doc_id, md5(replace(regexp_replace(' ' || replace({_RU}, '.', '.' || chr(1)), '([^\\w\\pL\\pN\\pM_])([A-Z])\\.', '\\1\\2', 'g')[2:], chr(1), '')) as digest from documents")
 def lemmatized(spark, sf_dir):
     """Texts through the preprocessing of a language whose words are their own lemmas."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.encode(lemmatizer("ru")(F.col("text")), "UTF-8")).alias("digest"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(F.encode(lemmatizer("ru")(F.col("text")), "UTF-8")).alias("digest"))
 
 
 _W = "w as (select distinct unnest(regexp_extract_all(text, '[\\pL]+')) as word from documents)"
@@ -165,7 +170,7 @@ _W = "w as (select distinct unnest(regexp_extract_all(text, '[\\pL]+')) as word
 
 @query(f"with {_W} select word, case when lower(word) = word and upper(word) <> word then regexp_replace(regexp_replace(word, '[dt][ae]n$', ''), 'l[ae]r$', '') else word end as stem from w")
 def turkish_suffix(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+)"), F.lit(1))).alias("word")).distinct()
+    w = _documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+)"), F.lit(1))).alias("word")).distinct()
     return w.select("word", T.turkish_suffixes(F.col("word")).alias("stem"))
 
 
@@ -174,7 +179,7 @@ _PLAIN = "replace(word, 'ß', 's')"  # one letter in upper case there, two here:
 
 @query(f"with {_W} select word, case when {_UPPER.format(_PLAIN)} and instr(word, 'ß') = 0 then word when {_title(_PLAIN)} = {_PLAIN} and lower(word) <> word and word[1] <> 'ß' then {_title('lower(word[:3])')} else lower(word[:3]) end as lemma from w")
 def title_case_restore(spark, sf_dir):
-    w = table(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+)"), F.lit(1))).alias("word")).distinct()
+    w = _documents(spark, sf_dir).select(F.explode(F.regexp_extract_all("text", F.lit(r"([\p{L}]+)"), F.lit(1))).alias("word")).distinct()
     return w.select("word", T.restore_case(F.lower(F.substring("word", 1, 3)), F.col("word")).alias("lemma"))
 
 
