@@ -114,3 +114,26 @@ def test_streams(spark, world, tmp_path):
     q = entity_stream.windowed_counts(found, "at").writeStream.format("memory").queryName("counts").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp2")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {r.key: r.n for r in spark.table("counts").collect()} == {"Alpha Town": 1, "Beta Town": 1, "Gamma Lake": 1, "Delta Lake": 1}
+
+
+def test_workbooks_come_back(spark, tmp_path, monkeypatch):
+    import zipfile
+
+    from themeloom.sources import workbook
+
+    df = spark.createDataFrame([(1, "a <b> & \"c\" \x01é", 0.5, True), (2, None, None, False), (3, " two\nlines ", 1e-12, None)], "`No.` int, text string, x double, ok boolean")
+    path = str(tmp_path / "r.xlsx")
+    workbook.write_workbook(df, path, "A & B")
+    back = workbook.read_workbook(spark, path)
+    assert back.columns == df.columns
+    assert [tuple(r) for r in back.orderBy("`No.`").collect()] == [("1", "a <b> & \"c\" é", "0.5", "true"), ("2", None, None, "false"), ("3", " two\nlines ", "1e-12", None)]
+    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    with zipfile.ZipFile(path) as old, zipfile.ZipFile(tmp_path / "s.xlsx", "w") as new:  # as other programs write it: shared texts, a gap
+        for name in old.namelist():
+            new.writestr(name, old.read(name) if "sheet1" not in name else f'<worksheet {main}><sheetData><row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="s"><v>1</v></c></row><row r="3"><c r="C3"><f>1+1</f><v>2</v></c></row></sheetData></worksheet>')
+        new.writestr("xl/sharedStrings.xml", f"<sst {main}><si><t>a</t></si><si><r><t>b</t></r><r><t>c</t></r></si></sst>")
+    assert [r.asDict() for r in workbook.read_workbook(spark, str(tmp_path / "s.xlsx")).collect()] == [{"a": None, "column 2": None, "bc": "2"}]
+    monkeypatch.setattr(workbook, "MOST_ROWS", 2)
+    with pytest.raises(ValueError):
+        workbook.write_workbook(df, path)
+    assert [workbook.column_number(workbook.column_name(i) + "7") for i in (0, 25, 26, 701, 702)] == [0, 25, 26, 701, 702]

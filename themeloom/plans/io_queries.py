@@ -14,7 +14,7 @@ from ..operators import reports as R
 from ..operators import topics as T
 from ..operators.states import latest_state
 from ..session import checkpoint_dir, materialise
-from ..sources import dump, files
+from ..sources import dump, files, workbook
 from . import sql as Q
 from . import topic_queries as TQ
 from .catalog import query, table
@@ -273,23 +273,33 @@ def model_coherence(spark, sf_dir):
 _SHEET = f"with {TQ._NAMED}"
 
 
+def _sheet(spark, sf_dir) -> DataFrame:
+    w = R.wide(TQ._named(spark, sf_dir), 5, 1e-4)
+    cells = [c for i in range(1, 6) for c in (F.concat(F.lit("Q"), f"id_{i}").alias(f"Id {i}"), F.col(f"word_{i}").alias(f"Word {i}"), F.col(f"score_{i}").alias(f"Score {i}"))]
+    return w.select(F.col("topic").alias("Topic No."), F.concat(F.lit("topic "), "topic").alias("Topic Label"), *cells)
+
+
 @query(f"{_SHEET} select topic, place, 'Q' || num as id, label as word, round(score, 6) as score from tl where place <= 5 and score > 1e-4")
 def io_sheet(spark, sf_dir):
     """A sheet of topics, written and read."""
     path = scratch(spark)
-    w = R.wide(TQ._named(spark, sf_dir), 5, 1e-4)
-    cells = [c for i in range(1, 6) for c in (F.concat(F.lit("Q"), f"id_{i}").alias(f"Id {i}"), F.col(f"word_{i}").alias(f"Word {i}"), F.col(f"score_{i}").alias(f"Score {i}"))]
-    files.write_sheet(w.select(F.col("topic").alias("Topic No."), F.concat(F.lit("topic "), "topic").alias("Topic Label"), *cells), path)
+    files.write_sheet(_sheet(spark, sf_dir), path)
+    return files.read_topics_sheet(spark, path).select("topic", "place", "id", "word", F.round("score", 6).alias("score"))
+
+
+@query(f"{_SHEET} select topic, place, 'Q' || num as id, label as word, round(score, 6) as score from tl where place <= 5 and score > 1e-4")
+def io_workbook(spark, sf_dir):
+    """The same sheet as a workbook."""
+    path = f"{scratch(spark)}/topics.xlsx"
+    workbook.write_workbook(_sheet(spark, sf_dir), path)
     return files.read_topics_sheet(spark, path).select("topic", "place", "id", "word", F.round("score", 6).alias("score"))
 
 
 @query(f"{_SHEET}, s as (select topic, num, place, score from tl where place <= 5 and score > 1e-4) select topic, place, num, round(score / sum(score) over (partition by topic), 6) as score from s")
 def model_from_sheet(spark, sf_dir):
     """A model made from a sheet: scores add up to 1 per topic."""
-    path = scratch(spark)
-    w = R.wide(TQ._named(spark, sf_dir), 5, 1e-4)
-    cells = [c for i in range(1, 6) for c in (F.concat(F.lit("Q"), f"id_{i}").alias(f"Id {i}"), F.col(f"word_{i}").alias(f"Word {i}"), F.col(f"score_{i}").alias(f"Score {i}"))]
-    files.write_sheet(w.select(F.col("topic").alias("Topic No."), F.concat(F.lit("topic "), "topic").alias("Topic Label"), *cells), path)
+    path = f"{scratch(spark)}/topics.xlsx"
+    workbook.write_workbook(_sheet(spark, sf_dir), path)
     model = TopicModel.from_sheet(spark, path, TQ._entity_vectors(spark, sf_dir), TQ.DIMS)
     return model.words.select("topic", "place", "num", F.round("score", 6).alias("score"))
 

@@ -14,6 +14,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 from ..session import materialise
+from .workbook import read_workbook
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -148,15 +149,16 @@ def load_model(spark: SparkSession, path: str) -> tuple[DataFrame, list[list[flo
 
 
 def read_topics_sheet(spark: SparkSession, path: str, min_score: float = 1e-4, min_words: int = 1) -> DataFrame:
-    """``(topic, label, place, id, word, score)`` of a sheet, saved as CSV, with ``Topic No.``, ``Label`` or ``Topic Label``, perhaps ``Keep``, and ``Id i``, ``Word i``, ``Score i`` columns.
+    """``(topic, label, place, id, word, score)`` of a sheet, a workbook or saved as CSV, with ``Topic No.``, ``Label`` or ``Topic Label``, perhaps ``Keep``, and ``Id i``, ``Word i``, ``Score i`` columns.
 
     Headers count in title case. Rows without a number or label, or with an empty or false ``Keep``, are left out; so are words up to `min_score` and topics
     with fewer than `min_words` of them. A missing score counts as 1 / place.
     """
-    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    raw = read_workbook(spark, path) if path.endswith(".xlsx") else spark.read.option("header", True).option("escape", '"').csv(path)
     names = {c: " ".join(w[:1].upper() + w[1:].lower() for w in c.split()) for c in raw.columns}
     names = {c: "Topic Label" if n == "Label" else n for c, n in names.items()}
     df = raw.select(*[F.col(f"`{c}`").alias(n.replace(".", "")) for c, n in names.items()])
+    df = df.withColumn("Topic No", F.regexp_replace("Topic No", r"\\.0$", "")) if "Topic No" in df.columns else df
     kept = df.where("`Topic No` is not null and `Topic Label` is not null")
     if "Keep" in df.columns:
         kept = kept.where(~F.lower(F.coalesce("Keep", F.lit("false"))).isin("false", "0", ""))
