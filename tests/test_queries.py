@@ -109,5 +109,5 @@ def test_every_query_takes_empty_tables(spark, sf, tmp_path):
 
     for file in Path(sf).glob("*.parquet"):
         pq.write_table(pq.read_table(file).slice(0, 0), tmp_path / file.name)
-    for name in ("lexicon_patch_remove", "entity_mentions", "disambiguate_extend", "kmeans_lloyd", "kmeans_ml", "lda_baseline", "topics_wide", "model_statistics", "corpus_report", "corpus_split", "corpus_filter_concat", "page_text_entities", "p1_found", "p7_paths"):
+    for name in ("lexicon_patch_remove", "entity_mentions", "disambiguate_extend", "kmeans_lloyd", "kmeans_ml", "lda_baseline", "topics_wide", "model_statistics", "corpus_report", "corpus_split", "corpus_filter_concat", "page_text_entities", "p1_found", "p1_nodes", "p7_paths", "p7_cycles", "io_json_value", "io_ranked", "io_aligned", "io_workbook", "model_top_topics", "model_from_sheet", "model_matcher", "weights_matrix", "lemmatized"):
         assert QUERIES[name](spark, str(tmp_path)).count() <= 1, name

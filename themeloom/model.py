@@ -180,7 +180,7 @@ class TopicModel:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> TopicModel:
         words, centroids, parameters = files.load_model(spark, path)
-        return cls(words, np.array(centroids), {int(k): v for k, v in parameters["labels"].items()})
+        return cls(words, np.array(centroids) if centroids else np.empty((0, 0)), {int(k): v for k, v in parameters["labels"].items()})
 
     @classmethod
     def from_sheet(cls, spark: SparkSession, path: str, vectors: DataFrame, dims: int, min_score: float = 1e-4, min_words: int = 1) -> TopicModel:
@@ -195,5 +195,7 @@ class TopicModel:
         if means.keys() != names.keys():
             raise ValueError("topics without a vector: " + ", ".join(str(t) for t in sorted(names.keys() - means.keys())))
         order = sorted(names)
+        if not order:
+            return cls(words, np.empty((0, 0)))
         place = F.create_map(*[F.lit(x) for i, t in enumerate(order) for x in (t, i)])
         return cls(words.withColumn("topic", place[F.col("topic")]), np.array([means[t] for t in order]), {i: names[t] for i, t in enumerate(order)})
