@@ -35,6 +35,14 @@ def farthest(bounds: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarra
     return np.where((i >= 0) & (found > low), found, -1)
 
 
+def merged(n: int, *places: np.ndarray) -> np.ndarray:
+    """The places up to n that are in any of the arrays, in order."""
+    mask = np.zeros(n + 1, bool)
+    for x in places:
+        mask[x] = True
+    return np.flatnonzero(mask)
+
+
 class Layout:
     """Texts in one buffer, with a byte behind each that is neither a break nor part of a character."""
 
@@ -69,8 +77,7 @@ def reached(parts: list[bytes], last: list[bool], level: int, limit: int) -> np.
     """How far the successors of a level lead in each text, `limit` tokens at most at a time. Boundaries are before and behind every break, and the end of a part that is its text's last."""
     of = Layout(parts)
     breaks = breaks_of(of.raw, level)
-    bounds = np.unique(np.concatenate([of.base, breaks, breaks + 1, of.end[np.array(last, bool)]]))
-    nodes = np.unique(np.concatenate([bounds, of.base]))
+    nodes = bounds = merged(len(of.raw), of.base, breaks, breaks + 1, of.end[np.array(last, bool)])
     to = farthest(bounds, nodes, np.minimum(nodes + limit, of.end[of.text_of(nodes)]))
     jump = np.searchsorted(nodes, np.where(to < 0, nodes, to))
     return nodes[doubled(jump, np.searchsorted(nodes, of.base))] - of.base
@@ -79,11 +86,11 @@ def reached(parts: list[bytes], last: list[bool], level: int, limit: int) -> np.
 def _grouped(texts: list[bytes], at: dict[int, int]) -> Iterator[tuple[list[int], list[bytes], list[bool]]]:
     """The next windows of the texts in `at` (text -> place), some `WINDOW` bytes together at a time, and whether each is its text's last."""
     group: list[int] = []
-    size = 0
+    size, final = 0, max(at)
     for t in sorted(at):
         group.append(t)
         size += min(WINDOW, len(texts[t]) - at[t])
-        if size >= WINDOW or t == max(at):
+        if size >= WINDOW or t == final:
             yield group, [texts[x][at[x] : at[x] + WINDOW] for x in group], [at[x] + WINDOW >= len(texts[x]) for x in group]
             group, size = [], 0
 
@@ -147,12 +154,12 @@ def cut_parts(parts: list[bytes], leads: list[int], limit: int, overlap: int) ->
     chars = np.flatnonzero((raw & 0xC0) != 0x80)
     roots = of.base + np.array(leads, np.int64)
     # nodes: natural boundaries, and those between characters where a stretch is too long for natural ones alone
-    edges = np.unique(np.concatenate([of.base, spaces, of.end]))
+    edges = merged(n, of.base, spaces, of.end)
     wide = np.flatnonzero(np.diff(edges) > limit - overlap - 4)
     low = np.searchsorted(chars, edges[wide])
     high = np.searchsorted(chars, np.minimum(edges[wide + 1] + limit, of.end[of.text_of(edges[wide])]))
     open_ = np.cumsum(np.bincount(low, minlength=len(chars) + 1) - np.bincount(high, minlength=len(chars) + 1))[:-1] > 0
-    nodes = np.unique(np.concatenate([roots, of.base, spaces, chars[open_], of.end]))
+    nodes = merged(n, roots, of.base, spaces, chars[open_], of.end)
     while True:
         text = of.text_of(nodes)
         back = np.maximum(nodes - overlap, of.base[text])
@@ -165,12 +172,14 @@ def cut_parts(parts: list[bytes], leads: list[int], limit: int, overlap: int) ->
         if not missing.any():
             break
         odd = np.isin(of.text_of(chars), np.unique(text[missing]))  # a cut between characters that is no node yet: all characters of such texts
-        nodes = np.unique(np.concatenate([nodes, chars[odd]]))
+        nodes = merged(n, nodes, chars[odd])
     cuts = greedy_cuts(index, np.searchsorted(nodes, roots))
     at, mine = nodes[cuts], text[cuts]
     goes_on = np.flatnonzero(mine[:-1] == mine[1:])
     starts, stops, part = (at - shared[cuts])[goes_on], at[goes_on + 1], mine[goes_on]
-    level = np.where(stops == of.end[part], 3, np.where(np.isin(stops, lines), 0, np.where(np.isin(stops, spaces), 1, 2)))
+    natural = np.full(n + 1, 2, np.int8)
+    natural[spaces], natural[lines] = 1, 0
+    level = np.where(stops == of.end[part], 3, natural[stops])
     return part, starts - of.base[part], stops - of.base[part], level
 
 
