@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,13 +32,20 @@ _MAX_PIVOTS = 4096  # the bound on the sample that the driver holds, 1 MB of 64
 
 def unit_vectors(records: DataFrame, rec: str, vector: str, dims: int) -> DataFrame:
     """``(rec, vec)``, vec being array<float> of length 1. Vectors that are null, of another size, not finite throughout or all zero are left out."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    given = records.select(F.col(rec).cast("bigint").alias("rec"), v.alias("v")).where((F.size("v") == dims) & F.col("rec").isNotNull())
-    finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    top = F.array_max(F.transform("v", F.abs))
-    scaled = given.where(finite & (top > 0)).select("rec", F.transform("v", lambda x: x / top).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    return scaled.select("rec", "v", norm.alias("norm")).select("rec", F.transform("v", lambda x: (x / F.col("norm") + 0.0).cast("float")).alias("vec"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sized = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), dims), False))
+            x = sized.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)  # null becomes NaN
+            top = np.abs(x).max(axis=1, initial=0)
+            fit = np.isfinite(x).all(axis=1) & (top > 0)
+            x = x[fit] / top[fit][:, None]
+            x = (x / np.sqrt((x * x).sum(axis=1))[:, None] + 0.0).astype(np.float32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dims, dtype=np.int32)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([sized.column(0).filter(pa.array(fit)), lists], names=["rec", "vec"])
+
+    given = records.select(F.col(rec).cast("bigint").alias("rec"), F.col(vector).cast("array<double>").alias("v")).where("rec is not null")
+    return given.mapInArrow(run, "rec bigint, vec array<float>")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -94,7 +102,7 @@ def _split(cells: DataFrame, means: DataFrame, dims: int, probes: int, seed: int
                 yield pa.RecordBatch.from_arrays([pa.array(to.ravel()), *(taken.column(i) for i in (1, 2, 3))], names=["cell", "id", "weight", "vec"])
 
     rows = cells.join(means, "cell").select("cell", "id", "weight", "vec", "mean")
-    return rows.mapInArrow(run, "cell bigint, id bigint, weight bigint, vec array<float>").dropDuplicates(["cell", "id"])
+    return rows.mapInArrow(run, "cell bigint, id bigint, weight bigint, vec array<float>")
 
 
 def _blocked(points: DataFrame, dims: int, cell_rows: int, probes: int, seed: int) -> DataFrame:
