@@ -151,17 +151,21 @@ def possible(text: str, code: str, lengths: list[int], whole: ValueMap, first: V
     plural = [not unparted and j + 1 < n and len(x) > 1 and x[-1] in "sS" and x.isalnum() for j, x in enumerate(parts)]
     heads = np.array([hashed(code, x) for x in parts] + [hashed(code, x[:-1]) for x in parts], np.uint64)
     may = first.may_have(heads)
-    found: list[tuple[int, int, str]] = []
-    for i in np.flatnonzero(may[:n] | (may[n:] & np.array(plural, bool))).tolist():
-        for k in lengths:
-            j = i + k - 1
-            if j >= n:
-                break
-            found.append((starts[i], starts[j + 1], text[starts[i] : starts[j + 1]]))
-            if plural[j]:  # a plural ends the match
-                found.append((starts[i], starts[j + 1] - 1, text[starts[i] : starts[j + 1] - 1]))
-    kept = whole.may_have(np.array([hashed(code, x[2]) for x in found], np.uint64))
-    return [x for x, k in zip(found, kept.tolist(), strict=True) if k]
+    kept: list[tuple[int, int, str]] = []
+    heads_at = np.flatnonzero(may[:n] | (may[n:] & np.array(plural, bool)))
+    for block in range(0, len(heads_at), 4096):  # bounded, however long the text
+        found: list[tuple[int, int, str]] = []
+        for i in heads_at[block : block + 4096].tolist():
+            for k in lengths:
+                j = i + k - 1
+                if j >= n:
+                    break
+                found.append((starts[i], starts[j + 1], text[starts[i] : starts[j + 1]]))
+                if plural[j]:  # a plural ends the match
+                    found.append((starts[i], starts[j + 1] - 1, text[starts[i] : starts[j + 1] - 1]))
+        may_be = whole.may_have(np.array([hashed(code, x[2]) for x in found], np.uint64))
+        kept += [x for x, k in zip(found, may_be.tolist(), strict=True) if k]
+    return kept
 
 
 def _by_join(docs: DataFrame, keys: DataFrame, known: set[str], fallback: str, unparted: tuple[str, ...]) -> DataFrame:
