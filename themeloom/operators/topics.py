@@ -55,13 +55,17 @@ def lloyd(vectors: DataFrame, start: np.ndarray, iterations: int) -> np.ndarray:
     centroids = np.array(start, float)
     if not len(centroids):
         return centroids
-    dims = centroids.shape[1]
+
+    def together(parts: pa.Table) -> pa.Table:
+        n = parts.column("n").to_numpy().sum()
+        return pa.table({"topic": parts.column("topic")[:1], "n": pa.array([n]), "total": pa.array([_matrix(parts.column("total").combine_chunks()).sum(axis=0).tolist()])})
+
     for _ in range(iterations):
-        part = _sums(vectors, centroids).groupBy("topic").agg(F.sum("n").alias("n"), *[F.sum(F.col("total")[i]).alias(f"s{i}") for i in range(dims)])
+        sums = _sums(vectors, centroids).groupBy("topic").applyInArrow(together, "topic int, n bigint, total array<double>")  # a row per task and topic
         before = centroids.copy()
-        for r in part.collect():  # k rows
+        for r in sums.collect():  # k rows
             if r.n:
-                centroids[r.topic] = [r[f"s{i}"] / r.n for i in range(dims)]
+                centroids[r.topic] = np.array(r.total) / r.n
         if np.allclose(centroids, before, rtol=0, atol=1e-12):  # sums differ by their order
             break
     return centroids
