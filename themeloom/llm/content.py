@@ -139,11 +139,18 @@ def is_sentence(line: str) -> bool:
     return len(line.split()) >= 4 and bool(_END.search(line)) and not line.endswith(("...", "…"))
 
 
+def masked_word(w: str) -> str:
+    """9 for numbers and codes, X for a word with a capital, else the word with its digits masked."""
+    if w.isalpha() or (w.isascii() and not _DIGITS.search(w)):
+        return "X" if w[0].isupper() else w
+    return "9" if any(c.isdigit() for c in w) and not any(c.islower() for c in w) else "X" if w[0].isupper() else _DIGITS.sub("9", w)
+
+
 def line_keys(line: str, sentence: bool) -> list[str]:
     """What a line may share with lines of other pages. Running text has only its text and shape; other lines also the words and marks around what varies."""
     words = line.split()
-    words = [_DOMAIN.sub("U", w) for w in words]
-    masked = ["9" if any(c.isdigit() for c in w) and not any(c.islower() for c in w) else "X" if w[0].isupper() else _DIGITS.sub("9", w) for w in words]
+    words = [_DOMAIN.sub("U", w) if "." in w else w for w in words]
+    masked = [masked_word(w) for w in words]
     shape = [w for i, w in enumerate(masked) if w != "X" or not i or masked[i - 1] != "X"]
     keys = ["t" + line]
     if shape != ["X"]:
