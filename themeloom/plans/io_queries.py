@@ -106,13 +106,12 @@ def io_json_lines_damaged(spark, sf_dir):
     return files.read_jsonl(spark, path, _SUMMARY)
 
 
-@query("select rec_no, id, enwiki, labels from wikidata_summary")
+@query("select alias, id, lang, reason, count(*) as n from labels_patch group by all")
 def io_json_value(spark, sf_dir):
-    """A file that is one JSON value: an array of the records of each part of the table."""
+    """A file that is one JSON value, as configurations are: the patches, a table of fixed size, as an array."""
     path = scratch(spark)
-    rows = table(spark, sf_dir, "wikidata_summary").select((F.col("rec_no") % 16).alias("file"), F.struct("rec_no", "id", "enwiki", "labels").alias("r"))
-    rows.groupBy("file").agg(F.to_json(F.collect_list("r")).alias("value")).write.partitionBy("file").text(path)
-    return files.read_json(spark, path, _SUMMARY).select("rec_no", "id", "enwiki", "labels")
+    table(spark, sf_dir, "labels_patch").agg(F.to_json(F.collect_list(F.struct("alias", "id", "lang", "reason"))).alias("value")).write.text(path)
+    return files.read_json(spark, path, "alias string, id string, lang string, reason string").groupBy("alias", "id", "lang", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("select rec_no, id, enwiki, labels from wikidata_summary")
