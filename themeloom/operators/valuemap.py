@@ -16,6 +16,15 @@ class ValueMap:
     bits: int
     packed: np.ndarray
 
+    @classmethod
+    def of(cls, values: np.ndarray, most_bits: int = 27) -> ValueMap:
+        """The map of values that are at hand."""
+        bits = min(most_bits, max(16, (64 * len(values)).bit_length()))
+        packed = np.zeros(1 << (bits - 6), np.uint64)
+        for at in (values >> np.uint64(64 - bits), values & np.uint64((1 << bits) - 1)):
+            np.bitwise_or.at(packed, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        return cls(bits, packed)
+
     def may_have(self, values: np.ndarray) -> np.ndarray:
         """False where a value surely isn't in the map."""
         low = values & np.uint64((1 << self.bits) - 1)
