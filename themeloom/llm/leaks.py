@@ -435,6 +435,16 @@ def _verified(candidates: DataFrame, words: int) -> DataFrame:
     return candidates.select("row", "doc_id", "item", "t", "part", "borders", "spots").mapInArrow(run, "row bigint, doc_id bigint, item bigint")
 
 
+def _found_by_join(docs: DataFrame, classes: list[SizeClass], known: ValueMap, signed: DataFrame, texts: DataFrame, words: int, overlap: int) -> DataFrame:
+    """``(row, doc_id, item)`` of the cases, the parts of the documents that the map doesn't rule out joined with the runs by signature value."""
+    runs = signed.where("value is not null")
+    reach = signed.where("value is null").agg(F.max("stop")).first()[0]
+    parts = materialise(_surrounded(docs, classes, known, reach, overlap)).withColumn("part_no", F.monotonically_increasing_id())
+    spots = parts.select("part_no", F.explode(F.arrays_zip("values", "places")).alias("s")).select("part_no", F.col("s.values").alias("value"), F.col("s.places").alias("p"))
+    met = spots.join(runs.select("value", "item", F.col("place").alias("q")).distinct(), "value").groupBy("part_no", "item").agg(F.collect_set(F.struct("p", "q")).alias("spots"))  # of one part
+    return _verified(parts.select("part_no", "row", "doc_id", "part", "borders").join(met, "part_no").join(texts, "item"), words)
+
+
 def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, item_text: str, words: int = 15, most_bits: int = 27, held_bytes: int = 4_000_000) -> DataFrame:
     """``(doc_id, item_id)`` for each document and each item of which it holds at least `words` consecutive words, one of them replaced at most by one other word.
 
@@ -446,26 +456,24 @@ def leaks(docs: DataFrame, doc: str, text: str, items: DataFrame, item: str, ite
     texts = materialise(given.select("t").distinct().withColumn("item", F.monotonically_increasing_id()))
     signed = materialise(_signatures(texts, words))
     runs = signed.where("value is not null")
-    classes = [SizeClass(r.k, r.least) for r in runs.select("k", "least").distinct().collect()]  # two for each doubling of the size
-    if not classes:
-        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
-    known = value_map(runs, "value", most_bits)
-    overlap = runs.agg(F.max(F.col("stop") - F.col("start"))).first()[0]  # the longest run
     picked = spread(docs).select(F.monotonically_increasing_id().alias("row"), F.col(doc).cast("bigint").alias("doc_id"), F.col(text).cast("string").alias("t")).where(F.length("t") > 0)
-    if texts.agg(F.sum(F.octet_length("t"))).first()[0] <= held_bytes:
+    if (texts.agg(F.sum(F.octet_length("t"))).first()[0] or 0) <= held_bytes:
         held = [item_of(r.item, r.t) for r in texts.collect()]
         at = {x.number: i for i, x in enumerate(held)}
-        rows = runs.select("value", "item", "place", "start", "stop", "hash").toArrow()
-        columns = [rows.column(c).to_numpy().astype(np.int64) for c in rows.column_names]
-        columns[0], columns[5] = columns[0].view(np.uint64), columns[5].view(np.uint64)
-        columns[1] = np.array([at[x] for x in columns[1].tolist()], np.int64)
-        order = np.argsort(columns[0], kind="stable")
-        found = materialise(_found_at_once(picked, classes, known, Index(tuple(c[order] for c in columns), held), words, overlap))
+        rows = runs.toArrow()
+        value, item_, place, k, least, start, stop, hashed = (rows.column(c).to_numpy().astype(np.int64) for c in rows.column_names)
+        classes = [SizeClass(*x) for x in sorted(set(zip(k.tolist(), least.tolist(), strict=True)))]
+        overlap = int((stop - start).max(initial=0))
+        order = np.argsort(value.view(np.uint64), kind="stable")
+        columns = (value.view(np.uint64), np.array([at[x] for x in item_.tolist()], np.int64), place, start, stop, hashed.view(np.uint64))
+        known = ValueMap.of(value.view(np.uint64), most_bits)
+        found = _found_at_once(picked, classes, known, Index(tuple(c[order] for c in columns), held), words, overlap) if classes else None
     else:
-        reach = signed.where("value is null").agg(F.max("stop")).first()[0]
-        parts = materialise(_surrounded(picked, classes, known, reach, overlap)).withColumn("part_no", F.monotonically_increasing_id())
-        spots = parts.select("part_no", F.explode(F.arrays_zip("values", "places")).alias("s")).select("part_no", F.col("s.values").alias("value"), F.col("s.places").alias("p"))
-        met = spots.join(runs.select("value", "item", F.col("place").alias("q")).distinct(), "value").groupBy("part_no", "item").agg(F.collect_set(F.struct("p", "q")).alias("spots"))  # of one part
-        found = _verified(parts.select("part_no", "row", "doc_id", "part", "borders").join(met, "part_no").join(texts, "item"), words)
+        classes = [SizeClass(r.k, r.least) for r in runs.select("k", "least").distinct().collect()]  # two for each doubling of the size
+        known = value_map(runs, "value", most_bits)
+        overlap = runs.agg(F.max(F.col("stop") - F.col("start"))).first()[0]  # the longest run
+        found = _found_by_join(picked, classes, known, signed, texts, words, overlap) if classes else None
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint")
     named = found.distinct().join(texts, "item").join(given, "t")
     return named.select("row", "doc_id", F.col("number").alias("item_id")).distinct().select("doc_id", "item_id")
