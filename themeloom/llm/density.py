@@ -189,16 +189,13 @@ def cluster_density(points: DataFrame, threshold: float, block_rows: int) -> Dat
 
 
 def follow(pointers: DataFrame) -> DataFrame:
-    """``(id, peak)`` from ``(id, to)``, `to` null for peaks, by pointer doubling; resolved rows leave the joins."""
-    done = materialise(pointers.where("to is null").select("id", F.col("id").alias("peak")))
-    open_ = materialise(pointers.where("to is not null").select("id", "to"))
-    while open_.limit(1).count():
-        known = open_.join(done.select(F.col("id").alias("k"), "peak"), F.col("to") == F.col("k"), "left")
-        ahead = open_.select(F.col("id").alias("k2"), F.col("to").alias("to2"))
-        step = materialise(known.join(ahead, F.when(F.col("peak").isNull(), F.col("to")).otherwise(-F.col("id") - 1) == F.col("k2"), "left").select("id", "peak", F.coalesce("to2", "to").alias("to")))
-        done = materialise(done.union(step.where("peak is not null").select("id", "peak")))
-        open_ = materialise(step.where("peak is null").select("id", "to"))
-    return done
+    """``(id, peak)`` from ``(id, to)``, `to` null for peaks, by pointer doubling; resolved rows leave the joins' larger side."""
+    at = materialise(pointers.select("id", F.coalesce("to", "id").alias("at"), F.col("to").isNull().alias("done")))
+    while not at.where("not done").isEmpty():
+        ahead = at.select(F.col("id").alias("k"), F.col("at").alias("peak"), F.col("done").alias("ended"))
+        moved = at.where("not done").select("id", "at").join(ahead, F.col("at") == F.col("k")).select("id", F.col("peak").alias("at"), F.col("ended").alias("done"))
+        at = materialise(at.where("done").unionByName(moved))
+    return at.select("id", F.col("at").alias("peak"))
 
 
 def _pass(points: DataFrame, n: int, dims: int, threshold: float, probes: int, cell_rows: int, seed: int) -> DataFrame:
@@ -223,7 +220,7 @@ def _pass(points: DataFrame, n: int, dims: int, threshold: float, probes: int, c
     dense = points.select("id", "vec").join(rho, F.col("id") == F.col("i")).select(F.explode("met").alias("cell"), "id", "rho", "vec")
     best = dense.groupBy("cell").applyInArrow(pointers, "id bigint, to bigint, cosine double").groupBy("id").agg(F.max(F.struct("cosine", (-F.col("to")).alias("to"))).alias("best"))
     links = points.select("id").join(best.select(F.col("id").alias("i"), (-F.col("best.to")).alias("to")), F.col("id") == F.col("i"), "left").select("id", "to")
-    return follow(materialise(links))
+    return follow(links)
 
 
 def _joined_exactly(points: DataFrame, n: int, threshold: float, block_rows: int) -> DataFrame:
