@@ -78,6 +78,20 @@ def test_topics_are_trained_to_the_end(spark, sf):
     assert all(np.allclose(c[k], x[label == k].mean(axis=0), atol=1e-9) for k in set(label.tolist()))  # one more round moves nothing
 
 
+def test_full_queries_stand_on_the_full_topics(spark, sf):
+    import numpy as np
+
+    from themeloom.plans import topic_queries
+
+    c = np.array([r.vec for r in QUERIES["kmeans_lloyd_full"](spark, sf).orderBy("topic").collect()])
+    vectors = topic_queries._entity_vectors(spark, sf)
+    docs = {r.doc_id: np.array(r.vec) for r in topic_queries._doc_vectors(topic_queries._freqs(topic_queries._tokens(spark, sf)), vectors).collect()}
+    got = {r.doc_id: r.topic for r in QUERIES["doc_top_topic_full"](spark, sf).collect()}
+    assert set(docs) <= set(got) and all(((docs[d] - c[t]) ** 2).sum() <= ((docs[d] - c) ** 2).sum(axis=1).min() + 1e-9 if d in docs else t == -1 for d, t in got.items())
+    assert len(c) > topic_queries.TOPICS and QUERIES["topics_json_full"](spark, sf).count() == len(c)
+    assert QUERIES["topics_json"](spark, sf).count() == topic_queries.TOPICS  # nothing stays set
+
+
 def test_lda_knows_every_entity(spark, sf, monkeypatch):
     from pyspark.ml.feature import CountVectorizer
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from contextvars import ContextVar
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,19 @@ from .kb_queries import LANGS, LEXICON_SQL, good_knowledge, knowledge, lexicon_o
 DIMS, TOPICS, ROUNDS, WORDS, THRESHOLD = 64, 8, 3, 50, 0.5
 REFERENCE_TOPICS, REFERENCE_ROUNDS, REFERENCE_WORDS, REFERENCE_SWEEPS = 100, 300, 500, 1000  # what the reference trains with; sweeps are LDA's
 
+
+@dataclass(frozen=True)
+class Training:
+    """How the topics are trained that a query stands on."""
+
+    topics: int
+    rounds: int
+    words: int
+
+
+SMALL = Training(TOPICS, ROUNDS, WORDS)  # what unrolled SQL can follow
+_TRAINING: ContextVar[Training] = ContextVar("training", default=SMALL)
+
 # --- mentions
 
 _RUNS = "'[\\pL\\pN]+|[^\\pL\\pN]'"
@@ -196,7 +212,8 @@ _PROB = f"dd as (select dv.doc as doc_id, c.topic, {_D2.format('dv.vec', 'c.vec'
 
 def _model(spark, sf_dir):
     vectors = materialise(_entity_vectors(spark, sf_dir))
-    return vectors, T.lloyd(vectors, T.start_vectors(vectors, TOPICS), ROUNDS)
+    how = _TRAINING.get()
+    return vectors, T.lloyd(vectors, T.start_vectors(vectors, how.topics), how.rounds)
 
 
 @query(f"with {Q.ENTITY_VECTORS}, {_TRAIN} select topic, i::integer as dim, round(vec[i], 6) as value from {_C}, (select unnest(range(1, 65)) as i)")
@@ -277,7 +294,7 @@ def _refreshed(spark, sf_dir, n):
     vectors, c, freqs, docs = _doc_topics(spark, sf_dir, n)
     total = freqs.groupBy("doc_id").agg(F.sum("n").alias("t"))
     freq = freqs.join(total, "doc_id").select("doc_id", "num", (F.col("n") / F.col("t")).alias("freq"))
-    return T.refreshed_words(freq, docs, T.topic_words(vectors, c, WORDS), n, 100)
+    return T.refreshed_words(freq, docs, T.topic_words(vectors, c, _TRAINING.get().words), n, 100)
 
 
 @query(f"with {_DVEC}, {_TRAIN}, {_PROB}, {_WORDSQL}, {_refresh_sql(1)}")
@@ -295,7 +312,7 @@ def topic_word_update_soft(spark, sf_dir):
 
 def _words(spark, sf_dir):
     vectors, c = _model(spark, sf_dir)
-    return materialise(T.topic_words(vectors, c, WORDS))
+    return materialise(T.topic_words(vectors, c, _TRAINING.get().words))
 
 
 @query(f"with {Q.ENTITY_VECTORS}, {_TRAIN}, {_WORDSQL} select count(distinct num)::double / count(*) as diversity from tw where place <= 25")
@@ -382,6 +399,28 @@ def weights_matrix(spark, sf_dir):
     return R.weights(_words(spark, sf_dir)).select("topic", "num", F.round("weight", 6).alias("weight"))
 
 
+# --- the same on topics trained as the reference trains them
+
+
+def _trained_fully(f) -> None:
+    """Registers the query `f` once more, on the reference's number of topics, of words, and of rounds at most; without SQL."""
+
+    def run(spark, sf_dir):
+        before = _TRAINING.set(Training(REFERENCE_TOPICS, REFERENCE_ROUNDS, REFERENCE_WORDS))
+        try:
+            return f(spark, sf_dir)  # the model is trained while the query is built
+        finally:
+            _TRAINING.reset(before)
+
+    run.__name__ = f"{f.__name__}_full"
+    run.__doc__ = f"`{f.__name__}` on topics of the reference's size, trained until nothing moves."
+    query()(run)
+
+
+for _f in (doc_top_topic, top_topics_words, topic_word_update_hard, topic_word_update_soft, topic_diversity, coherence_npmi, coherence_uci, coherence_umass, model_statistics, topics_wide, topics_json, corpus_report):
+    _trained_fully(_f)
+
+
 @query()
 def lda_baseline(spark, sf_dir):
     """Words of topics by the library's LDA over the pages' entities, a baseline."""
