@@ -3,18 +3,34 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
+from ..session import ship
 
 
 def usable(rows: DataFrame, num: str, vector: str, dims: int) -> DataFrame:
     """``(num, vec)``: double vectors of length 1; null, wrongly sized, not finite and zero vectors are left out."""
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
-    given = rows.select(F.col(num).alias("num"), v.alias("v")).where((F.size("v") == dims) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    return given.withColumn("n", S.norm(F.col("v"))).where("n > 0").select("num", F.transform("v", lambda x: x / F.col("n")).alias("vec"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sized = batch.filter(pc.fill_null(pc.equal(pc.list_value_length(batch.column(1)), dims), False))
+            x = sized.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dims).astype(np.float64)  # null becomes NaN
+            with np.errstate(over="ignore", invalid="ignore"):
+                norm = np.sqrt((x * x).sum(axis=1))
+            fit = np.isfinite(x).all(axis=1) & (norm > 0)
+            x = x[fit] / norm[fit][:, None]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, dims, dtype=np.int32)), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([sized.column(0).filter(pa.array(fit)), lists], names=["num", "vec"])
+
+    ship(rows.sparkSession)
+    return rows.select(F.col(num).cast("bigint").alias("num"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "num bigint, vec array<double>")
 
 
 def weighted_mean(rows: DataFrame, by: str, vector: str, dims: int, weight: str | None = None) -> DataFrame:
