@@ -407,3 +407,26 @@ def test_numbered_and_aligned_files(spark, tmp_path):
     assert sorted((r.text, tuple(r.entities)) for r in back) == sorted((f"text {i} more" if i % 3 else "", (f"Q{i}", "Q1") if i % 2 else ()) for i in range(50))
     lines = [x for f in sorted((tmp_path / "a" / "text").glob("part-*")) for x in f.read_text().splitlines()]
     assert [r.value for r in files.numbered_lines(spark, str(tmp_path / "a" / "text")).orderBy("line").collect()] == lines
+
+
+def test_walks_follow_edges_and_neighbours_are_near(spark):
+    from themeloom.operators import walks
+
+    rng = random.Random(3)
+    rows = [(a, b) for half in (0, 50) for a in range(half, half + 50) for b in rng.sample(range(half, half + 50), 5)] + [(1, 1), (None, 2), (3, None), (7, 200), (200, 200), (5, 6), (5, 6)]
+    df = spark.createDataFrame(rows, "src bigint, dst bigint")
+    good = {(a, b) for a, b in rows if a is not None and b is not None and a != b}
+    got = walks.random_walks(df, "src", "dst", 8, per_node=3).collect()
+    assert sorted((r.start, r.walk) for r in got) == sorted((n, k) for n in [*range(100), 200] for k in range(3))
+    assert all(r.path[0] == r.start and set(zip(r.path, r.path[1:], strict=False)) <= good and (len(r.path) == 8 or r.path[-1] == 200) for r in got)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, walks.random_walks(df, "src", "dst", 8, per_node=3).collect()))
+    for salts in (1, 4):
+        near = walks.neighbours(df, "src", "dst", salts).collect()
+        assert {(r.node, r.next) for r in near} == good and all({r.i for r in near if r.node == n} == set(range(sum(a == n for a, _ in good))) for n in (1, 5, 7))
+    v = {r.num: np.array(r.vec) for r in walks.walk_vectors(walks.random_walks(df, "src", "dst", 20, per_node=20), 8, iterations=3).collect()}
+    cos = lambda a, b: float(v[a] @ v[b] / np.sqrt((v[a] @ v[a]) * (v[b] @ v[b])))
+    same, other = np.mean([cos(a, b) for a in range(50) for b in range(a)]), np.mean([cos(a, b) for a in range(50) for b in range(50, 100)])
+    assert same > other + 0.2
+    with pytest.raises(ValueError):
+        walks.walk_vectors(walks.random_walks(df, "src", "dst", 2), 8, most_bytes=100)
+    assert walks.walk_vectors(walks.random_walks(df.limit(0), "src", "dst", 3), 8).count() == 0

@@ -12,6 +12,7 @@ from ..model import EntityMatcher, TopicModel
 from ..operators import kb as K
 from ..operators import reports as R
 from ..operators import topics as T
+from ..operators import walks as W
 from ..operators.states import latest_state
 from ..session import checkpoint_dir, materialise
 from ..sources import dump, files, workbook
@@ -195,6 +196,41 @@ def kb_by_ids(spark, sf_dir):
     return K.by_ids(knowledge(spark, sf_dir), ids).labels.select("num", "lang", "label")
 
 
+# --- walks over the edge file
+
+_LINKS = f"links as (select {Q.idno('src')} as src, {Q.idno('dst')} as dst from edges), good as (select distinct src, dst from links where src is not null and dst is not null and src <> dst), nodes as (select src as num from links where src is not null union select dst from links where dst is not null)"
+
+
+def _links(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "edges").select(entity_number("src").alias("src"), entity_number("dst").alias("dst"))
+
+
+@query(f"with {_LINKS} select src as num, count(*) as n, count(*) - 1 as last, count(*) as numbers from good group by src")
+def walk_degrees(spark, sf_dir):
+    """How many neighbours each node has, and that they are numbered without gaps."""
+    near = W.neighbours(_links(spark, sf_dir), "src", "dst")
+    return near.groupBy(F.col("node").alias("num"), "n").agg(F.max("i").alias("last"), F.count_distinct("i").alias("numbers"))
+
+
+@query(f"with {_LINKS} select num, num in (select src from good) as moved, true as along_edges, true as goes_on from nodes")
+def walk_steps(spark, sf_dir):
+    """What every walk must keep: it leaves a node that has neighbours, steps along edges only, and ends early only where there is no way on."""
+    links = materialise(_links(spark, sf_dir))
+    walks = materialise(W.random_walks(links, "src", "dst", 6))
+    good = links.where("src <> dst").select("src", "dst").distinct().withColumn("known", F.lit(True))
+    steps = walks.where("size(path) > 1").select("start", F.explode(F.arrays_zip(F.slice("path", F.lit(1), F.size("path") - 1).alias("src"), F.slice("path", F.lit(2), F.size("path") - 1).alias("dst"))).alias("s")).select("start", "s.src", "s.dst")
+    along = steps.join(good, ["src", "dst"], "left").groupBy("start").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("along"))
+    leads = good.select(F.col("src").alias("last")).distinct().withColumn("leads", F.lit(True))
+    rows = walks.withColumn("last", F.element_at("path", -1)).join(leads, "last", "left").join(along, "start", "left")
+    return rows.select(F.col("start").alias("num"), (F.size("path") > 1).alias("moved"), F.coalesce("along", F.lit(True)).alias("along_edges"), ((F.size("path") == 6) | F.col("leads").isNull()).alias("goes_on"))
+
+
+@query(f"with {_LINKS} select num, 16 as dims from nodes")
+def walk_embeddings(spark, sf_dir):
+    """A vector for every node of the edge file."""
+    return W.walk_vectors(W.random_walks(_links(spark, sf_dir), "src", "dst", 6), 16).select("num", F.size("vec").alias("dims"))
+
+
 # --- models
 
 
