@@ -11,9 +11,9 @@ count the record once. Equal (suffix, seen) rows are therefore combined before t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +31,7 @@ def _suffixes(given: DataFrame, longest: int) -> DataFrame:
     return exploded.select("suffix", shared.alias("seen")).groupBy("suffix", "seen").agg(F.count(F.lit(1)).alias("n"))
 
 
-def prefix_counts(rows: list[tuple[tuple, int, int]]) -> Iterator[tuple[tuple, int, int]]:
+def prefix_counts(rows: Iterable[tuple[Sequence, int, int]]) -> Iterator[tuple[tuple, int, int]]:
     """``(n-gram, occurrences, records)`` from ``(suffix, seen, n)`` rows in reverse lexicographic order, with a stack."""
     terms: list = []
     occurrences: list[int] = []
@@ -83,21 +83,29 @@ def ngram_counts(records: DataFrame, terms: str, longest: int = 1, term_type: st
             routed = routed.join(F.broadcast(hot), prefix == F.col("hot"), "left").select("suffix", "seen", "n", F.when(F.col("hot").isNotNull(), depth + 1).otherwise(F.col("depth")).alias("depth"))
     routed = routed.select("suffix", "seen", "n", F.xxhash64(F.slice("suffix", F.lit(1), F.col("depth"))).alias("route"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows() -> Iterator[tuple[tuple, int, int]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind: list[pa.DataType] = []
+
+        def rows() -> Iterator[tuple[list, int, int]]:
             for batch in batches:
-                for suffix, seen, n in zip(batch["suffix"], batch["seen"], batch["n"], strict=True):
-                    yield tuple(suffix), seen, n
+                kind[:] = [batch.schema.field(0).type]
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
         out: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            grams, lengths, occurrences, of = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(grams, kind[0]), pa.array(lengths, pa.int32()), pa.array(occurrences, pa.int64()), pa.array(of, pa.int64())], names=["ngram", "length", "occurrences", "records"])
+
         for gram, occurrences, of in prefix_counts(rows()):
-            out.append((list(gram), len(gram), occurrences, of))
+            out.append((gram, len(gram), occurrences, of))
             if len(out) == 10_000:
-                yield pd.DataFrame(out, columns=["ngram", "length", "occurrences", "records"])
-                out = []
-        yield pd.DataFrame(out, columns=["ngram", "length", "occurrences", "records"])
+                yield made()
+                out.clear()
+        if out:
+            yield made()
 
-    partial = routed.repartition("route").sortWithinPartitions(F.col("suffix").desc()).select("suffix", "seen", "n").mapInPandas(run, f"ngram array<{term_type}>, length int, occurrences bigint, records bigint")
+    partial = routed.repartition("route").sortWithinPartitions(F.col("suffix").desc()).select("suffix", "seen", "n").mapInArrow(run, f"ngram array<{term_type}>, length int, occurrences bigint, records bigint")
     if longest == 1:
         return partial
     return partial.groupBy("ngram", "length").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
