@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import entity_number, entity_numbers
 from ..operators import coherence as H
 from ..operators import disambiguate as D
+from ..operators import gibbs as G
 from ..operators import kb as K
 from ..operators import matching as M
 from ..operators import reports as R
@@ -423,8 +424,7 @@ for _f in (doc_top_topic, top_topics_words, topic_word_update_hard, topic_word_u
 
 @query()
 def lda_baseline(spark, sf_dir):
-    """Words of topics by the library's LDA over the pages' entities, a baseline."""
-    from pyspark.ml.clustering import LDA
+    """Words of topics by LDA over the pages' entities, a baseline: sampled as the reference samples them, every sweep over all tokens."""
     from pyspark.ml.feature import CountVectorizer
 
     if not _tokens(spark, sf_dir).limit(1).count():
@@ -432,8 +432,8 @@ def lda_baseline(spark, sf_dir):
     bags = _tokens(spark, sf_dir).groupBy("doc").agg(F.collect_list(F.col("tok").cast("string")).alias("tokens"))  # a page's own list
     distinct = _tokens(spark, sf_dir).agg(F.count_distinct("tok")).first()[0]
     counts = CountVectorizer(inputCol="tokens", outputCol="features", minDF=1.0, vocabSize=distinct).fit(bags)  # every id
-    rows = materialise(counts.transform(bags).select("doc", "features"))
-    fitted = LDA(k=REFERENCE_TOPICS, maxIter=REFERENCE_SWEEPS, seed=1, featuresCol="features").fit(rows)
+    vector = F.unwrap_udt("features")
+    rows = materialise(counts.transform(bags).select(vector["indices"].alias("words"), vector["values"].alias("counts")))
+    found = G.topic_counts(rows, distinct, REFERENCE_TOPICS, REFERENCE_SWEEPS)
     vocabulary = spark.createDataFrame(list(enumerate(counts.vocabulary)), "i int, word string")
-    top = fitted.describeTopics(25).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("place", "t"))
-    return top.select("topic", (F.col("place") + 1).alias("place"), F.col("t.termIndices").alias("i"), F.col("t.termWeights").alias("score")).join(vocabulary, "i").select("topic", "place", "word", "score")
+    return G.words(found, distinct, REFERENCE_TOPICS, 25).join(vocabulary, "i").select("topic", "place", "word", "score")
