@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, materialise, ship
 
-BLOCK, GROUP, ROUND = 1_000_000, 8192, 10  # tokens of a block and docs of a group, about; sweeps between exchanges
+BLOCK, GROUP = 1_000_000, 8192  # tokens of a block and docs of a group, about
+EARLY, ROUND = 50, 5  # blocks exchange counts after each of the early sweeps, while topics form, then once in a round
 _ONE = {"i": np.int32(1), "h": np.int16(1)}
 
 
@@ -58,23 +59,23 @@ class Block:
             self.off.append(off)
             base += m
         self.row = self.word * topics
-        self.by_word = np.argsort(self.word, kind="stable")
         size = np.bincount(self.word)
-        first = np.cumsum(size) - size
-        self.first, self.others = first[self.word], size[self.word] - 1
-        self.mine = np.empty(n, np.int64)  # a token's number among those of its word
-        self.mine[self.by_word] = np.arange(n) - np.repeat(first, size)
-        self.topic = rng.integers(0, topics, n)
+        self.first, self.others = (np.cumsum(size) - size)[self.word], size[self.word] - 1
+        self.by_word = np.empty(n, np.int64)  # a token's place where they lie word by word
+        self.by_word[np.argsort(self.word, kind="stable")] = np.arange(n)
+        self.topic = rng.integers(0, topics, n).astype(np.int16 if topics < 1 << 15 else np.int32)
 
     def counted(self) -> np.ndarray:
         """By word and topic."""
         return np.bincount(self.row + self.topic, minlength=len(self.names) * self.k).astype(np.int32)
 
-    def sample(self, sweeps: range, elsewhere: np.ndarray | None = None, sums: np.ndarray | None = None) -> None:
-        """The given sweeps; `elsewhere` has the counts of its words in other blocks, `sums` those of all words by topic over all blocks."""
+    def sample(self, sweeps: range, total: np.ndarray | None = None, sums: np.ndarray | None = None) -> np.ndarray:
+        """The given sweeps, and `counted` after them. With several blocks, `total` has the counts of its words over all of them and is changed, `sums` those of all words by topic."""
         k, prior, z = self.k, 1 / self.k, self.topic
+        of_word = np.empty_like(z)  # the topics once more, word by word
+        of_word[self.by_word] = z
         local = self.counted()
-        total = local if elsewhere is None else local + elsewhere
+        several, total = total is not None, local if total is None else total
         of_topic = (np.bincount(z, minlength=k) if sums is None else sums) + self.vocabulary * prior
 
         def drawn(others: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,38 +106,42 @@ class Block:
                 to = z[r]
                 to[none] = rng.integers(0, k, len(none))
                 i = np.flatnonzero(to != old)
-                t, o = to[i], old[i]
+                t, o = to[i].astype(np.int64), old[i].astype(np.int64)
                 w = row[i]
                 up = (total[w + t] + prior) * (of_topic[o] - 1)
                 down = (total[w + o] + (prior - 1)) * of_topic[t]
                 down *= u[i]
                 yes = np.flatnonzero(down < up)
-                z[a:b][i[yes]] = t[yes]
-                new = z[a:b].copy()
+                new = old.copy()
+                new[i[yes]] = t[yes]
 
-                r, none, u = drawn(self.others[a:b], self.mine[a:b])
-                r += self.first[a:b]
-                to = z[self.by_word[r]]
+                first = self.first[a:b]
+                r, none, u = drawn(self.others[a:b], self.by_word[a:b] - first)
+                r += first
+                to = of_word[r]
                 to[none] = rng.integers(0, k, len(none))
                 i = np.flatnonzero(to != new)
-                t, n, o = to[i], new[i], old[i]
+                t, n, o = to[i].astype(np.int64), new[i].astype(np.int64), old[i].astype(np.int64)
                 d, self_t, self_n = doc[i] * k, t == o, n == o
                 up = (of_doc[d + t] + (prior - self_t)) * (of_topic[n] - self_n)
                 down = (of_doc[d + n] + (prior - self_n)) * (of_topic[t] - self_t)
-                if elsewhere is not None:  # the proposal knows the block's tokens only
+                if several:  # the proposal knows the block's tokens only
                     w = row[i]
                     up *= (total[w + t] + (prior - self_t)) * (local[w + n] + (prior - self_n))
                     down *= (total[w + n] + (prior - self_n)) * (local[w + t] + (prior - self_t))
                 down *= u[i]
                 yes = np.flatnonzero(down < up)
-                z[a:b][i[yes]] = new[i[yes]] = t[yes]
+                new[i[yes]] = t[yes]
+                z[a:b] = new
 
                 i = np.flatnonzero(new != old)
-                o, n, w, d = old[i], new[i], row[i], doc[i] * k
-                for counts, of in ((total, w), (of_doc, d)) if elsewhere is None else ((total, w), (local, w), (of_doc, d)):
+                o, n, w, d = old[i].astype(np.int64), new[i].astype(np.int64), row[i], doc[i] * k
+                of_word[self.by_word[a:b][i]] = n
+                for counts, of in ((total, w), (local, w), (of_doc, d)) if several else ((total, w), (of_doc, d)):
                     np.subtract.at(counts, of + o, _ONE[counts.dtype.char])
                     np.add.at(counts, of + n, _ONE[counts.dtype.char])
                 of_topic += np.bincount(n, minlength=k) - np.bincount(o, minlength=k)
+        return local
 
 
 def _block(batches: Iterator[pa.RecordBatch], topics: int, vocabulary: int, seed: list[int]) -> Block | None:
@@ -188,8 +193,7 @@ def topic_counts(bags: DataFrame, vocabulary: int, topics: int, sweeps: int, see
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if b := _block(batches, topics, vocabulary, [seed, 0]):
-                b.sample(range(sweeps))
-                yield _rows(b.names, b.counted(), topics)
+                yield _rows(b.names, b.sample(range(sweeps)), topics)
 
         return materialise(rows.coalesce(1).mapInArrow(whole, schema))
 
@@ -197,20 +201,20 @@ def topic_counts(bags: DataFrame, vocabulary: int, topics: int, sweeps: int, see
     files, path = fs.FileSystem.from_uri(folder)
     files.create_dir(path)
 
-    def send(at: str, number: int, b: Block) -> None:
+    def send(at: str, number: int, b: Block, counts: np.ndarray) -> None:
         """A block's words and counts, to the tasks that add them up by ranges."""
-        counts = b.counted().reshape(-1, topics)
         for r in range(parts):
-            own = counts[b.names % parts == r].ravel()
+            mine = b.names % parts == r
+            own = counts.reshape(-1, topics)[mine].ravel()
             cells = np.flatnonzero(own)
-            _save(at, f"from-{number}-to-{r}", (b.names[b.names % parts == r] // parts, cells, own[cells]))
+            _save(at, f"from-{number}-to-{r}", (b.names[mine] // parts, cells, own[cells]))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId()
         if b := _block(batches, topics, vocabulary, [seed, number]):
             _save(f"{folder}/blocks", str(number), b)
             _save(f"{folder}/0", f"topics-{number}", b.topic)
-            send(f"{folder}/0", number, b)
+            send(f"{folder}/0", number, b, b.counted())
             yield pa.RecordBatch.from_arrays([pa.array([number])], names=["block"])
 
     def added(at: str, r: int, numbers: list[int]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -232,9 +236,10 @@ def topic_counts(bags: DataFrame, vocabulary: int, topics: int, sweeps: int, see
     for name in ("blocks", "0"):
         files.create_dir(f"{path}/{name}")
     numbers = sorted(r.block for r in rows.repartition(parts).mapInArrow(begin, "block bigint").collect())
-    for low in range(0, sweeps, ROUND):
-        now, after = f"{folder}/{low}", f"{folder}/{min(low + ROUND, sweeps)}"
-        files.create_dir(f"{path}/{min(low + ROUND, sweeps)}")
+    starts = [*range(min(EARLY, sweeps)), *range(EARLY, sweeps, ROUND), sweeps]
+    for low, high in zip(starts, starts[1:]):
+        now, after = f"{folder}/{low}", f"{folder}/{high}"
+        files.create_dir(f"{path}/{high}")
 
         def add(r: int) -> Iterator[pa.RecordBatch]:
             total, known = added(now, r, numbers)
@@ -252,9 +257,9 @@ def topic_counts(bags: DataFrame, vocabulary: int, topics: int, sweeps: int, see
             for r in range(parts):
                 cells, n = _load(now, f"for-{number}-by-{r}")
                 total.ravel()[np.flatnonzero(b.names % parts == r)[cells // topics] * topics + cells % topics] = n
-            b.sample(range(low, min(low + ROUND, sweeps)), total.ravel() - b.counted(), sum(_load(now, f"sums-{r}") for r in range(parts)))
+            counts = b.sample(range(low, high), total.ravel(), sum(_load(now, f"sums-{r}") for r in range(parts)))
             _save(after, f"topics-{number}", b.topic)
-            send(after, number, b)
+            send(after, number, b, counts)
             yield from ()
 
         each(list(range(parts)), add).collect()
